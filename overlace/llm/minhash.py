@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
+            keep = pa.array(keep, pa.int64())
             yield {"a": a.take(keep), "b": b.take(keep)}
 
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")

@@ -76,7 +76,7 @@ def queries() -> dict:
 
 
 _SPLIT = urls.SPLIT
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')"
 
 OP1 = f"""
 WITH u AS (
@@ -106,7 +106,7 @@ def _quartiles(by: str) -> str:
 
 OP3 = rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS ws,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS ls, row_number() OVER () AS k FROM documents),
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls, row_number() OVER () AS k FROM documents),
 win AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS c FROM win) WHERE c > 1),
 rep AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY k),
@@ -130,8 +130,8 @@ FROM m LEFT JOIN out USING (k)
 
 OP2 = """
 WITH RECURSIVE e AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS n FROM embeddings),
-ok AS (SELECT vec_id, list_transform(v, x -> x / n) AS u FROM e WHERE n > 0 AND isfinite(n)),
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+ok AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM e WHERE n > 0 AND isfinite(n)),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.9),
 reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other),
 comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
@@ -142,7 +142,7 @@ FROM embeddings JOIN comp ON id = vec_id LEFT JOIN deg ON a = vec_id
 
 OP8 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, t FROM (
   SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) >= 2)
   UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1)),
@@ -162,9 +162,9 @@ p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t WHERE role <> 'sy
 x AS (SELECT conv_id, perspective, floor(turn / 64)::BIGINT AS part, turn, role, text, role = perspective AS own,
              '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
              text || '<|im_end|>' AS body FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
-y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM x)
+y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
 SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
-       coalesce(list((at + length(head))::INT ORDER BY at) FILTER (own), []) AS mask_starts, coalesce(list((at + length(head) + length(body))::INT ORDER BY at) FILTER (own), []) AS mask_ends,
+       coalesce(list((pos + length(head))::INT ORDER BY pos) FILTER (own), []) AS mask_starts, coalesce(list((pos + length(head) + length(body))::INT ORDER BY pos) FILTER (own), []) AS mask_ends,
        coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_mask_chars
 FROM y GROUP BY conv_id, perspective, part
 """
