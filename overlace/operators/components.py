@@ -36,3 +36,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def hyper_components(inc: DataFrame, seed: str = "edge") -> DataFrame:
+    """(kind, id, label) of both sides of a hypergraph; label is the smallest id of the ``seed`` side in the component.
+
+    Nodes are numbered behind the hyperedges (or the other way round), so the smallest id of a component is the seed side's.
+    """
+    first, second = ("edge", "node") if seed == "edge" else ("node", "edge")
+    top = inc.agg(F.coalesce(F.max(first), F.lit(-1))).first()[0] + 1
+    found = connected_components(inc.select(F.col(first).alias("src"), (F.col(second) + top).alias("dst")))
+    one, other = ("E", "N") if seed == "edge" else ("N", "E")
+    own = F.col("id") < top
+    return found.select(F.when(own, one).otherwise(other).alias("kind"), F.when(own, F.col("id")).otherwise(F.col("id") - top).alias("id"), F.col("component").alias("label"))
