@@ -2,10 +2,428 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from overlace.functions import generators
+from overlace.model import Hypergraph, LineGraph
+from overlace.operators import components, paths, relabel, stats, structure, traverse
+from overlace.operators.overlap import overlap, wedges
+from overlace.plans.lineage import shared_dir
+from overlace.sources import readers, writers
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Incidences, with repetitions: orders, customers or suppliers over parts; orders over line flags; users over event types."""
+    if key == "UE":
+        return _read(spark, sf_dir, "events").select(F.col("user_id").alias("edge"), F.length("event_type").cast("long").alias("node"))
+    lines = _read(spark, sf_dir, "lineitem")
+    if key == "OF":
+        flag = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
+        return lines.select(F.col("l_orderkey").alias("edge"), flag.cast("long").alias("node"))
+    if key == "CP":
+        orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        return lines.select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("edge"), F.col("l_partkey").alias("node"))
+    return lines.select(F.col({"OP": "l_orderkey", "SP": "l_suppkey"}[key]).alias("edge"), F.col("l_partkey").alias("node"))
+
+
+RAW = {
+    "OP": "select l_orderkey as edge, l_partkey as node from lineitem",
+    "SP": "select l_suppkey as edge, l_partkey as node from lineitem",
+    "CP": "select o_custkey as edge, l_partkey as node from lineitem join orders on l_orderkey = o_orderkey",
+    "OF": "select l_orderkey as edge, (ascii(l_returnflag) * 256 + ascii(l_linestatus))::bigint as node from lineitem",
+    "UE": "select user_id as edge, length(event_type)::bigint as node from events",
+}
+
+
+def inc(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return raw(spark, sf_dir, key).distinct()
+
+
+def line(spark: SparkSession, sf_dir: str, key: str, s: int) -> DataFrame:
+    return overlap(inc(spark, sf_dir, key), s)
+
+
+def _lg(s: int, of: str = "inc") -> str:
+    return f"select a.edge as src, b.edge as dst, count(*) as overlap from {of} a join {of} b on a.node = b.node and a.edge < b.edge group by all having count(*) >= {s}"
+
+
+def _with(key: str, rest: str, recursive: bool = False) -> str:
+    return f"with {'recursive ' if recursive else ''}inc as (select distinct * from ({RAW[key]})){rest}"
+
+
+def _graph(key: str, s: int, rest: str) -> str:
+    return _with(key, f", lg as ({_lg(s)}), adj as (select src, dst, overlap from lg union all select dst, src, overlap from lg){rest}", recursive=True)
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        name = f.__name__.rstrip("_")
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _named(name: str, f: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = f
+    if sql:
+        _SQL[name] = sql
+
+
+# Incidences
+
+_named("incidence_build", lambda s, d: Hypergraph(raw(s, d, "CP")).inc, _with("CP", " select * from inc"))
+_named(
+    "incidence_weighted",
+    lambda s, d: raw(s, d, "OP").groupBy("edge", "node").agg(F.count(F.lit(1)).alias("weight")),
+    f"select edge, node, count(*) as weight from ({RAW['OP']}) group by all",
+)
+_named(
+    "dedupe_vs_raw",
+    lambda s, d: raw(s, d, "OP").groupBy("edge", "node").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n_raw"), F.count(F.lit(1)).alias("n_distinct")),
+    f"select count(*) as n_raw, count(distinct (edge, node)) as n_distinct from ({RAW['OP']})",
+)
+_named("edge_size_dist", lambda s, d: stats.sizes(inc(s, d, "OP")), _with("OP", " select edge, count(*) as size from inc group by edge"))
+_named("node_size_dist", lambda s, d: stats.sizes(inc(s, d, "OP"), "node"), _with("OP", " select node, count(*) as size from inc group by node"))
+_named(
+    "edge_size_dist_dense",
+    lambda s, d: stats.sizes(inc(s, d, "OP"), "edge", "dense"),
+    _with("OP", " select i as edge, count(node) as size from range((select max(edge) + 1 from inc)) t(i) left join inc on edge = i group by i"),
+)
+_named("size_histogram", lambda s, d: stats.histogram(inc(s, d, "OP")), _with("OP", " select size, count(*) as count from (select count(*) as size from inc group by edge) group by size"))
+_named("degree_histogram", lambda s, d: stats.histogram(inc(s, d, "OP"), "node"), _with("OP", " select size, count(*) as count from (select count(*) as size from inc group by node) group by size"))
+_SIDES = ", s as (select 'edge' as side, count(*) as size from inc group by edge union all select 'node', count(*) from inc group by node)"
+_named(
+    "hyper_stats",
+    lambda s, d: stats.summary(inc(s, d, "CP")).withColumn("avg_size", F.round("avg_size", 6)),
+    _with("CP", _SIDES + " select side, count(*) as n, max(size) as max_size, sum(size)::bigint as total, round(avg(size), 6) as avg_size, list_sort(list(size))[count(*) // 2 + 1] as median_size from s group by side"),
+)
+_named(
+    "degree_above_below",
+    lambda s, d: stats.above_below(inc(s, d, "CP"), 30),
+    _with("CP", _SIDES + " select side, count(*) filter (size > 30) as n_above, count(*) filter (size <= 30) as n_below, count(*) filter (size > 30) / count(*) as share_above, count(*) filter (size <= 30) / count(*) as share_below from s group by side"),
+)
+_named(
+    "hypergraph_counts",
+    lambda s, d: stats.counts(inc(s, d, "CP")),
+    _with("CP", " select max(edge) + 1 as edges_dense, max(node) + 1 as nodes_dense, count(distinct edge) as edges, count(distinct node) as nodes, count(*) as incidences from inc"),
+)
+_named("edge_incidence", lambda s, d: Hypergraph(raw(s, d, "OP")).edge_incidence(7), _with("OP", " select node from inc where edge = 7"))
+_named("node_incidence", lambda s, d: Hypergraph(raw(s, d, "OP")).node_incidence(7), _with("OP", " select edge from inc where node = 7"))
+_named(
+    "size_filtered",
+    lambda s, d: stats.filtered_sizes(inc(s, d, "OP"), 3, 30),
+    _with("OP", ", g as (select node, count(*) as d from inc group by node) select edge, count(*) filter (d between 3 and 30) as size from inc join g using (node) group by edge"),
+)
+_named(
+    "degree_filtered",
+    lambda s, d: stats.filtered_sizes(structure.dual(inc(s, d, "OP")), 3, 5).withColumnsRenamed({"edge": "node", "size": "degree"}),
+    _with("OP", ", g as (select edge, count(*) as d from inc group by edge) select node, count(*) filter (d between 3 and 5) as degree from inc join g using (edge) group by node"),
+)
+
+# Projection and relabelling
+
+_named("dual", lambda s, d: structure.dual(inc(s, d, "SP")), _with("SP", " select node as edge, edge as node from inc"))
+_SHIFT = ", o as (select case when max(edge) < max(node) then max(node) + 1 else 0 end as e, case when max(edge) < max(node) then 0 else max(edge) + 1 end as n from inc)"
+_named("adjoin", lambda s, d: relabel.adjoin(inc(s, d, "SP")), _with("SP", _SHIFT + " select edge + e as src, node + n as dst from inc, o"))
+
+
+@query(_with("SP", " select 'E' as kind, edge as id from inc union select 'N', node from inc"))
+def unadjoin(spark, d):
+    return relabel.run_on_adjoin(inc(spark, d, "SP"), lambda e: e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()).select("kind", "id")
+
+
+for _order, _down in (("asc", False), ("desc", True)):
+    _named(
+        f"relabel_degree_{_order}",
+        lambda s, d, down=_down: relabel.relabel_by_degree(inc(s, d, "SP"), "edge", down),
+        _with("SP", f", p as (select edge, row_number() over (order by count(*) {_order}, edge) - 1 as k from inc group by edge) select k as edge, node from inc join p using (edge)"),
+    )
+_named(
+    "squeeze_ids",
+    lambda s, d: relabel.squeeze(line(s, d, "CP", 5))[0],
+    _graph("CP", 5, ", m as (select src as old, row_number() over (order by src) - 1 as k from (select distinct src from adj)) select a.k as src, b.k as dst, overlap from lg join m a on a.old = src join m b on b.old = dst"),
+)
+_named(
+    "clean_upper_triangular",
+    lambda s, d: relabel.clean(raw(s, d, "OP").select(F.col("edge").alias("src"), F.col("node").alias("dst"))),
+    f"select distinct least(edge, node) as src, greatest(edge, node) as dst from ({RAW['OP']}) where edge <> node",
+)
+
+# The s-overlap join
+
+for _s in (1, 2, 3, 4, 5):
+    _named(f"slinegraph_s{_s}", lambda s, d, k=_s: line(s, d, "CP", k), _with("CP", f" {_lg(_s)}"))
+for _v, _key in (("join", "CP"), ("explode", "CP"), ("candidates", "SP"), ("prefix", "OP"), ("naive", "SP")):
+    _k = 2 if _key == "OP" else 4
+    _named(f"slinegraph_{_v}", lambda s, d, v=_v, key=_key, k=_k: overlap(inc(s, d, key), k, v), _with(_key, f" {_lg(_k)}"))
+_named("slinegraph_unpruned", lambda s, d: overlap(inc(s, d, "CP"), 4, prune=False), _with("CP", f" {_lg(4)}"))
+_named(
+    "slinegraph_nodes",
+    lambda s, d: Hypergraph(raw(s, d, "OP")).s_linegraph(2, edges=False).edges,
+    _with("OP", f", t as (select node as edge, edge as node from inc) {_lg(2, 't')}"),
+)
+
+
+@query(_graph("CP", 3, " " + " union all ".join(f"select {k}::int as s, src, dst, overlap from lg where overlap >= {k}" for k in (3, 4, 5))))
+def slinegraph_multi_s(spark, d):
+    graphs = Hypergraph(raw(spark, d, "CP")).s_linegraphs([3, 4, 5])
+    out = [g.edges.select(F.lit(g.s).alias("s"), "src", "dst", "overlap") for g in graphs]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_named("slinegraph_weighted", lambda s, d: line(s, d, "CP", 4).withColumnRenamed("overlap", "data"), _graph("CP", 4, " select src, dst, overlap as data from lg"))
+_named(
+    "slinegraph_from_edges",
+    lambda s, d: LineGraph(traverse.symmetric(line(s, d, "CP", 5))).s_degrees(),
+    _graph("CP", 5, " select i as id, count(src) as degree from range((select max(dst) + 1 from lg)) t(i) left join adj on src = i group by i"),
+)
+_named("wedge_counter", lambda s, d: wedges(inc(s, d, "CP")), _with("CP", " select sum(c * (c - 1) // 2)::bigint as wedges from (select count(*) as c from inc group by node)"))
+
+# Classes and toplexes
+
+_SETS = ", sets as (select edge, list_sort(list(node)) as nodes from inc group by edge)"
+_CLASS = ", c as (select min(edge) as rep, count(*) as class_size, list_sort(list(edge)) as members from sets group by nodes)"
+_named("collapse_edges", lambda s, d: structure.collapse_edges(inc(s, d, "OF")).select("rep", "class_size"), _with("OF", _SETS + _CLASS + " select rep, class_size from c"))
+_named("collapse_edges_members", lambda s, d: structure.collapse_edges(inc(s, d, "OF")), _with("OF", _SETS + _CLASS + " select * from c"))
+_named(
+    "collapse_nodes",
+    lambda s, d: structure.collapse_nodes(inc(s, d, "OF")),
+    _with("OF", ", sets as (select node as edge, list_sort(list(edge)) as nodes from inc group by node)" + _CLASS + " select * from c"),
+)
+_named(
+    "collapse_nodes_and_edges",
+    lambda s, d: structure.collapse_nodes_and_edges(inc(s, d, "OF")),
+    _with(
+        "OF",
+        ", n as (select node, list_sort(list(edge)) as es from inc group by node), r as (select min(node) over (partition by es) as rep, node from n)"
+        ", sets as (select edge, list_sort(list(distinct rep)) as nodes from inc join r using (node) group by edge)" + _CLASS + " select * from c",
+    ),
+)
+for _keep, _cmp in (("first", "<"), ("last", ">")):
+    for _key in ("OF", "OP"):
+        _named(
+            f"toplexes_{_keep}_{_key.lower()}",
+            lambda s, d, key=_key, keep=_keep: structure.toplexes(inc(s, d, key), keep),
+            _with(
+                _key,
+                ", z as (select edge, count(*) as n from inc group by edge), o as (select a.edge as e, b.edge as f, count(*) as k from inc a join inc b on a.node = b.node and a.edge <> b.edge group by all)"
+                f" select edge from z where edge not in (select e from o join z x on x.edge = e join z y on y.edge = f where k = x.n and (y.n > x.n or (y.n = x.n and f {_cmp} e)))",
+            ),
+        )
+_named(
+    "singletons",
+    lambda s, d: structure.singletons(structure.dual(inc(s, d, "OP")).unionByName(inc(s, d, "UE"))),
+    "with inc as (select node as edge, edge as node from (select distinct * from (" + RAW["OP"] + ")) union all select * from (select distinct * from (" + RAW["UE"] + "))) select edge from (select edge, min(node) as node from inc group by edge having count(*) = 1) where node in (select node from inc group by node having count(*) = 1)",
+)
+
+# Components and searches
+
+_REACH = ", e as (select src, dst from adj), r(id, c) as (select src, src from e union select dst, c from r join e on src = id)"
+
+
+def _hyper_sql(key: str, seed: str) -> str:
+    own, other = ("edge", "node") if seed == "edge" else ("node", "edge")
+    k, o = ("E", "N") if seed == "edge" else ("N", "E")
+    body = f", h as (select distinct a.{own} as x, b.{own} as y from inc a join inc b using ({other})), r(id, c) using key (id) as (select {own}, min({own}) from inc group by {own} union select y, min(r.c) from r join h on x = r.id join recurring.r k on k.id = y where r.c < k.c group by y)"
+    return _with(key, body + f" select '{k}' as kind, id, c as label from r union all select distinct '{o}', {other}, min(c) from inc join r on id = {own} group by {other}", recursive=True)
+
+
+_named("hyper_cc_edges", lambda s, d: components.hyper_components(inc(s, d, "UE")), _hyper_sql("UE", "edge"))
+_named("hyper_cc_nodes", lambda s, d: components.hyper_components(inc(s, d, "SP"), "node"), _hyper_sql("SP", "node"))
+_BFS = """, s as (select min(edge) as src from inc), r(kind, id, depth, parent) using key (kind, id) as (
+  select 'E', src, 0::bigint, src from s
+  union
+  select x.kind, x.id, min(x.depth), min(x.parent) from (
+    select 'N' as kind, node as id, depth + 1 as depth, r.id as parent from r join inc on r.kind = 'E' and edge = r.id
+    union all select 'E', edge, depth + 1, r.id from r join inc on r.kind = 'N' and node = r.id) x
+  left join recurring.r k on k.kind = x.kind and k.id = x.id where k.id is null group by x.kind, x.id)"""
+
+
+def _source(df: DataFrame, column: str = "edge") -> int:
+    return df.agg(F.min(column)).first()[0]
+
+
+def _bfs(spark, d, key: str = "CP") -> DataFrame:
+    h = inc(spark, d, key)
+    return traverse.hyper_bfs(h, _source(h))
+
+
+_named("hyper_bfs_depth", lambda s, d: _bfs(s, d).select("kind", "id", "depth"), _with("CP", _BFS + " select kind, id, depth from r", True))
+_named("hyper_bfs_parent", lambda s, d: _bfs(s, d).select("kind", "id", "parent"), _with("CP", _BFS + " select kind, id, parent from r", True))
+
+
+@query("select 0::bigint as bad_source, 0::bigint as bad_parent, 0::bigint as bad_step, 0::bigint as bad_reach")
+def bfs_verifier(spark, d):
+    h = inc(spark, d, "CP")
+    return traverse.verify_hyper_bfs(h, traverse.hyper_bfs(h, _source(h)), _source(h))
+
+
+@query(_with("SP", " select 'E' as kind, edge as id, 0::bigint as part from inc union select 'N', node, 0 from inc"))
+def adjoin_cc(spark, d):
+    """At this fixture all suppliers and parts are one component; part is a component's rank."""
+    found = relabel.run_on_adjoin(inc(spark, d, "SP"), components.connected_components)
+    first = found.agg(F.min("component")).first()[0]
+    return found.select("kind", "id", (F.col("component") - first).alias("part"))
+
+
+@query(_with("SP", _BFS + " select kind, id, depth from r", True))
+def adjoin_bfs(spark, d):
+    h = inc(spark, d, "SP")
+    e, _ = relabel.offsets(h)
+    return relabel.run_on_adjoin(h, lambda g: traverse.graph_bfs(g, _source(h) + e).select("id", "depth")).select("kind", "id", "depth")
+
+
+# Line graphs
+
+
+def graph(spark, d, s: int) -> LineGraph:
+    return Hypergraph(raw(spark, d, "CP")).s_linegraph(s)
+
+
+_CC = ", v as (select distinct edge as id from inc), r(id, c) using key (id) as (select id, id from v union select dst, min(r.c) from r join adj on src = r.id join recurring.r k on k.id = dst where r.c < k.c group by dst)"
+for _s in (4, 5):
+    _named(f"s_components_s{_s}", lambda s, d, k=_s: graph(s, d, k).s_components(), _graph("CP", _s, _CC + " select id, c as component from r"))
+_named(
+    "s_component_sizes",
+    lambda s, d: graph(s, d, 5).s_components().groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
+    _graph("CP", 5, _CC + " select c as component, count(*) as size from r group by c having count(*) > 1"),
+)
+_named("s_connected_components", lambda s, d: graph(s, d, 5).s_connected_components(), _graph("CP", 5, _CC + " select c as component, list_sort(list(id)) as members from r group by c having count(*) > 1"))
+_named("s_singletons", lambda s, d: graph(s, d, 5).get_singletons(), _graph("CP", 5, " select distinct edge as id from inc where edge not in (select src from adj)"))
+_named("is_s_connected", lambda s, d: s.createDataFrame([(graph(s, d, 4).is_s_connected(),)], "connected boolean"), _graph("CP", 4, " select count(*) > 0 as connected from lg"))
+_named("s_neighbors", lambda s, d: graph(s, d, 4).s_neighbors(7), _graph("CP", 4, " select dst as id from adj where src = 7"))
+_named("s_degree", lambda s, d: graph(s, d, 4).s_degrees(), _graph("CP", 4, " select edge as id, count(src) as degree from (select distinct edge from inc) left join adj on src = edge group by edge"))
+_LEVELS = ", r(root, id, depth, sigma) using key (root, id) as (select distinct src, src, 0::bigint, 1::double from adj {where} union select r.root, a.dst, min(r.depth) + 1, sum(r.sigma) from r join adj a on a.src = r.id left join recurring.r k on k.root = r.root and k.id = a.dst where k.id is null group by r.root, a.dst)"
+_ONE = _LEVELS.format(where="where src = (select min(src) from lg)")
+_ALL = _LEVELS.format(where="")
+
+
+def _from_first(spark, d, s: int):
+    g = graph(spark, d, s)
+    return g, _source(g.edges, "src")
+
+
+@query(_graph("CP", 5, _ONE + " select x.id, x.depth, coalesce((select min(y.id) from r y join adj on adj.src = y.id and adj.dst = x.id where y.depth = x.depth - 1), x.id) as parent from r x"))
+def s_bfs(spark, d):
+    g, v = _from_first(spark, d, 5)
+    return g.s_bfs(v)
+
+
+@query(_graph("CP", 5, _ONE + " select min(root) as src, max(id) as dst, arg_max(depth, id) as distance from r"))
+def s_distance(spark, d):
+    g, v = _from_first(spark, d, 5)
+    to = g.s_bfs(v).agg(F.max("id")).first()[0]
+    return spark.createDataFrame([(v, to, g.s_distance(v, to))], "src long, dst long, distance long")
+
+
+@query(_graph("CP", 5, _ONE + " select min(root) as src, max(id) as dst, arg_max(depth, id) + 1 as n_vertices from r"))
+def s_path_length(spark, d):
+    g, v = _from_first(spark, d, 5)
+    to = g.s_bfs(v).agg(F.max("id")).first()[0]
+    return spark.createDataFrame([(v, to, len(g.s_path(v, to)))], "src long, dst long, n_vertices long")
+
+
+@query(
+    _graph(
+        "CP", 5, _ONE + ", g as (select max(id) as goal from r), p(id, path) as (select id, [id] from r where depth = 0 union all select x.id, p.path || [x.id] from p join r y on y.id = p.id join adj on src = p.id join r x on x.id = dst and x.depth = y.depth + 1) select min(path) as path from p, g where id = goal"
+    )
+)
+def s_path(spark, d):
+    g, v = _from_first(spark, d, 5)
+    return paths.shortest_path(g.edges, v, g.s_bfs(v).agg(F.max("id")).first()[0])
+
+
+_SCORES = ", d as (select root as id, count(*) as reached, count(*) / sum(depth) as closeness, sum(1 / depth) as harmonic, max(depth) as farthest from r where depth > 0 group by root), v as (select distinct edge as id from inc)"
+
+
+@query(_graph("CP", 5, _ALL + _SCORES + " select max(farthest) as diameter, min(coalesce(reached, 0)) = count(*) - 1 as connected from v left join d using (id)"))
+def s_diameter(spark, d):
+    return spark.createDataFrame([graph(spark, d, 5).s_diameter()], "diameter long, connected boolean")
+
+
+_named("s_eccentricity", lambda s, d: graph(s, d, 3).s_eccentricity(), _graph("CP", 3, _ALL + _SCORES + " select id, case when reached = (select count(*) from v) - 1 then farthest else 0 end as value from v left join d using (id)"))
+_named("s_closeness", lambda s, d: graph(s, d, 5).s_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("CP", 5, _ALL + _SCORES + " select id, round(closeness, 6) as value from v left join d using (id)"))
+_named("s_harmonic", lambda s, d: graph(s, d, 5).s_harmonic_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("CP", 5, _ALL + _SCORES + " select id, round(coalesce(harmonic, 0), 6) as value from v left join d using (id)"))
+_BC = ", v as (select distinct edge as id from inc), t as (select m.id, sum(l.sigma * q.sigma / w.sigma) as x from r w join r l on l.root = w.root join r m on m.root = l.root and m.id = l.id join r q on q.root = m.id and q.id = w.id where l.depth + q.depth = w.depth and l.depth > 0 and q.depth > 0 {only} group by m.id) select id, round(coalesce(x, 0){scale}, 4) as value from v left join t using (id)"
+_named("s_betweenness", lambda s, d: graph(s, d, 6).s_betweenness_centrality(False).select("id", F.round("value", 4).alias("value")), _graph("CP", 6, _ALL + _BC.format(only="", scale="")))
+_named(
+    "s_betweenness_norm",
+    lambda s, d: graph(s, d, 6).s_betweenness_centrality().select("id", F.round(F.col("value") * 1e6, 4).alias("value")),
+    _graph("CP", 6, _ALL + _BC.format(only="", scale=" / (((select count(*) from v) - 1) * ((select count(*) from v) - 2.0)) * 1e6")),
+)
+
+
+@query(_graph("CP", 6, _ALL + _BC.format(only="and w.root in (select distinct src from lg order by src limit 5)", scale="")))
+def s_betweenness_sampled(spark, d):
+    g = graph(spark, d, 6)
+    some = g.edges.select(F.col("src").alias("id")).distinct().orderBy("id").limit(5)
+    return g.s_betweenness_centrality(False, some).select("id", F.round("value", 4).alias("value"))
+
+
+@query(
+    _graph(
+        "CP", 5, ", r(id, distance) using key (id) as (select min(src), 0::bigint from lg union select a.dst, min(r.distance + a.overlap) from r join adj a on a.src = r.id left join recurring.r k on k.id = a.dst where k.id is null or r.distance + a.overlap < k.distance group by a.dst) select id, distance from r"
+    )
+)
+def s_sssp_weighted(spark, d):
+    g, v = _from_first(spark, d, 5)
+    return g.s_sssp(v)
+
+
+@query(_with("SP", f", lg as ({_lg(100)}) select a.s_name as name, b.s_name as other, overlap from lg join supplier a on a.s_suppkey = src join supplier b on b.s_suppkey = dst"))
+def overlap_pipeline_named(spark, d):
+    names = _read(spark, d, "supplier")
+    a, b = names.select(F.col("s_suppkey").alias("src"), F.col("s_name").alias("name")), names.select(F.col("s_suppkey").alias("dst"), F.col("s_name").alias("other"))
+    return line(spark, d, "SP", 100).join(a, "src").join(b, "dst").select("name", "other", "overlap")
+
+
+# Files and generators
+
+
+def _roundtrip(write, read) -> Query:
+    def run(spark, d):
+        path = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+        write(inc(spark, d, "SP"), path)
+        return read(spark, path).select("edge", "node")
+
+    return run
+
+
+for _name, _write in (("mm", writers.write_matrix_market), ("csv", writers.write_csv), ("adj", writers.write_adjacency)):
+    _named(f"{_name}_roundtrip", _roundtrip(_write, readers.read_hypergraph), _with("SP", " select * from inc"))
+
+
+@query(_with("SP", " select edge, count(*) as size from inc group by edge"))
+def config_model(spark, d):
+    """The degrees of the generated hypergraph are those asked for."""
+    h = inc(spark, d, "SP")
+    made = generators.configuration_model(*(stats.sizes(h, k).select(F.col(k).alias("id"), F.col("size").alias("degree")) for k in ("edge", "node")), seed=1)
+    return made.groupBy("edge").agg(F.count(F.lit(1)).alias("size"))
+
+
+_named("rmat", lambda s, d: generators.rmat(s, [[0.4, 0.2], [0.2, 0.2]], 8, 5000, seed=3))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

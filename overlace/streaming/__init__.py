@@ -1,0 +1 @@
+"""The capability set has no streaming operators; this package is the place for them."""
