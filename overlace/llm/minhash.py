@@ -23,29 +23,34 @@ K, M = 3, 12
 
 
 def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, halves): halves holds the m keys of A, then those of B; empty without words."""
+    """(doc_id, n_shingles, digest of the set, halves, sig); empty arrays without words.
+
+    halves holds the m keys of A, then those of B; sig one byte of each minhash, eight in a long.
+    """
 
     def run(batches):
         r = np.random.default_rng(seed).integers(1, 1 << 63, (2, 2 * m * k), dtype=np.uint64)
         xor, odd, hasher = r[0], r[1] | np.uint64(1), WordHasher()
         side = np.arange(1, 2 * m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in slices(batches):
-            n, digests, halves = [], [], []
+            n, digests, halves, sigs = [], [], [], []
             for text in texts(batch):
                 s = shingle_hashes(words(text), shingle, hasher)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if not len(s):
                     halves.append([])
+                    sigs.append([])
                     continue
                 low = np.array([((s ^ x) * o).min() for x, o in zip(xor, odd, strict=True)], np.uint64).reshape(2 * m, k)
                 key = side.copy()
                 for c in range(k):
                     key = mix(key + low[:, c])
                 halves.append(key.view(np.int64))
-            yield {"doc_id": batch.column(0), "n_shingles": n, "digest": digests, "halves": halves}
+                sigs.append(np.pad((low.ravel() >> np.uint64(32)).astype(np.uint8), (0, -low.size % 8)).view(np.int64))
+            yield {"doc_id": batch.column(0), "n_shingles": n, "digest": digests, "halves": halves, "sig": sigs}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, halves array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, halves array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -59,6 +64,20 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, s array<long>")
 
 
+def alike(x: str, y: str, n: int, percent: int) -> str:
+    """SQL for: the signatures of n minhashes agree as often as sets of the similarity do, less 4.6 standard deviations.
+
+    A pair at the similarity itself fails this with a probability of about 2e-6, far below that of meeting in no table.
+    """
+    p = percent / 100
+    least = max(0, int(n * p - 4.6 * (n * p * (1 - p)) ** 0.5))
+    fold = "(({0} | shiftrightunsigned({0}, 4)) & 1085102592571150095L)"  # the bits of each byte gather in its lowest
+    fold2 = "(({0} | shiftrightunsigned({0}, 2)) & 217020518514230019L)"
+    fold1 = "(({0} | shiftrightunsigned({0}, 1)) & 72340172838076673L)"
+    differ = " + ".join(f"bit_count({fold1.format(fold2.format(fold.format(f'({x}[{i}] ^ {y}[{i}])')))})" for i in range(-(-n // 8)))
+    return f"{n} - ({differ}) >= {least}"
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
@@ -89,36 +108,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     its own null component and kept. Rows that share a doc_id are one document in the sense of links.
 
     Equal sets are merged first by a pre-aggregated minimum. In each bucket of each table every document is
-    compared with a hub (the minimum of a hash, again pre-aggregated; four orders over the tables), never with
+    compared with a hub (the least id after one of four exclusive-or masks, again pre-aggregated), never with
     all others; pairs in one bucket that are still in different components afterwards are then compared exactly. So large groups
-    of copies cost links in proportion to their size, and none is lost that a table holds.
+    of copies cost links in proportion to their size, and none is lost that a table holds. Pairs whose signatures
+    rule the similarity out, as those of texts that share one passage, leave before their sets are fetched.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stage(signatures(docs, shingle, k, m, seed))
-    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("halves").alias("halves"))
+    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sig").alias("sig"))
     classes = stage(classes)
-    keys = classes.select(
-        F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.posexplode(F.slice("halves", 1, m)).alias("i", "ka"), F.slice("halves", m + 1, m).alias("kb")
-    ).select("id", "n", F.pmod("i", F.lit(2)).alias("order"), "ka", F.posexplode("kb").alias("j", "kb"))
-    order = (F.col("order") * 2 + F.pmod("j", F.lit(2))).cast("int")
-    keys = keys.select("id", "n", F.xxhash64("ka", "kb").alias("key"), F.xxhash64("id", order).alias("turn"))
-    hubs = keys.groupBy("key").agg(F.min(F.struct("turn", "id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
-    members = stage(keys.drop("turn").join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    about = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig")
+    tables = classes.select(F.col("rep").alias("id"), F.posexplode(F.slice("halves", 1, m)).alias("i", "ka"), F.slice("halves", m + 1, m).alias("kb")).select("id", "i", "ka", F.posexplode("kb").alias("j", "kb"))
+    masks = F.array(*[F.lit(x).cast("long") for x in (0, 0x5A5A5A5A5A5A5A, 0x33CC33CC33CC33, 0x6996699669966)])
+    mask = masks[(F.col("i") % 2 * 2 + F.col("j") % 2).cast("int")]
+    # A key names its table (its halves do), so all rows of a key have one mask.
+    keys = tables.select(F.xxhash64("ka", "kb").alias("key"), F.col("id").bitwiseXOR(mask).alias("x"), mask.alias("mask"))
+    hubs = keys.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key", "lo")
+    members = stage(keys.join(hubs, "key").select("key", F.col("x").bitwiseXOR(F.col("mask")).alias("id"), F.col("lo").bitwiseXOR(F.col("mask")).alias("hub")))
+
+    fits = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {alike('x.sig', 'y.sig', 2 * m * k, percent)}"
     one = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = cut(members.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*one(F.col("id"), F.col("hub"))).distinct())
+    pairs = members.where("id <> hub").select(*one(F.col("id"), F.col("hub"))).distinct()
+    sides = [about.select(F.col("id").alias(c), F.struct("n", "sig").alias(v)) for c, v in (("a", "x"), ("b", "y"))]
+    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b"))
 
     asked = members.select("id").distinct()
-    sets = stage(shingle_sets(docs.join(asked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
-    links = stage(_confirm(pairs, sets, percent))
-    comps = connected_components(links, "a", "b")
+    sets = shingle_sets(docs.join(asked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle)
+    sets = stage(sets.groupBy("doc_id").agg(F.first("s").alias("s")))
+    comps = connected_components(links := cut(_confirm(pairs, sets, percent)), "a", "b")
 
     # What a bucket still holds apart: documents of different components that were not compared yet.
-    labelled = members.select("key", "id", "n").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    labelled = members.select("key", "id").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     apart = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(labelled.join(apart, "key").distinct())
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & fits(F.col("x.n"), F.col("y.n")))
+    rest = stage(labelled.join(apart, "key").distinct().join(about, "id").select("key", "id", "c", "n", "sig"))
+    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {fits}"))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = cut(_confirm(more, sets, percent))
     if not late.isEmpty():
