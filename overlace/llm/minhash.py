@@ -99,6 +99,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def _against_components(work: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between the documents of ``work`` (id, to, to_k) and all members of their component ``to`` of size to_k.
+
+    Sets meet in blocks of about ``block`` on either side; a task has two blocks and gives links only.
+    """
+    chunk = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / block)).alias("chunk")
+    held = sets.withColumnRenamed("doc_id", "id")
+    to = work.groupBy("to", "to_k").agg(F.count(F.lit(1)).alias("n"))
+    gather = lambda df, name: df.join(held, "id").groupBy("to", "chunk").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("s").alias(f"{name}_sets")).drop("chunk")
+    theirs = gather(comps.join(to.select("to", "to_k"), F.col("component") == F.col("to")).select("id", "to", chunk(F.col("to_k"))), "y")
+    mine = gather(work.join(to.select("to", "n"), "to").select("id", "to", chunk(F.col("n"))), "x")
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            xi, xs, yi, ys = (batch.column(c)[0].values for c in range(4))
+            ys = [v.values.to_numpy(zero_copy_only=False) for v in ys]
+            every, owner, size = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(v) for v in ys]), np.array([len(v) for v in ys])
+            a, b, yi = [], [], yi.to_numpy(zero_copy_only=False)
+            for x, v in zip(xi.to_pylist(), xs, strict=True):
+                v = np.sort(v.values.to_numpy(zero_copy_only=False))
+                hit = v[np.minimum(np.searchsorted(v, every), len(v) - 1)] == every
+                common = np.bincount(owner[hit], minlength=len(ys))
+                near = yi[100 * common >= percent * (size + len(v) - common)]
+                a += np.minimum(near, x).tolist()
+                b += np.maximum(near, x).tolist()
+            yield {"a": a, "b": b}
+
+    return map_arrow(mine.join(theirs, "to").select("x_ids", "x_sets", "y_ids", "y_sets"), run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -137,15 +167,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sets = stage(sets.groupBy("doc_id").agg(F.first("s").alias("s")))
     comps = connected_components(links := cut(_confirm(pairs, sets, percent)), "a", "b")
 
-    # What a bucket still holds apart: documents of different components that were not compared yet.
-    labelled = members.select("key", "id").join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    # What a bucket still holds apart: documents of different components. Two lone ones are a pair; a document and a
+    # component of several are a piece of work for blocks of sets, so no pairs are made within large groups.
+    grown = comps.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    known = comps.withColumnRenamed("component", "c").join(grown, "c")
+    labelled = members.select("key", "id").join(known, "id", "left").withColumns({"c": F.coalesce("c", "id"), "k": F.coalesce("k", F.lit(1))})
     apart = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(labelled.join(apart, "key").distinct().join(about, "id").select("key", "id", "c", "n", "sig"))
-    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {fits}"))
+    rest = stage(labelled.join(apart, "key").distinct())
+    lone = rest.where("k = 1").select("key", "id").join(about, "id")
+    more = lone.alias("x").join(lone.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {fits}"))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = cut(_confirm(more, sets, percent))
+    target = rest.where("k > 1").select("key", F.col("c").alias("to"), F.col("k").alias("to_k")).distinct()
+    work = rest.join(target, "key").where("c <> to and (k < to_k or (k = to_k and c < to))").select("id", "to", "to_k").distinct()
+    late = cut(_confirm(more, sets, percent).unionByName(_against_components(cut(work), comps, sets, percent)))
     if not late.isEmpty():
-        comps = connected_components(links.unionByName(late), "a", "b")
+        stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        comps = connected_components(stars.unionByName(late), "a", "b")
 
     label = classes.select("digest", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = seen.select("doc_id", "n_shingles", "digest").join(label, ["digest", "n_shingles"], "left")
