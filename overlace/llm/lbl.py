@@ -184,6 +184,7 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536) -
     counts = stage(token_counts(_training(docs)))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    top += [] if any(t == END for t, _ in top) else [(END, r[1]) for r in counts.where(F.length("token") == 0).collect()]
     classes = {END: 0} | {t: i + 1 for i, (t, _) in enumerate([x for x in top if x[0] != END][:n_classes])}
     by = dict(top)
     c = np.array([by.get(t, 0) for t in classes], float)

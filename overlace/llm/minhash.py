@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     seen = stage(signatures(docs, shingle, k, m, seed))
     classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sig").alias("sig"))
     classes = stage(classes)
-    about = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig")
+    about = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig", "halves")
     tables = classes.select(F.col("rep").alias("id"), F.posexplode(F.slice("halves", 1, m)).alias("i", "ka"), F.slice("halves", m + 1, m).alias("kb")).select("id", "i", "ka", F.posexplode("kb").alias("j", "kb"))
     masks = F.array(*[F.lit(x).cast("long") for x in (0, 0x5A5A5A5A5A5A5A, 0x33CC33CC33CC33, 0x6996699669966)])
     mask = masks[(F.col("i") % 2 * 2 + F.col("j") % 2).cast("int")]
@@ -175,7 +175,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     apart = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = stage(labelled.join(apart, "key").distinct())
     lone = rest.where("k = 1").select("key", "id").join(about, "id")
-    more = lone.alias("x").join(lone.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {fits}"))
+    # Of all tables that hold a pair only the first one makes it.
+    first = lambda at: f"array_position(zip_with(slice(x.halves, {at}, {m}), slice(y.halves, {at}, {m}), (p, q) -> p = q), true) + {at - 2}"
+    once = f"x.key = xxhash64(get(x.halves, cast({first(1)} as int)), get(x.halves, cast({first(m + 1)} as int)))"
+    more = lone.alias("x").join(lone.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {fits} and {once}"))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     target = rest.where("k > 1").select("key", F.col("c").alias("to"), F.col("k").alias("to_k")).distinct()
     work = rest.join(target, "key").where("c <> to and (k < to_k or (k = to_k and c < to))").select("id", "to", "to_k").distinct()
