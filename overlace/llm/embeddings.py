@@ -70,7 +70,7 @@ def _matrix(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(reps: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFrame:
-    """Sequence intervals in grid order: (block, ids, weights, data, lo, hi)."""
+    """Sequence intervals in grid order: (part, seq, ids, weights, data, lo, hi); those of range partition ``part`` are numbered from 0."""
     m = axes.shape[1]
 
     def project(batches):
@@ -85,14 +85,14 @@ def blocks(reps: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFra
     order = [F.col("dim"), *[F.col("cells")[j] for j in range(m)], F.col("rep")]
 
     def gather(batches):
-        part, k = TaskContext.get().partitionId() << 20, 0
+        part, k = TaskContext.get().partitionId(), 0
         for batch in slices(batches, block):
             p = np.array(batch.column(4).to_pylist(), float).reshape(batch.num_rows, m)
             if batch.num_rows:
-                yield {"block": [part + k], "ids": [batch.column(0)], "weights": [batch.column(1)], "data": [batch.column(3).to_pylist()], "lo": [p.min(0)], "hi": [p.max(0)]}
+                yield {"part": [part], "seq": [k], "ids": [batch.column(0)], "weights": [batch.column(1)], "data": [batch.column(3).to_pylist()], "lo": [p.min(0)], "hi": [p.max(0)]}
                 k += 1
 
-    return map_arrow(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order), gather, "block long, ids array<long>, weights array<long>, data array<binary>, lo array<double>, hi array<double>")
+    return map_arrow(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order), gather, "part long, seq long, ids array<long>, weights array<long>, data array<binary>, lo array<double>, hi array<double>")
 
 
 def interval_pairs(boxes: DataFrame, eps: float, m: int) -> DataFrame:
@@ -109,7 +109,7 @@ def interval_pairs(boxes: DataFrame, eps: float, m: int) -> DataFrame:
         last >>= FAN
         up = level.withColumn("node", F.shiftright("node", FAN))
         level = up.groupBy("node").agg(*[F.min(F.col("lo")[j]).alias(f"l{j}") for j in range(m)], *[F.max(F.col("hi")[j]).alias(f"h{j}") for j in range(m)])
-        level = level.select("node", F.array(*[f"l{j}" for j in range(m)]).alias("lo"), F.array(*[f"h{j}" for j in range(m)]).alias("hi"))
+        level = cut(level.select("node", F.array(*[f"l{j}" for j in range(m)]).alias("lo"), F.array(*[f"h{j}" for j in range(m)]).alias("hi")))
     gap = sum((F.greatest(F.lit(0.0), F.col("x.lo")[j] - F.col("y.hi")[j], F.col("y.lo")[j] - F.col("x.hi")[j]) ** 2 for j in range(m)), F.lit(0.0))
     pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
     for depth in range(len(levels) - 2, -1, -1):
@@ -162,6 +162,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, dims: int = 4, block: in
     axes = principal(reps, dims)
     m = axes.shape[1]
     made = stage(blocks(reps, axes, eps, block))
+    # Ids without wide gaps keep the tree over the intervals as low as their number allows.
+    bits = (made.agg(F.max("seq")).first()[0] or 0).bit_length()
+    made = made.withColumn("block", F.shiftleft("part", bits) + F.col("seq"))
     pairs = cut(interval_pairs(made.select("block", "lo", "hi"), eps, m))
     side = lambda k: made.select(F.col("block").alias(k), F.struct("ids", "weights", "data").alias(f"{k}_"))
     work = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_", "b_")
