@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside give their shuffle files back when they end; loops would otherwise pile them up until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: the rows are written to the shared folder once, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, as the mode is fixed when a plan is made
 
 
 def stage(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder; for wide rows, where columns are read back apart."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
