@@ -2,7 +2,7 @@
 
 Two collections A and B of ``m`` small keys (``k`` minhashes each) are computed per document; table (i, j) has the key
 A_i with B_j, so m * m tables of 2k minhashes cost 2 * m * k minhash computations instead of m * m * 2k. Documents of
-similarity s meet with probability (1 - (1 - s^k)^m)^2: 0.9993 at s = 0.8 with the defaults and more above.
+similarity s meet with probability (1 - (1 - s^k)^m)^2: 0.9996 at s = 0.8 with the defaults and more above.
 """
 
 from __future__ import annotations
