@@ -1,10 +1,11 @@
 """10. LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation, and a unigram base.
 
-The model predicts classes: the ``M`` most frequent training tokens, the end, and one class for every other word. Two
-context classes give a prediction vector (a matrix per position), whose product with the output vectors, plus biases, is
-normalised exactly by batched matrix products over distinct contexts. A word of the last class has the class's
-probability times its add-one share among such words. Each task trains on all of its training tokens from a common
-start; the parameters are averaged by tokens.
+The model's words are all training tokens from a count on, the end, and one for every other token. Two context words give
+a prediction vector (a matrix per position). Its product with the vectors of about sqrt(words) classes, plus biases, is
+normalised over the classes, and that with the vectors of the words of a class over the class, both exactly by batched
+matrix products. A token outside the words has the last one's probability times its add-one share among such
+tokens. Each task trains on all of its training tokens from a common start; the vectors are averaged by the steps that
+moved them, the rest by tokens.
 """
 
 from __future__ import annotations
@@ -45,20 +46,46 @@ def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     return map_arrow(docs.select("text"), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _classes(count: np.ndarray) -> np.ndarray:
+    """The first word of each class: about sqrt(k) runs of the words, most frequent first, of equal sums of sqrt(count); the last is alone."""
+    upto = np.cumsum(np.sqrt(count[:-1]))
+    of = (upto / upto[-1:] * np.sqrt(len(upto))).astype(np.int64)
+    return np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(upto))
+
+
+def _rows(*pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the vectors of (ids, vectors) per distinct id."""
+    i, x = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    order = np.argsort(i)
+    i = i[order]
+    at = np.flatnonzero(np.diff(i, prepend=-1))
+    return i[at], np.add.reduceat(x[order], at)
+
+
 class Model:
-    """Parameters R (context vectors, with one for the start), C (a matrix per position), Q and b (outputs)."""
+    """Parameters C (a matrix per position), Q and b (classes), R (context vectors, with one for the start), V and d (words within their class).
 
-    def __init__(self, unigram: np.ndarray, dim: int = DIM, seed: int = 7):
+    ``first`` has the first word of each class; without it every word is a class of its own, and V and d are not used.
+    """
+
+    def __init__(self, unigram: np.ndarray, first: np.ndarray | None = None, dim: int = DIM, seed: int = 7):
         k, rng = len(unigram), np.random.default_rng(seed)
-        self.start = k
-        self.R = rng.normal(0, 0.3, (k + 1, dim)).astype(np.float32)
+        self.start, self.noise = k, unigram
+        self.first = np.arange(k) if first is None else first
+        self.size = np.diff(self.first, append=k)
+        self.of = np.repeat(np.arange(len(self.first)), self.size)
+        self.mass = np.add.reduceat(unigram, self.first)
         self.C = np.stack([np.eye(dim, dtype=np.float32) * 0.5] * 2)
-        self.Q = rng.normal(0, 0.05, (k, dim)).astype(np.float32)
-        self.b = np.log(unigram).astype(np.float32)
-        self.noise = unigram
+        self.Q = rng.normal(0, 0.05, (len(self.first), dim)).astype(np.float32)
+        self.b = np.log(self.mass).astype(np.float32)
+        self.R = rng.normal(0, 0.3, (k + 1, dim)).astype(np.float32)
+        self.V = np.zeros((k, dim), np.float32)
+        self.d = np.log(unigram / self.mass[self.of]).astype(np.float32)
+        self.upto = np.concatenate([[0], np.cumsum(unigram)])
+        self.moved = [np.zeros(len(p), np.float32) for p in (self.R, self.V)]  # steps that moved a word's vectors
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.R, self.C, self.Q, self.b]
+        return [self.C, self.Q, self.b, self.R, self.V, self.d]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -69,56 +96,123 @@ class Model:
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
+    def pieces(self, total: float, block: int = 2048):
+        """(kind, block, ids, weights, values) of all that was trained: vectors that were moved, and the other parameters by ``total``."""
+        for kind, x, w in ((0, self.R, self.moved[0]), (1, np.column_stack([self.V, self.d]), self.moved[1])):
+            ids = np.flatnonzero(w).astype(np.int32)
+            for part in np.split(ids, np.flatnonzero(np.diff(ids // block)) + 1) if len(ids) else ():
+                yield kind, int(part[0]) // block, part, w[part], x[part]
+        rest = np.concatenate([p.ravel() for p in (self.C, self.Q, self.b)])
+        yield 2, 0, np.arange(len(rest), dtype=np.int32), np.full(len(rest), total, np.float32), rest[:, None]
+
+    def put(self, kind: int, ids: np.ndarray, x: np.ndarray) -> None:
+        if kind == 0:
+            self.R[ids] = x
+        elif kind == 1:
+            self.V[ids], self.d[ids] = x[:, :-1], x[:, -1]
+        else:
+            flat = self.flat()
+            flat[ids] = x[:, 0]  # C, Q and b come first
+            self.load(flat)
+
     def predict(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         return self.R[c1] @ self.C[0] + self.R[c2] @ self.C[1]
 
-    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 64, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
-        """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``."""
+    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 64, k_word: int = 4, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
+        """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``.
+
+        The noise is ``k`` classes for a batch, and ``k_word`` words of the true word's class for a row. Steps are AdaGrad's;
+        context and word vectors sum their rows' gradients, the others take a batch's mean.
+        """
         n = -(-weights // cap)
         rows = np.repeat(np.arange(len(n)), n)
         share = (weights / n)[rows].astype(np.float32)
         order = rng.permutation(len(rows))
-        seen = [np.full_like(p, 0.1) for p in self.parameters()]
-        noise = np.cumsum(self.noise)
+        seen = [np.full_like(p, 0.1) for p in (self.C, self.Q, self.b)]
+        seen_r, seen_v = np.full(len(self.R), 0.1, np.float32), np.full(len(self.V), 0.1, np.float32)
+        noise, lift = np.cumsum(self.mass), np.log(k * self.mass).astype(np.float32)
+        lift_word = np.log(k_word * self.noise / self.mass[self.of]).astype(np.float32)
         for i in range(0, len(order), batch):
             o = order[i : i + batch]
             (c1, c2, w), a = triples[:, rows[o]], share[o] / share[o].mean() / len(o)
+            c, q = self.of[w], self.predict(c1, c2)
             neg = np.minimum(np.searchsorted(noise, rng.random(k) * noise[-1]), len(noise) - 1)
-            q = self.predict(c1, c2)
-            lift = np.log(k * self.noise).astype(np.float32)
-            pos = np.einsum("ij,ij->i", q, self.Q[w]) + self.b[w] - lift[w]
+            pos = np.einsum("ij,ij->i", q, self.Q[c]) + self.b[c] - lift[c]
             out = q @ self.Q[neg].T + (self.b[neg] - lift[neg])
             gp = a / (1 + np.exp(np.clip(pos, -30, 30)))
             gn = -a[:, None] / (1 + np.exp(-np.clip(out, -30, 30)))
-            gq = gp[:, None] * self.Q[w] + gn @ self.Q[neg]
-            grad = [np.zeros_like(p) for p in self.parameters()]
-            np.add.at(grad[2], w, gp[:, None] * q)
-            np.add.at(grad[2], neg, gn.T @ q)
-            grad[3] += np.bincount(w, gp, len(self.b)).astype(np.float32)
-            np.add.at(grad[3], neg, gn.sum(0))
-            np.add.at(grad[0], c1, gq @ self.C[0].T)
-            np.add.at(grad[0], c2, gq @ self.C[1].T)
-            grad[1][0], grad[1][1] = self.R[c1].T @ gq, self.R[c2].T @ gq
-            for p, g, s in zip(self.parameters(), grad, seen, strict=True):
+            gq = (gp[:, None] * self.Q[c] + gn @ self.Q[neg]) * len(o)
+            grad = [np.zeros_like(p) for p in (self.C, self.Q, self.b)]
+            np.add.at(grad[1], c, gp[:, None] * q)
+            np.add.at(grad[1], neg, gn.T @ q)
+            grad[2] += np.bincount(c, gp, len(self.b)).astype(np.float32)
+            np.add.at(grad[2], neg, gn.sum(0))
+
+            m = np.flatnonzero(self.size[c] > 1)
+            if len(m):
+                wm, qm, am = w[m], q[m], a[m] * len(o)
+                lo, hi = self.upto[self.first[c[m]]], self.upto[self.first[c[m]] + self.size[c[m]]]
+                other = np.searchsorted(self.upto, lo[:, None] + rng.random((len(m), k_word)) * (hi - lo)[:, None], "right") - 1
+                other = np.clip(other, self.first[c[m]][:, None], (self.first[c[m]] + self.size[c[m]] - 1)[:, None])
+                every = np.concatenate([wm[:, None], other], 1)
+                v = self.V[every]
+                s = np.einsum("ikj,ij->ik", v, qm) + self.d[every] - lift_word[every]
+                g = -am[:, None] / (1 + np.exp(-np.clip(s, -30, 30)))
+                g[:, 0] += am
+                gq[m] += np.einsum("ik,ikj->ij", g, v)
+                x = np.concatenate([g[:, :, None] * qm[:, None], g[:, :, None]], 2)
+                at, x = _rows((every.ravel(), x.reshape(-1, x.shape[2])))
+                seen_v[at] += (x * x).mean(1)
+                x *= rate / np.sqrt(seen_v[at])[:, None]
+                self.V[at] += x[:, :-1]
+                self.d[at] += x[:, -1]
+                self.moved[1][at] += 1
+
+            grad[0][0], grad[0][1] = self.R[c1].T @ gq / len(o), self.R[c2].T @ gq / len(o)
+            at, x = _rows((c1, gq @ self.C[0].T), (c2, gq @ self.C[1].T))
+            seen_r[at] += (x * x).mean(1)
+            self.R[at] += x * (rate / np.sqrt(seen_r[at]))[:, None]
+            self.moved[0][at] += 1
+            for p, g, s in zip((self.C, self.Q, self.b), grad, seen, strict=True):
                 g *= 100.0
                 s += g * g
                 p += rate * g / np.sqrt(s)
 
     def normaliser(self):
-        """A function from context codes to log normalisers, computed once for each context that occurs."""
-        known = np.full((self.start + 1) ** 2, np.nan, np.float32)
+        """A function from context codes to log normalisers of the classes, computed once for each distinct context of a call."""
 
         def log_z(code: np.ndarray) -> np.ndarray:
-            new = np.unique(code[np.isnan(known[code])])
-            for i in range(0, len(new), 2048):
-                c = new[i : i + 2048]
-                s = self.predict(c // (self.start + 1), c % (self.start + 1)) @ self.Q.T + self.b
-                top = s.max(1)
-                known[c] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            return known[code]
+            new, back = np.unique(code, return_inverse=True)
+            z = np.empty(len(new), np.float32)
+            for i in range(0, len(new), 1024):
+                c = new[i : i + 1024]
+                z[i : i + 1024] = _log_sum(self.predict(c // (self.start + 1), c % (self.start + 1)) @ self.Q.T + self.b)
+            return z[back]
 
         return log_z
 
+    def log_probability(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of each word after its context: its class's logarithm and its own within the class, both normalised exactly."""
+        q, c = self.predict(c1, c2), self.of[w]
+        out = np.einsum("ij,ij->i", q, self.Q[c]) + self.b[c] - self.normaliser()(c1 * (self.start + 1) + c2)
+        order = np.argsort(c, kind="stable")
+        ends = np.cumsum(np.bincount(c, minlength=len(self.first)))
+        for k in np.unique(c[self.size[c] > 1]):
+            a, z = self.first[k], self.first[k] + self.size[k]
+            for i in range(ends[k - 1] if k else 0, ends[k], 1024):
+                o = order[i : min(i + 1024, ends[k])]
+                s = q[o] @ self.V[a:z].T + self.d[a:z]
+                out[o] += s[np.arange(len(o)), w[o] - a]
+                out[o] -= _log_sum(s)
+        return out
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; overwrites ``s``."""
+    top = s.max(1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(1))
+
 
 def _contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The class before, and the one before that, of each token; START before a document's first."""
@@ -132,27 +226,52 @@ def _contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray
     return c1, c2
 
 
-def train_model(docs: DataFrame, classes: dict[bytes, int], unigram: np.ndarray, tokens_at_once: int = 2_000_000) -> Model:
-    """Trains over all training documents; only sums of parameters, one row for each, leave the tasks."""
+def _mean(pieces: DataFrame) -> DataFrame:
+    """(kind, ids, x): the weighted means of the pieces of all tasks, summed one piece at a time."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in slices(batches, 16):
+            for kind, block, ids, w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, w = np.frombuffer(ids, np.int32), np.frombuffer(w, np.float32).astype(float)
+                x = np.frombuffer(x, np.float32).reshape(len(ids), -1)
+                low, sums = held.get((kind, block), (0, np.zeros((0, x.shape[1] + 1))))
+                low = low if len(sums) else int(ids[0])
+                if ids[0] < low or ids[-1] >= low + len(sums):
+                    least, most = min(low, int(ids[0])), max(low + len(sums), int(ids[-1]) + 1)
+                    sums, low = np.pad(sums, ((low - least, most - low - len(sums)), (0, 0))), least
+                sums[ids - low] += np.column_stack([x * w[:, None], w])
+                held[kind, block] = low, sums
+        for (kind, _), (low, sums) in held.items():
+            at = np.flatnonzero(sums[:, -1])
+            yield {"kind": [kind], "ids": [(at + low).astype(np.int32).tobytes()], "x": [(sums[at, :-1] / sums[at, -1:]).astype(np.float32).tobytes()]}
+
+    return map_arrow(pieces.repartition("kind", "block"), run, "kind int, ids binary, x binary")
+
+
+def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray, tokens_at_once: int = 2_000_000) -> Model:
+    """Trains over all training documents; of each task only the vectors that it moved leave it."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((classes, unigram))  # bounded by the number of classes
+    shared = sc.broadcast((words_of, unigram))  # as large as the model's vocabulary
 
     def run(batches):
         known, uni = shared.value
-        model, rest = Model(uni), len(uni) - 1
+        model, rest = Model(uni, _classes(uni)), len(uni) - 1
         width, rng = model.start + 1, np.random.default_rng(TaskContext.get().partitionId())
         held, n, total = [], 0, 0
 
         def learn():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            triples = np.stack([codes // (width * width), codes // width % width, codes % width])
-            model.train(triples, counts, rng)
+            pair, word = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            pairs, at = np.unique(pair, return_inverse=True)
+            codes, counts = np.unique(at * width + word, return_counts=True)
+            pair, word = pairs[codes // width], codes % width
+            model.train(np.stack([pair // width, pair % width, word]), counts, rng)
 
         for batch in slices(batches):
             per = [words(t) + [END] for t in texts(batch)]
             ids = np.fromiter((known.get(w, rest) for ws in per for w in ws), np.int64)
             c1, c2 = _contexts(ids, np.cumsum([len(x) for x in per]) - 1, model.start)
-            held.append((c1 * width + c2) * width + ids)
+            held.append((c1 * width + c2, ids))
             n += len(ids)
             if n >= tokens_at_once:
                 learn()
@@ -161,31 +280,34 @@ def train_model(docs: DataFrame, classes: dict[bytes, int], unigram: np.ndarray,
             learn()
             total += n
         if total:
-            flat = model.flat().astype(np.float64)
-            yield {"i": np.arange(len(flat), dtype=np.int32), "wx": flat * total, "w": np.full(len(flat), float(total))}
+            for kind, block, *arrays in model.pieces(float(total)):
+                yield {"kind": [kind], "block": [block]} | {k: [x.tobytes()] for k, x in zip(("ids", "w", "x"), arrays, strict=True)}
 
-    model = Model(unigram)
-    got = map_arrow(_training(docs), run, "i int, wx double, w double").groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("x")).toPandas().sort_values("i")
-    if len(got):
-        model.load(got["x"].to_numpy(np.float32))
+    model = Model(unigram, _classes(unigram))
+    for r in _mean(map_arrow(_training(docs), run, "kind int, block int, ids binary, w binary, x binary")).toLocalIterator():
+        ids = np.frombuffer(r.ids, np.int32)
+        model.put(r.kind, ids, np.frombuffer(r.x, np.float32).reshape(len(ids), -1))
     return model
 
 
-def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536) -> DataFrame:
+def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, least_count: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
-    Trained on rows whose crc32 of the id as text, modulo 7, is not 2. The ``head`` most frequent tokens' counts are
-    broadcast, a bounded table; the counts of all other tokens are joined. A null or empty text is its
+    Trained on rows whose crc32 of the id as text, modulo 7, is not 2. The model's words are all tokens that occur
+    ``least_count`` times in training, and at least the ``n_classes`` most frequent. Their counts, and those of the ``head``
+    most frequent tokens, are broadcast; the counts of all other tokens are joined. A null or empty text is its
     end alone; a null id is in no fold, so it is scored and not learned from. Repeated rows keep a row each. Without
     training rows the counts are zero and the model is uniform.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     counts = stage(token_counts(_training(docs)))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    n, v, frequent = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= least_count)).first()
+    first = counts.where(F.col("c") >= least_count) if frequent > head else counts.orderBy(F.desc("c"), "token").limit(head)
+    first = first.select("token", "c").toArrow()
+    top = sorted(zip(first["token"].to_pylist(), first["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     top += [] if any(t == END for t, _ in top) else [(END, r[1]) for r in counts.where(F.length("token") == 0).collect()]
-    classes = {END: 0} | {t: i + 1 for i, (t, _) in enumerate([x for x in top if x[0] != END][:n_classes])}
+    classes = {END: 0} | {t: i + 1 for i, (t, _) in enumerate([x for x in top if x[0] != END][: max(n_classes, frequent)])}
     by = dict(top)
     c = np.array([by.get(t, 0) for t in classes], float)
     others, v_others = n - c.sum(), v - sum(t in by for t in classes)
@@ -196,9 +318,8 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536) -
 
     def run(batches):
         place, logs, known, uni, flat = shared.value
-        m, rest = Model(uni), len(uni) - 1
+        m, rest = Model(uni, _classes(uni)), len(uni) - 1
         m.load(flat)
-        log_z, width = m.normaliser(), m.start + 1
         to_class = np.full(len(place) + 1, rest)
         for t, i in known.items():
             if t in place:
@@ -212,10 +333,7 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536) -
             if END not in place:
                 ids[ends] = 0
             c1, c2 = _contexts(ids, ends, m.start)
-            code = c1 * width + c2
-            contexts, back = np.unique(code, return_inverse=True)
-            q = m.predict(contexts // width, contexts % width)
-            logp = (np.einsum("ij,ij->i", q[back], m.Q[ids]) + m.b[ids] - log_z(code)) / np.log(10)
+            logp = m.log_probability(c1, c2, ids) / np.log(10)
             begin = ends - size + 1
             add = lambda x: np.add.reduceat(x.astype(float), begin)
             tail = [Counter(w for w, k in zip(ws, at[b : b + len(ws)] == miss, strict=True) if k and w != END) if (at[b : b + len(ws)] == miss).any() else {} for ws, b in zip(per, begin, strict=True)]

@@ -236,3 +236,23 @@ def test_lm_is_normalised():
     c1, c2 = rng.integers(0, 21, 50), rng.integers(0, 21, 50)
     logs = m.predict(c1, c2) @ m.Q.T + m.b - m.normaliser()(c1 * 21 + c2)[:, None]
     assert np.exp(logs).sum(1) == pytest.approx(np.ones(50), rel=1e-4)
+
+
+def test_lm_words_follow_the_corpus(spark):
+    random.seed(9)
+    tokens = [f"w{k}" for k in range(2000)] * 12  # all equally frequent, so the base scores of single words agree
+    random.shuffle(tokens)
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, " ".join(tokens[k :: len(ids)])) for k, i in enumerate(ids)] + [(None, f"w{k}") for k in range(2000)]
+    got = lbl.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("doc_id is null").toPandas()
+    assert got.base_score.round(6).nunique() == 1 and got.score.nunique() > 1900
+
+
+def test_lm_words_and_classes_are_normalised():
+    rng = np.random.default_rng(8)
+    unigram = rng.random(90)
+    m = lbl.Model(unigram / unigram.sum(), lbl._classes(unigram))
+    m.load(rng.normal(size=m.flat().size))
+    assert 1 < len(m.first) < 20 and m.size[-1] == 1
+    c1, c2 = np.repeat(rng.integers(0, 91, (2, 30)), 90, axis=1)
+    assert np.exp(m.log_probability(c1, c2, np.tile(np.arange(90), 30))).reshape(30, 90).sum(1) == pytest.approx(np.ones(30), rel=1e-4)
