@@ -15,6 +15,7 @@ from overlace.llm import gam, minhash, packing, rules
 from overlace.llm.common import table
 from overlace.llm.queries import tokenizer_path
 from overlace.plans.lineage import shared_dir
+from overlace.plans.lineage import stage as stage_table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +29,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs).where("kept").select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, a number for each distinct (doc_id, text) in order of the ids; only digests are sorted."""
+    docs = docs.withColumn("_digest", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", "_digest").distinct().repartitionByRange(parts, "doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    rows = stage_table(texts.withColumn("_row", F.monotonically_increasing_id()))
+    return docs.join(rows, ["doc_id", "_digest"]).drop("_digest")
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id.
+
+    Rows that share an id are apart unless their texts are equal or near copies; rows without an id all stay.
+    """
+    known, key = docs.where("doc_id is not null"), "doc_id"
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        known, key = _numbered(known), "_row"
+    kept = minhash.near_duplicates(known.select(F.col(key).alias("doc_id"), "text"), shingle=5, percent=80).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    known = known.join(kept, key, "left_semi")
+    known = known.dropDuplicates([key]) if key == "_row" else known
+    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,3 +27,13 @@ def test_stages(spark, tmp_path):
     encode = WordEncoder(tokenizer_path("word_bpe_49k.json"))
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert out.length.sum() == sum(len(encode(t)) // 4 + 1 for i, t, _ in rows if i < 150)
+
+
+def test_rows_that_share_an_id(spark):
+    random.seed(2)
+    text = lambda: " ".join(f"w{random.randrange(5000)}" for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, c), (4, d), (4, c + " end"), (5, None), (5, ""), (None, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (4, d), (5, None), (5, ""), (None, d), (None, d)], key=str)
