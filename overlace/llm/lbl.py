@@ -249,8 +249,11 @@ def _mean(pieces: DataFrame) -> DataFrame:
     return map_arrow(pieces.repartition("kind", "block"), run, "kind int, ids binary, x binary")
 
 
-def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray, tokens_at_once: int = 2_000_000) -> Model:
-    """Trains over all training documents; of each task only the vectors that it moved leave it."""
+def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray, n_tokens: int, tokens_at_once: int = 2_000_000, least_tokens: int = 500_000) -> Model:
+    """Trains over all training documents; of each task only the vectors that it moved leave it.
+
+    Small partitions are merged, without a shuffle, to tasks of about ``least_tokens`` each, so that a task takes enough steps.
+    """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((words_of, unigram))  # as large as the model's vocabulary
 
@@ -284,7 +287,8 @@ def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray
                 yield {"kind": [kind], "block": [block]} | {k: [x.tobytes()] for k, x in zip(("ids", "w", "x"), arrays, strict=True)}
 
     model = Model(unigram, _classes(unigram))
-    for r in _mean(map_arrow(_training(docs), run, "kind int, block int, ids binary, w binary, x binary")).toLocalIterator():
+    train = _training(docs).coalesce(max(1, n_tokens // least_tokens))
+    for r in _mean(map_arrow(train, run, "kind int, block int, ids binary, w binary, x binary")).toLocalIterator():
         ids = np.frombuffer(r.ids, np.int32)
         model.put(r.kind, ids, np.frombuffer(r.x, np.float32).reshape(len(ids), -1))
     return model
@@ -313,7 +317,7 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, l
     others, v_others = n - c.sum(), v - sum(t in by for t in classes)
     unigram = np.append(c + 1, max(0.0, others) + 1)
     unigram /= unigram.sum()
-    model = train_model(docs, classes, unigram)
+    model = train_model(docs, classes, unigram, n)
     shared = sc.broadcast(({t: i for i, (t, _) in enumerate(top)}, np.log10(np.array([x for _, x in top] + [0], float) + 1), classes, unigram, model.flat()))
 
     def run(batches):

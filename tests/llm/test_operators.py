@@ -256,3 +256,11 @@ def test_lm_words_and_classes_are_normalised():
     assert 1 < len(m.first) < 20 and m.size[-1] == 1
     c1, c2 = np.repeat(rng.integers(0, 91, (2, 30)), 90, axis=1)
     assert np.exp(m.log_probability(c1, c2, np.tile(np.arange(90), 30))).reshape(30, 90).sum(1) == pytest.approx(np.ones(30), rel=1e-4)
+
+
+def test_lm_learns_alike_from_small_partitions(spark):
+    random.seed(10)
+    rows = [(i, " ".join(f"x{(k := random.randrange(40))} y{k}" for _ in range(100))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gain = [lbl.score_documents(df.repartition(n, "doc_id")).agg(F.sum(F.col("score") - F.col("base_score"))).first()[0] for n in (1, 40)]
+    assert gain[1] > 0.9 * gain[0] > 0
