@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from overlace.plans.lineage import cut, dropping_shuffles
+from overlace.plans.lineage import cut, drop
 
 
-def _signature(df: DataFrame):
-    with dropping_shuffles(df.sparkSession):
-        row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _observed(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """The staged table and its count and sum of row hashes, taken while it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    got = seen.get
+    return out, (got["n"], got["h"])
+
+
+#: Rows from which on the minima of a round are staged: a join with them then reads two plain exchanges, so AQE can split the
+#: rows of a hub over many tasks. Below it a hub's task is small, and a table more costs more than it saves.
+HUBS_FROM = 50_000
+
+
+def _lowest(pairs: DataFrame) -> DataFrame:
+    """(u, m): the smallest neighbour of each u, reduced before the shuffle."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every endpoint; component is the smallest id reachable.
 
     Each round rewires every vertex to the smallest id in its neighbourhood (two pre-aggregated minima and two
-    equi-joins, which AQE can split on hub vertices), so the number of rounds is logarithmic in practice whatever the
-    diameter. Null endpoints and self-loops are ignored; an empty table gives an empty result.
+    equi-joins, which AQE splits on hub vertices), so the number of rounds is logarithmic in practice whatever the
+    diameter. A round's tables go when the next one's exist. Null endpoints and self-loops are ignored; an empty
+    table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
-    cur = cut(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    before = None
-    while (now := _signature(cur)) != before:
+    cur, now = _observed(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    before = (0, None)
+    while now != before and now[0]:
         before = now
+        kept = cut if now[0] >= HUBS_FROM else lambda df: df
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        low = kept(_lowest(both))
+        large = kept(both.join(low.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = kept(_lowest(large))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, now = _observed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(cur, low, large, least)
+        cur = new
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -50,3 +64,12 @@ def hyper_components(inc: DataFrame, seed: str = "edge") -> DataFrame:
     one, other = ("E", "N") if seed == "edge" else ("N", "E")
     own = F.col("id") < top
     return found.select(F.when(own, one).otherwise(other).alias("kind"), F.when(own, F.col("id")).otherwise(F.col("id") - top).alias("id"), F.col("component").alias("label"))
+
+
+def component_lists(found: DataFrame) -> DataFrame:
+    """(label, edges, nodes): sorted member lists of the components that ``hyper_components`` found.
+
+    A row holds a whole component, so this is a report for small ones; the labels serve large graphs.
+    """
+    side = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
+    return found.groupBy("label").agg(side("E").alias("edges"), side("N").alias("nodes"))

@@ -1,4 +1,4 @@
-"""Cutting lineage safely: reliable checkpoints and staged tables in the shared folder."""
+"""Cutting lineage safely: tables written once to the shared folder, and dropped as soon as nothing needs them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,30 +38,44 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are written to the shared folder once, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    with dropping_shuffles(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)  # a plan of its own, as the mode is fixed when a plan is made
-
-
 def stage(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder; for wide rows, where columns are read back apart."""
+    """The rows as a Parquet table in the shared folder, written once, so that a lost executor costs no recomputation.
+
+    The table stays until ``drop`` is called with the result, or the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     with dropping_shuffles(spark):
-        df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+        df.select("*").write.parquet(path)  # a plan of its own, as the mode is fixed when a plan is made
+    _STAGED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+#: The name of ``stage`` in loops, where each round's table replaces the one before.
+cut = stage
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path in _STAGED:
+            _delete(_STAGED.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release() -> None:
-    """Delete the staged tables; results that still read them must have been written before."""
+    """Deletes all staged tables; results that still read them must have been written before."""
     while _STAGED:
-        spark, path = _STAGED.pop()
+        path, spark = _STAGED.popitem()
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: its folder goes with it
             return
 
