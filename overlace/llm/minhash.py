@@ -17,13 +17,25 @@ from pyspark.sql import functions as F
 from overlace.llm.common import map_arrow, slices, texts
 from overlace.llm.words import WordHasher, mix, shingle_hashes, words
 from overlace.operators.components import connected_components
-from overlace.plans.lineage import cut, stage
+from overlace.plans.lineage import cut, drop, stage
 
 K, M = 3, 12
 
 
+def _minhashes(s: np.ndarray, xor: np.ndarray, odd: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The minimum of each of the hash functions over a set, in blocks, so that memory is bounded whatever the set's size."""
+    low = np.full(len(xor), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), block):
+        np.minimum(low, ((s[i : i + block] ^ xor[:, None]) * odd[:, None]).min(1), out=low)
+    return low
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, halves, sig); empty arrays without words.
+    """(doc_id, n_shingles, digest of the set, halves, sig); empty values without words.
 
     halves holds the m keys of A, then those of B; sig one byte of each minhash, eight in a long.
     """
@@ -37,12 +49,12 @@ def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) ->
             for text in texts(batch):
                 s = shingle_hashes(words(text), shingle, hasher)
                 n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(_digest(s))
                 if not len(s):
                     halves.append([])
                     sigs.append([])
                     continue
-                low = np.array([((s ^ x) * o).min() for x, o in zip(xor, odd, strict=True)], np.uint64).reshape(2 * m, k)
+                low = _minhashes(s, xor, odd).reshape(2 * m, k)
                 key = side.copy()
                 for c in range(k):
                     key = mix(key + low[:, c])
@@ -54,34 +66,39 @@ def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) ->
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, s): the sorted distinct shingle hashes."""
+    """(n_shingles, digest, s): s are the sorted distinct shingle hashes."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in slices(batches):
-            yield {"doc_id": batch.column(0), "s": [shingle_hashes(words(t), shingle, hasher).view(np.int64) for t in texts(batch)]}
+            sets = [shingle_hashes(words(t), shingle, hasher) for t in texts(batch)]
+            yield {"n_shingles": [len(s) for s in sets], "digest": [_digest(s) for s in sets], "s": [s.view(np.int64) for s in sets]}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, s array<long>")
+    return map_arrow(docs.select("text"), run, "n_shingles long, digest binary, s array<long>")
 
 
-def alike(x: str, y: str, n: int, percent: int) -> str:
-    """SQL for: the signatures of n minhashes agree as often as sets of the similarity do, less 4.6 standard deviations.
+def _least_alike(n: int, percent: int) -> int:
+    """How many of n minhashes two sets of the similarity share, less 4.6 standard deviations.
 
     A pair at the similarity itself fails this with a probability of about 2e-6, far below that of meeting in no table.
     """
     p = percent / 100
-    least = max(0, int(n * p - 4.6 * (n * p * (1 - p)) ** 0.5))
+    return max(0, int(n * p - 4.6 * (n * p * (1 - p)) ** 0.5))
+
+
+def alike(x: str, y: str, n: int, percent: int) -> str:
+    """SQL for: the signatures of n minhashes agree as often as ``_least_alike`` asks."""
     fold = "(({0} | shiftrightunsigned({0}, 4)) & 1085102592571150095L)"  # the bits of each byte gather in its lowest
     fold2 = "(({0} | shiftrightunsigned({0}, 2)) & 217020518514230019L)"
     fold1 = "(({0} | shiftrightunsigned({0}, 1)) & 72340172838076673L)"
     differ = " + ".join(f"bit_count({fold1.format(fold2.format(fold.format(f'({x}[{i}] ^ {y}[{i}])')))})" for i in range(-(-n // 8)))
-    return f"{n} - ({differ}) >= {least}"
+    return f"{n} - ({differ}) >= {_least_alike(n, percent)}"
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    """The pairs (a, b) whose full sets (id, s) reach the similarity."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches):
         for batch in slices(batches, 512):
@@ -99,34 +116,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _against_components(work: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) between the documents of ``work`` (id, to, to_k) and all members of their component ``to`` of size to_k.
+def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, n_hashes: int, percent: int, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of the classes of ``work`` (id, to, to_k) and members of their component ``to`` of size to_k, whose signatures fit.
 
-    Sets meet in blocks of about ``block`` on either side; a task has two blocks and gives links only.
+    Signatures meet in blocks of about ``block`` on either side. They are of one size, so a row is bounded whatever the texts;
+    every pair of blocks has a key of its own, so no component gathers in one task.
     """
-    chunk = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / block)).alias("chunk")
-    held = sets.withColumnRenamed("doc_id", "id")
-    to = work.groupBy("to", "to_k").agg(F.count(F.lit(1)).alias("n"))
-    gather = lambda df, name: df.join(held, "id").groupBy("to", "chunk").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("s").alias(f"{name}_sets")).drop("chunk")
-    theirs = gather(comps.join(to.select("to", "to_k"), F.col("component") == F.col("to")).select("id", "to", chunk(F.col("to_k"))), "y")
-    mine = gather(work.join(to.select("to", "n"), "to").select("id", "to", chunk(F.col("n"))), "x")
+    to = cut(work.groupBy("to", "to_k").agg(F.count(F.lit(1)).alias("n")).select("to", F.ceil(F.col("n") / block).alias("xs"), F.ceil(F.col("to_k") / block).alias("ys")))
+    item = F.struct("id", "n", "sig")
+    gather = lambda df, of: df.join(about, "id").groupBy("to", F.pmod(F.xxhash64("id"), F.col(of)).alias("at")).agg(F.collect_list(item).alias(of))
+    theirs = gather(comps.join(to, F.col("component") == F.col("to")).select("id", "to", "ys"), "ys")
+    mine = gather(work.join(to, "to").select("id", "to", "xs"), "xs").withColumnRenamed("at", "x_at")
+    mine = mine.join(to.select("to", "ys"), "to").select("to", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("at"))
+    least = _least_alike(n_hashes, percent)
+
+    def unpack(rows):
+        ids, n, sig = (rows.field(c) for c in ("id", "n", "sig"))
+        bytes_ = sig.flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False).view(np.uint8).reshape(len(ids), -1)
+        return ids.to_numpy(), n.to_numpy(), bytes_[:, :n_hashes]
 
     def run(batches):
         for batch in slices(batches, 1):
-            xi, xs, yi, ys = (batch.column(c)[0].values for c in range(4))
-            ys = [v.values.to_numpy(zero_copy_only=False) for v in ys]
-            every, owner, size = np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(v) for v in ys]), np.array([len(v) for v in ys])
-            a, b, yi = [], [], yi.to_numpy(zero_copy_only=False)
-            for x, v in zip(xi.to_pylist(), xs, strict=True):
-                v = np.sort(v.values.to_numpy(zero_copy_only=False))
-                hit = v[np.minimum(np.searchsorted(v, every), len(v) - 1)] == every
-                common = np.bincount(owner[hit], minlength=len(ys))
-                near = yi[100 * common >= percent * (size + len(v) - common)]
-                a += np.minimum(near, x).tolist()
-                b += np.maximum(near, x).tolist()
+            (xi, xn, xs), (yi, yn, ys) = (unpack(batch.column(c)[0].values) for c in (0, 1))
+            a, b = [], []
+            for i, n, sig in zip(xi.tolist(), xn.tolist(), xs, strict=True):
+                near = np.flatnonzero(np.minimum(yn, n) * 100 >= np.maximum(yn, n) * percent)
+                near = yi[near[np.count_nonzero(ys[near] == sig, axis=1) >= least]]
+                a += np.minimum(near, i).tolist()
+                b += np.maximum(near, i).tolist()
             yield {"a": a, "b": b}
 
-    return map_arrow(mine.join(theirs, "to").select("x_ids", "x_sets", "y_ids", "y_sets"), run, "a long, b long")
+    return map_arrow(mine.join(theirs, ["to", "at"]).select("xs", "ys"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 1) -> DataFrame:
@@ -135,59 +155,74 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     Documents are linked where 100 * |intersection| >= percent * |union| of their shingle sets (words of runs without
     ASCII white space, A-Z lower-cased). component_id is the smallest doc_id reachable, kept tells whether it is
     the row's own. Texts without words, null ones too, have no shingles and link with nothing; a row with a null doc_id is
-    its own null component and kept. Rows that share a doc_id are one document in the sense of links.
-
-    Equal sets are merged first by a pre-aggregated minimum. In each bucket of each table every document is
-    compared with a hub (the least id after one of four exclusive-or masks, again pre-aggregated), never with
-    all others; pairs in one bucket that are still in different components afterwards are then compared exactly. So large groups
-    of copies cost links in proportion to their size, and none is lost that a table holds. Pairs whose signatures
-    rule the similarity out, as those of texts that share one passage, leave before their sets are fetched.
+    its own null component and kept. Rows that share a doc_id are documents of their own, linked by their texts alone. Other columns are dropped.
+
+    Equal sets are merged first by a pre-aggregated minimum; a class is numbered, so ids that repeat do no harm. Half keys
+    that one class alone holds meet nobody, so they leave before the tables are formed. In each bucket of each table every class is
+    compared with a hub (the least number after one of four exclusive-or masks, again pre-aggregated), never with
+    all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
+    where those fit, exactly. So large groups of copies cost links in proportion to their size, and none is lost that a table
+    holds. Pairs whose signatures rule the similarity out, as those of texts that share one passage, leave before
+    their sets are fetched; the comparison of the signatures is quadratic in such a bucket.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stage(signatures(docs, shingle, k, m, seed))
     classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sig").alias("sig"))
-    classes = stage(classes)
-    about = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig", "halves")
-    tables = classes.select(F.col("rep").alias("id"), F.posexplode(F.slice("halves", 1, m)).alias("i", "ka"), F.slice("halves", m + 1, m).alias("kb")).select("id", "i", "ka", F.posexplode("kb").alias("j", "kb"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()))
+    about = classes.select("id", F.col("n_shingles").alias("n"), "sig")
+
+    half = classes.select("id", F.posexplode("halves").alias("p", "h"))
+    common = cut(half.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"))
+    side = lambda which: F.collect_list(F.when(which, F.struct("p", "h")))
+    shared = cut(half.join(common, "h").groupBy("id").agg(side(F.col("p") < m).alias("a"), side(F.col("p") >= m).alias("b")))
+    tables = shared.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b"))
     masks = F.array(*[F.lit(x).cast("long") for x in (0, 0x5A5A5A5A5A5A5A, 0x33CC33CC33CC33, 0x6996699669966)])
-    mask = masks[(F.col("i") % 2 * 2 + F.col("j") % 2).cast("int")]
+    mask = masks[(F.col("a.p") % 2 * 2 + F.col("b.p") % 2).cast("int")]
     # A key names its table (its halves do), so all rows of a key have one mask.
-    keys = tables.select(F.xxhash64("ka", "kb").alias("key"), F.col("id").bitwiseXOR(mask).alias("x"), mask.alias("mask"))
-    hubs = keys.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key", "lo")
+    keys = tables.select(F.xxhash64("a.h", "b.h").alias("key"), F.col("id").bitwiseXOR(mask).alias("x"), mask.alias("mask"))
+    hubs = cut(keys.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key", "lo"))
     members = stage(keys.join(hubs, "key").select("key", F.col("x").bitwiseXOR(F.col("mask")).alias("id"), F.col("lo").bitwiseXOR(F.col("mask")).alias("hub")))
+    drop(common, shared, hubs)
 
-    fits = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {alike('x.sig', 'y.sig', 2 * m * k, percent)}"
+    n_hashes = 2 * m * k
+    fits = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {alike('x.sig', 'y.sig', n_hashes, percent)}"
     one = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = members.where("id <> hub").select(*one(F.col("id"), F.col("hub"))).distinct()
     sides = [about.select(F.col("id").alias(c), F.struct("n", "sig").alias(v)) for c, v in (("a", "x"), ("b", "y"))]
     pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b"))
 
-    asked = members.select("id").distinct()
-    sets = shingle_sets(docs.join(asked.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle)
-    sets = stage(sets.groupBy("doc_id").agg(F.first("s").alias("s")))
+    asked = cut(members.select("id").distinct().join(classes.select("id", "rep", "digest", "n_shingles"), "id"))
+    sets = shingle_sets(docs.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
+    sets = sets.groupBy("digest", "n_shingles").agg(F.first("s").alias("s"))
+    sets = stage(sets.join(asked.select("digest", "n_shingles", "id"), ["digest", "n_shingles"]).select("id", "s"))
     comps = connected_components(links := cut(_confirm(pairs, sets, percent)), "a", "b")
 
-    # What a bucket still holds apart: documents of different components. Two lone ones are a pair; a document and a
-    # component of several are a piece of work for blocks of sets, so no pairs are made within large groups.
+    # What a bucket still holds apart: classes of different components. Two lone ones are a pair; a class and a
+    # component of several are a piece of work for blocks of signatures, so no pairs are made within large groups.
     grown = comps.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("k"))
-    known = comps.withColumnRenamed("component", "c").join(grown, "c")
+    known = cut(comps.withColumnRenamed("component", "c").join(grown, "c"))
     labelled = members.select("key", "id").join(known, "id", "left").withColumns({"c": F.coalesce("c", "id"), "k": F.coalesce("k", F.lit(1))})
-    apart = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    apart = cut(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
     rest = stage(labelled.join(apart, "key").distinct())
-    lone = rest.where("k = 1").select("key", "id").join(about, "id")
+    lone = rest.where("k = 1").select("key", "id").join(classes.select("id", F.col("n_shingles").alias("n"), "sig", "halves"), "id")
     # Of all tables that hold a pair only the first one makes it.
     first = lambda at: f"array_position(zip_with(slice(x.halves, {at}, {m}), slice(y.halves, {at}, {m}), (p, q) -> p = q), true) + {at - 2}"
     once = f"x.key = xxhash64(get(x.halves, cast({first(1)} as int)), get(x.halves, cast({first(m + 1)} as int)))"
     more = lone.alias("x").join(lone.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {fits} and {once}"))
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     target = rest.where("k > 1").select("key", F.col("c").alias("to"), F.col("k").alias("to_k")).distinct()
-    work = rest.join(target, "key").where("c <> to and (k < to_k or (k = to_k and c < to))").select("id", "to", "to_k").distinct()
-    late = cut(_confirm(more, sets, percent).unionByName(_against_components(cut(work), comps, sets, percent)))
+    work = cut(rest.join(target, "key").where("c <> to and (k < to_k or (k = to_k and c < to))").select("id", "to", "to_k").distinct())
+    more = cut(more.unionByName(_against_components(work, comps, about, n_hashes, percent)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    late = cut(_confirm(more, sets, percent))
     if not late.isEmpty():
         stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         comps = connected_components(stars.unionByName(late), "a", "b")
+    named = stage(comps.join(classes.select("id", "rep"), "id"))
+    lowest = stage(named.groupBy("component").agg(F.min("rep").alias("low")))
+    drop(members, pairs, asked, sets, links, known, apart, rest, work, more, late)
 
-    label = classes.select("digest", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    label = classes.select("digest", "n_shingles", "id", "rep").join(named.join(lowest, "component").select("id", "low"), "id", "left")
+    label = label.select("digest", "n_shingles", F.coalesce("low", "rep").alias("component"))
     out = seen.select("doc_id", "n_shingles", "digest").join(label, ["digest", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -19,11 +19,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """xxh3 hashes of words behind a memo of bounded size."""
+    """xxh3 hashes of words behind a memo of bounded size in bytes; it belongs to one task and goes with it."""
 
-    def __init__(self, most: int = 500_000, longest: int = 64):
+    def __init__(self, most_bytes: int = 24 << 20, longest: int = 64):
         self.memo: dict[bytes, int] = {}
-        self.most, self.longest = most, longest
+        self.room = self.most_bytes = most_bytes
+        self.longest = longest
 
     def __call__(self, ws: list[bytes]) -> np.ndarray:
         memo = self.memo
@@ -31,8 +32,9 @@ class WordHasher:
             return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
         except KeyError:
             pass
-        if len(memo) > self.most:
+        if self.room < 0:
             memo.clear()
+            self.room = self.most_bytes
         out = np.empty(len(ws), np.uint64)
         h64, longest = xxhash.xxh3_64_intdigest, self.longest
         for i, w in enumerate(ws):
@@ -40,6 +42,7 @@ class WordHasher:
                 h = h64(w)
                 if len(w) <= longest:
                     memo[w] = h
+                    self.room -= len(w) + 160  # the word, its hash and their place in the table
             out[i] = h
         return out
 

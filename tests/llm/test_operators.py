@@ -196,6 +196,29 @@ def test_minhash(spark, odd):
     assert got.count() == odd.count() and got.where("doc_id is null and component_id is null and kept").count() == 1
 
 
+def test_minhash_of_ids_that_repeat(spark):
+    random.seed(11)
+    a, b = (" ".join(f"w{random.randrange(3000)}" for _ in range(300)) for _ in range(2))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, b), (9, "alone"), (9, "alone"), (9, None), (10, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit("clash"), "halves": F.lit(1)}).repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, 5).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True), (9, 9, True), (10, 9, False)]
+    assert minhash.near_duplicates(df.limit(0), 5).count() == 0
+
+
+def test_signature_blocks(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-(2**62), 2**62, 9)
+    sigs = [base.copy() for _ in range(40)] + [rng.integers(-(2**62), 2**62, 9) for _ in range(10)]
+    for s in sigs[20:40]:
+        s[:5] = rng.integers(-(2**62), 2**62, 5)
+    about = spark.createDataFrame([(i, 100 if i != 3 else 50, s.tolist()) for i, s in enumerate(sigs)], "id long, n long, sig array<long>")
+    comps = spark.createDataFrame([(i, 1) for i in range(1, 30)], "id long, component long")
+    work = spark.createDataFrame([(0, 1, 29), (45, 1, 29)], "id long, to long, to_k long")
+    got = {tuple(r) for r in minhash._against_components(work, comps, about, 72, 80, block=4).collect()}
+    assert got == {(0, i) for i in range(1, 20) if i != 3}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi<|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, 70, "ann", "late")]
     got = {(r.conv_id, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
