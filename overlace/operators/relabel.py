@@ -6,21 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from overlace.plans.lineage import cut
 
 
-def dense_ranks(df: DataFrame, order: list, name: str = "new_id") -> DataFrame:
+def dense_ranks(df: DataFrame, order: list, name: str = "new_id", split: list | None = None) -> DataFrame:
     """Numbers the rows 0.. in ``order``, which must be total, without gathering them in one task.
 
-    Rows are range-partitioned and sorted, numbered within partitions, and shifted by the sizes of the partitions before.
+    Rows are range-partitioned by ``split`` (a coarser order, or ``order`` itself) and sorted. The place in its partition is
+    written with each row; one number a partition, the rows before it, is summed on the driver and joined.
     """
-    spread = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = spread.groupBy("_p").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_p").orderBy(*order)
-    return spread.withColumn("_k", F.row_number().over(w)).join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_p", "_k", "_before")
+    spread = cut(df.repartitionByRange(*(split or order)).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)  # monotonically_increasing_id counts in the lower 33 bits
+    sizes = sorted(spread.groupBy(part.alias("_part")).count().collect())
+    before, n = [], 0
+    for p, k in sizes:
+        before.append((p, n - (p << 33)))
+        n += k
+    shift = df.sparkSession.createDataFrame(before, "_part long, _shift long")
+    out = spread.withColumn("_part", part).join(F.broadcast(shift), "_part")  # a row for each partition
+    return out.withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift")
 
 
 def degree_permutation(inc: DataFrame, key: str = "edge", descending: bool = False) -> DataFrame:
