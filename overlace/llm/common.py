@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of a text table sent to Python at once; texts can be long, so this is far below Spark's default.
+#: Rows of an Arrow batch that a function handles at once; what Spark sends at once is bounded by its own settings.
 ROWS_AT_ONCE = 256
 
 

@@ -67,15 +67,15 @@ def position_ids(cu_seqlens, position_starts) -> np.ndarray:
     return np.arange(cu_seqlens[-1]) - np.repeat(np.asarray(cu_seqlens[:-1]) - np.asarray(position_starts), n)
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, docs_at_once: int = 4096, restart: bool = True) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, docs_at_once: int = 4096, bytes_at_once: int = 64 << 20, restart: bool = True) -> DataFrame:
     """One row per sequence of at most ``capacity`` ids.
 
     input_ids: unsigned 32-bit little-endian ids (a row of the id matrix, not padded); cu_seqlens: 0 and the end of each
     piece; position_starts: the position each piece begins with (0, or its place in the document unless
     ``restart``); doc_ids and doc_starts: the document of each piece and the ids before it. A document is its ids and
     ``end_id``; one longer than a sequence is cut into full ones and a rest, so no id is lost. A null text is empty. Packing
-    runs in each task over ``docs_at_once`` documents, so memory is bounded, nothing is shuffled, and a
-    lost task repeats only its own part. Repeated rows and null ids are packed like all others.
+    runs in each task over ``docs_at_once`` documents, or fewer where their ids fill ``bytes_at_once``, so memory is bounded by that and
+    the longest document, nothing is shuffled, and a lost task repeats only its own part. Repeated rows and null ids are packed like all others.
     """
     step, end = 4 * capacity, int(end_id).to_bytes(4, "little")
 
@@ -103,15 +103,15 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
                 made += len(rows)
             held = []
 
-        n = 0
+        n = size = 0
         for batch in slices(batches):
             for d, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 data = encode(t) + end
                 held += [(d, k // 4, data[k : k + step]) for k in range(0, len(data), step)]
-                n += 1
-            if n >= docs_at_once:
-                yield from flush()
-                n = 0
+                n, size = n + 1, size + len(data)
+                if n >= docs_at_once or size >= bytes_at_once:
+                    yield from flush()
+                    n = size = 0
         if held:
             yield from flush()
 

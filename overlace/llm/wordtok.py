@@ -23,25 +23,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids, as the library would without special tokens.
+    """Encodes whole texts to little-endian unsigned 32-bit ids, as the library's plain call with add_special_tokens=False does.
 
+    The strings of special tokens in a text give those tokens, as in that call; with ``special_as_text`` they are ordinary text.
     It serves tokenizers whose normaliser and pre-tokeniser never join characters across white space (a split that drops
     white space): the ids of a text are then those of its parts between spaces and line feeds. Plain words go to the
     library's BPE model directly, all others through its whole chain. The memos are emptied when they hold
-    ``most`` parts, so memory is bounded; what they give never depends on their state.
+    ``most_bytes``, so memory is bounded; what they give never depends on their state.
     """
 
     _made: dict = {}
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most_bytes: int = 64 << 20, longest: int = 64, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.most, self.longest, self.memo, self.parts = most, longest, {"": b""}, {}
+        self.room = self.most_bytes = most_bytes
+        self.longest, self.memo, self.parts = longest, {"": b""}, {}
         with open(path) as f:
             spec = json.load(f)
+        self.special = [] if special_as_text else [x["content"] for x in spec.get("added_tokens") or []]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         chain = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.quick = steps[0].get("pattern") == {"Regex": KNOWN} and chain == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[1]["type"] == "ByteLevel"
@@ -51,17 +54,19 @@ class WordEncoder:
         """One for each Python worker and file."""
         return cls._made.get(path) or cls._made.setdefault(path, cls(path))
 
+    def _keep(self, memo: dict, key: str, ids: bytes) -> None:
+        if len(key) <= self.longest:
+            memo[key] = ids
+            self.room -= len(key) + len(ids) + 200  # both, and their place in the table
+
     def _part(self, part: str) -> bytes:
         if (x := self.parts.get(part)) is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
             x = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
-            if len(part) <= self.longest:
-                self.parts[part] = x
+            self._keep(self.parts, part, x)
         return x
 
     def _word(self, word: str) -> bytes:
-        if self.quick and PLAIN.fullmatch(word):
+        if self.quick and PLAIN.fullmatch(word) and not any(x in word for x in self.special):
             low = word.lower()
             return self._part(low) if low.isalpha() else b"".join(map(self._part, PARTS.findall(low)))
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,14 +78,14 @@ class WordEncoder:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
             pass
-        if len(memo) >= self.most:
+        if self.room < 0:
             memo.clear()
-            memo[""] = b""
+            self.parts.clear()
+            memo[""], self.room = b"", self.most_bytes
         out = []
         for w in words:
             if (x := memo.get(w)) is None:
                 x = self._word(w)
-                if len(w) <= self.longest:
-                    memo[w] = x
+                self._keep(memo, w, x)
             out.append(x)
         return b"".join(out)
