@@ -17,6 +17,10 @@ from overlace.llm.common import map_arrow, slices, texts
 SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n][^\s\x1c-\x1f])")
 
 
+#: Fixed value: the pattern for which SAFE is safe. Texts under any other pattern are not cut.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(4)
 def encoding(path: str, pattern: str):
     import tiktoken
@@ -36,7 +40,8 @@ def presplit(text: str, chars: int = 20_000) -> list[str]:
 
 
 def encode(enc, text: str, chars: int = 20_000) -> list[int]:
-    if len(text) <= chars:
+    """The ids of a whole text; it is cut only under PATTERN, where cuts are known to be safe."""
+    if len(text) <= chars or enc._pat_str != PATTERN:
         return enc.encode_ordinary(text)
     ids: list[int] = []
     for part in presplit(text, chars):
