@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlace.llm.common import fold, map_arrow, slices, texts
+from overlace.llm.common import fold, map_arrow, slices
 
 FEATURES = ["log_words", "word_length", "upper", "digits", "symbols", "exclaims", "other_marks", "not_ascii", "distinct_words", "repeated_lines", "line_rate", "sentence_ends"]
 
@@ -44,14 +44,14 @@ def features(text: str) -> list[float]:
 
 
 def with_features(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """(columns..., x): the feature vector of each row, in Python over Arrow batches."""
+    """(columns..., x): the feature vector of each row, in Python over Arrow batches; a column named x is not among ``columns``."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", x array<double>"
 
     def run(batches):
         for batch in slices(batches):
-            yield {c: batch.column(i) for i, c in enumerate(columns)} | {"x": [features(t) for t in texts(batch, "_text")]}
+            yield {c: batch.column(i) for i, c in enumerate(columns)} | {"x": [features(t or "") for t in batch.column(len(columns)).to_pylist()]}
 
-    return map_arrow(docs.select(*columns, F.col(text).alias("_text")), run, schema)
+    return map_arrow(docs.select(*columns, F.col(text)), run, schema)
 
 
 @dataclass
@@ -146,32 +146,36 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, pair_bins: int = 8, cycles
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Gam:
-    """Fits on a sample of at most ``most_rows`` labelled documents, those of the smallest id hashes, outside the held-out fold.
+    """Fits on a sample of about ``most_rows`` labelled documents, those of the smallest id hashes, outside the held-out fold.
 
     labels: (doc_id, quality). Rows with null ids or labels are left out; an id with several labels counts as good where their mean is
-    0.5 or more, one with several texts is learned from each of them.
+    0.5 or more, one with several texts is learned from that of the smallest feature vector. A threshold on the hash draws the sample,
+    so no task or driver sorts the labels; it is all of them where there are no more than ``most_rows``.
     """
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 3) != 1).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    share = most_rows / max(1, known.count())
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32))) if share < 1 else known
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = with_features(rows, ["doc_id", "y"]).orderBy("doc_id", "x").limit(2 * most_rows).toPandas()
+    got = with_features(rows, ["doc_id", "y"]).groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["y"].to_numpy(float))
 
 
-def classify(docs: DataFrame, model: Gam, columns: list[str], text: str = "text", keep_text: bool = False) -> DataFrame:
+def classify(docs: DataFrame, model: Gam, columns: list[str], text: str = "text", keep_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """(columns..., score, predicted) of every row: score in 0..1, predicted 1 from 0.5 on.
 
     Null and empty texts are scored too, by a vector of zeros. Nothing is shuffled. With ``keep_text`` the text is
-    among ``columns`` and crosses to Python once. Columns of ``docs`` named score or predicted may not be among them.
+    among ``columns`` and crosses to Python once. Columns named like the results, score and predicted unless ``names`` gives
+    others, are replaced.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", score double, predicted int"
-    name = text if keep_text else "_text"
+    columns = [c for c in columns if c.lower() not in {n.lower() for n in names}]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", `{names[0]}` double, `{names[1]}` int"
+    at = columns.index(text) if keep_text else len(columns)
 
     def run(batches):
         for batch in slices(batches):
-            x = np.array([features(t) for t in texts(batch, name)], float).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             score = model.score(x)
-            yield {c: batch.column(i) for i, c in enumerate(columns)} | {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
+            yield {c: batch.column(i) for i, c in enumerate(columns)} | {names[0]: score, names[1]: (score >= 0.5).astype(np.int32)}
 
-    return map_arrow(docs.select(*columns, *([] if keep_text else [F.col(text).alias("_text")])), run, schema)
+    return map_arrow(docs.select(*columns, *([] if keep_text else [F.col(text)])), run, schema)
