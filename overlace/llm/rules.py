@@ -22,40 +22,40 @@ METRICS = {"symbol_rate": ("upper", 0.05), "word_length": ("both", 0.75), "dup_l
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the five base counts (long) of the whole text; a null or empty text has zeros.
+def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(row, lang, source, the five base counts, n_lines) of whole texts; a null or empty text has zeros.
 
-    Windows of three words are compared by 64-bit hash first; only texts with two equal hashes sort their
+    row is a struct of the columns ``carry`` (all, unless given), so no name of theirs can clash with one made here. Windows of three words
+    are compared by 64-bit hash first; only texts with two equal hashes sort their
     windows by hash, and neighbours with equal hashes are compared word by word.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_w", F.array_remove(F.split(t, SPACE), "")).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    window = lambda f: F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), f))
-    at = lambda i, k: F.get("_w", i + k)
-    out = out.withColumn("_h", window(lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2))))
-    out = out.withColumn("_again", F.coalesce(F.size(F.array_distinct("_h")) < F.size("_h"), F.lit(False)))
-    out = out.withColumn("_s", F.when(F.col("_again"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_h")
-    same = "(get(_s, {n}).h = x.h and " + " and ".join(f"_w[get(_s, {{n}}).i + {c}] = _w[x.i + {c}]" for c in range(3)) + ")"
-    twice = F.expr(f"filter(_s, (x, k) -> (k > 0 and {same.format(n='k - 1')}) or (k + 1 < size(_s) and {same.format(n='k + 1')}))")
-    out = out.withColumn("_p", F.transform(twice, lambda x: x["i"])).drop("_s")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda i: F.array(i, i + 1, i + 2)))))
-    return out.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_again"), covered).otherwise(0).cast("long"),
-            "_lines": F.size("_l").cast("long"),
-        }
-    ).drop("_w", "_l", "_p", "_again")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    out = docs.select(row.alias("row"), "lang", "source", F.coalesce(F.col(text), F.lit("")).alias("t"))
+    out = out.withColumn("w", F.array_remove(F.split("t", SPACE), "")).withColumn("ls", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    window = lambda f: F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), f))
+    at = lambda i, k: F.get("w", i + k)
+    out = out.withColumn("h", window(lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2))))
+    out = out.withColumn("again", F.coalesce(F.size(F.array_distinct("h")) < F.size("h"), F.lit(False)))
+    out = out.withColumn("s", F.when(F.col("again"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("h")
+    same = "(get(s, {n}).h = x.h and " + " and ".join(f"w[get(s, {{n}}).i + {c}] = w[x.i + {c}]" for c in range(3)) + ")"
+    twice = F.expr(f"filter(s, (x, k) -> (k > 0 and {same.format(n='k - 1')}) or (k + 1 < size(s) and {same.format(n='k + 1')}))")
+    out = out.withColumn("p", F.transform(twice, lambda x: x["i"])).drop("s")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("p", lambda i: F.array(i, i + 1, i + 2)))))
+    return out.select(
+        "row", "lang", "source", F.size("w").cast("long").alias("n_words"),
+        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("again"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.size("ls").cast("long").alias("n_lines"),
+    )
 
 
 def metrics() -> dict:
     """Ratios of a text that has words; null without."""
     has = F.col("n_words") > 0
     rate = lambda a, b: F.when(has, F.col(a).cast("double") / F.col(b).cast("double"))
-    return {"symbol_rate": rate("n_symbols", "n_words"), "word_length": rate("word_chars", "n_words"), "dup_line_rate": rate("n_dup_lines", "_lines"), "repeat_rate": rate("n_repeat_words", "n_words")}
+    return {"symbol_rate": rate("n_symbols", "n_words"), "word_length": rate("word_chars", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"), "repeat_rate": rate("n_repeat_words", "n_words")}
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -104,10 +104,10 @@ def quality_rules(docs: DataFrame, text: str = "text", keep_text: bool = True, r
     need all of them before the first can be judged. Fences are broadcast up to ``broadcast_groups`` groups, which
     are counted. Columns named like the results are replaced.
     """
-    had = [c for c in docs.columns if c not in {*COLUMNS, "base_failed", "kept"} and (keep_text or c != text)]
-    measured = stage(measure(docs.drop(*COLUMNS, "base_failed", "kept"), text).select(*had, *COLUMNS, "_lines"))
-    limits = stage(fences(sketch(measured), reach, least_rows))
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits.columns[2:])
+    made = {*COLUMNS, "base_failed", "kept"}
+    had = [c for c in docs.columns if c.lower() not in made and (keep_text or c != text)]
+    measured = stage(measure(docs, text, had))
+    limits = stage(fences(sketch(measured), reach, least_rows).withColumnsRenamed({"lang": "of_lang", "source": "of_source"}))
     limits = F.broadcast(limits) if limits.count() <= broadcast_groups else limits
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = F.lit(False)
@@ -115,5 +115,5 @@ def quality_rules(docs: DataFrame, text: str = "text", keep_text: bool = True, r
         if METRICS[k][0] == "both":
             out = out | (m < F.col(f"{k}_low"))
         out = out | (m > F.col(f"{k}_high"))
-    judged = measured.join(limits, F.expr("lang <=> _lang and source <=> _source"), "left")
-    return judged.select(*had, *COLUMNS, failed.alias("base_failed"), (~failed & ~F.coalesce(out, F.lit(False))).alias("kept"))
+    judged = measured.join(limits, F.expr("lang <=> of_lang and source <=> of_source"), "left")
+    return judged.select(*[F.col(f"row.`{c}`") for c in had], *COLUMNS, failed.alias("base_failed"), (~failed & ~F.coalesce(out, F.lit(False))).alias("kept"))
