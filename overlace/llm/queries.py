@@ -158,12 +158,13 @@ FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 OP9 = r"""
 WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, regexp_replace(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'), '[\r\n]', ' ', 'g') AS role,
                   replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM t),
 p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t WHERE role <> 'system'),
-x AS (SELECT conv_id, perspective, floor(turn / 64)::BIGINT AS part, turn, role, text, role = perspective AS own,
+x AS (SELECT conv_id, perspective, floor(place / 64)::BIGINT AS part, place, turn, role, text, role = perspective AS own,
              '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-             text || '<|im_end|>' AS body FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
-y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
+             text || '<|im_end|>' AS body FROM n JOIN p ON conv_id IS NOT DISTINCT FROM c),
+y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
        coalesce(list((pos + length(head))::INT ORDER BY pos) FILTER (own), []) AS mask_starts, coalesce(list((pos + length(head) + length(body))::INT ORDER BY pos) FILTER (own), []) AS mask_ends,
        coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_mask_chars
 FROM y GROUP BY conv_id, perspective, part
