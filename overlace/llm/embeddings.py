@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from overlace.llm.common import map_arrow, slices
 from overlace.operators.components import connected_components
-from overlace.plans.lineage import cut, stage
+from overlace.plans.lineage import cut, drop, stage
 
 FAN = 3  # bits of a level of the tree over intervals
 
@@ -47,8 +47,14 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
 
 
 def principal(reps: DataFrame, dims: int, sample: int = 4096) -> np.ndarray:
-    """Leading principal axes (width x dims) of a sample of at most ``sample`` vectors, those of the smallest digests; pruning alone depends on it."""
-    got = [np.frombuffer(r[0]) for r in reps.orderBy("digest").limit(sample).select("v").collect()]
+    """Leading principal axes (width x dims) of a sample of about ``sample`` vectors, those of the smallest digests; pruning alone depends on it.
+
+    Digests are even over their range, so a threshold draws the sample and only it goes to the driver.
+    """
+    share = sample / max(1, reps.count())
+    first = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long")
+    some = reps.where(first < int(share * (1 << 32))) if share < 1 else reps
+    got = [np.frombuffer(r[0]) for r in some.select("digest", "v").sort("digest").select("v").collect()]
     width = max((len(x) for x in got), default=1)
     x = np.array([np.pad(x, (0, width - len(x))) for x in got]) if got else np.zeros((1, 1))
     x = _unit(x) if got else x
@@ -70,19 +76,22 @@ def _matrix(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(reps: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFrame:
-    """Sequence intervals in grid order: (part, seq, ids, weights, data, lo, hi); those of range partition ``part`` are numbered from 0."""
+    """Sequence intervals in grid order: (part, seq, ids, weights, data, lo, hi); those of range partition ``part`` are numbered from 0.
+
+    ``reps`` is (id, n, dim, v), n the weight of a vector.
+    """
     m = axes.shape[1]
 
     def project(batches):
         for batch in slices(batches, 4096):
             x = _matrix(batch.column(3).to_pylist())[0]
             p = _project(x, axes)
-            yield {f: batch.column(i) for i, f in enumerate(("rep", "n", "dim", "v"))} | {"p": list(p), "cells": list(np.floor(p / eps).astype(np.int64))}
+            yield {f: batch.column(i) for i, f in enumerate(("id", "n", "dim", "v"))} | {"p": list(p), "cells": list(np.floor(p / eps).astype(np.int64))}
 
-    placed = map_arrow(reps.select("rep", "n", "dim", "v"), project, "rep long, n long, dim int, v binary, p array<double>, cells array<long>")
+    placed = map_arrow(reps.select("id", "n", "dim", "v"), project, "id long, n long, dim int, v binary, p array<double>, cells array<long>")
     placed = stage(placed)
     parts = max(1, -(-placed.count() // block))
-    order = [F.col("dim"), *[F.col("cells")[j] for j in range(m)], F.col("rep")]
+    order = [F.col("dim"), *[F.col("cells")[j] for j in range(m)], F.col("id")]
 
     def gather(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -153,12 +162,13 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, dims: int = 4, block: in
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; nor do vectors of different
     lengths link. Vectors that are equal (up to a power of two) are one class with a weight, so copies are counted
-    and not compared; blocks give counts and a spanning forest instead of all links. Every row has a
-    result; rows that share a vec_id count as vectors of their own.
+    and not compared; classes are numbered, so vec_ids that repeat do no harm. Blocks give counts and a spanning forest instead of all
+    links. Every row has a result; rows that share a vec_id count as vectors of their own. A null vec_id links with nothing, is its own
+    null component and kept; other columns are dropped.
     """
     eps = float(np.sqrt(2 - 2 * threshold))
     seen = stage(vectors(df, vec_id, embedding))
-    reps = stage(seen.where("dim > 0 and vec_id is not null").groupBy("dim", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
+    reps = stage(seen.where("dim > 0 and vec_id is not null").groupBy("dim", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("id", F.monotonically_increasing_id()))
     axes = principal(reps, dims)
     m = axes.shape[1]
     made = stage(blocks(reps, axes, eps, block))
@@ -204,10 +214,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, dims: int = 4, block: in
             }
 
     found = stage(map_arrow(work, run, "src long, dst long, n long"))
-    counts = found.where("n > 0").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("others"))
-    comps = connected_components(found.where("src <> dst")).withColumnRenamed("id", "rep")
-    per = reps.select("dim", "digest", "rep", "n").join(counts, "rep", "left").join(comps, "rep", "left")
-    per = per.select("dim", "digest", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counts = found.where("n > 0").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("others"))
+    comps = stage(connected_components(found.where("src <> dst")).join(reps.select("id", "rep"), "id"))
+    lowest = stage(comps.groupBy("component").agg(F.min("rep").alias("low")))
+    per = reps.select("dim", "digest", "id", "rep", "n").join(counts, "id", "left").join(comps.join(lowest, "component").select("id", "low"), "id", "left")
+    per = per.select("dim", "digest", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
+    drop(made, pairs)
     out = seen.select("vec_id", "dim", "digest").join(per, ["dim", "digest"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
