@@ -294,25 +294,49 @@ def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray
     return model
 
 
-def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, least_count: int = 10) -> DataFrame:
+def _least_for(counts: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` tokens reach; read from a histogram of one row per power."""
+    power = F.floor(F.log2("c")).cast("int")
+    cells = sorted(counts.groupBy(power.alias("power")).count().collect(), reverse=True)
+    held, least = 0, cells[0][0] + 1 if cells else 0
+    for p, k in cells:
+        held += k
+        if held > most:
+            break
+        least = p
+    return 1 << least
+
+
+def _frequent(counts: DataFrame, least: int, at_least: int) -> DataFrame:
+    """(token, c) of all tokens from ``least`` on, and of the ``at_least`` most frequent ones where those are more."""
+    some = counts.where(F.col("c") >= least)
+    if some.count() >= at_least:
+        return some
+    # Executors merge the partitions' first rows while they write; the driver reads the result alone.
+    return stage(counts.orderBy(F.desc("c"), "token").limit(at_least))
+
+
+def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, least_count: int = 10, per_root: int = 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     Trained on rows whose crc32 of the id as text, modulo 7, is not 2. The model's words are all tokens that occur
-    ``least_count`` times in training, and at least the ``n_classes`` most frequent. Their counts, and those of the ``head``
-    most frequent tokens, are broadcast; the counts of all other tokens are joined. A null or empty text is its
-    end alone; a null id is in no fold, so it is scored and not learned from. Repeated rows keep a row each. Without
-    training rows the counts are zero and the model is uniform.
+    ``least_count`` times in training and sqrt(train_tokens) / ``per_root`` times, and at least the ``n_classes`` most frequent. So they grow
+    about with the root of the corpus, and model and broadcasts stay far below it; all other tokens are scored by their class and their own counts.
+    The counts of the words, and of at most ``head`` tokens that are more frequent than all others, are broadcast; all other counts are joined.
+    A null or empty text is its end alone; a null id is in no fold, so it is scored and not learned from. Repeated rows keep a row each; other
+    columns are dropped. Without training rows the counts are zero and the model is uniform.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     counts = stage(token_counts(_training(docs)))
-    n, v, frequent = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= least_count)).first()
-    first = counts.where(F.col("c") >= least_count) if frequent > head else counts.orderBy(F.desc("c"), "token").limit(head)
-    first = first.select("token", "c").toArrow()
-    top = sorted(zip(first["token"].to_pylist(), first["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    top += [] if any(t == END for t, _ in top) else [(END, r[1]) for r in counts.where(F.length("token") == 0).collect()]
-    classes = {END: 0} | {t: i + 1 for i, (t, _) in enumerate([x for x in top if x[0] != END][: max(n_classes, frequent)])}
-    by = dict(top)
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    named = _frequent(counts, max(least_count, int(np.sqrt(n) / per_root)), n_classes).select("token", "c").toArrow()
+    named = dict(zip(named["token"].to_pylist(), named["c"].to_pylist(), strict=True))
+    by = dict(named)
+    got = counts.where((F.col("c") >= _least_for(counts, head)) | (F.length("token") == 0)).toArrow()
+    by |= zip(got["token"].to_pylist(), got["c"].to_pylist(), strict=True)
+    top = sorted(by.items(), key=lambda x: (-x[1], x[0]))
+    classes = {END: 0} | {t: i + 1 for i, (t, _) in enumerate([x for x in top if x[0] != END and x[0] in named])}
     c = np.array([by.get(t, 0) for t in classes], float)
     others, v_others = n - c.sum(), v - sum(t in by for t in classes)
     unigram = np.append(c + 1, max(0.0, others) + 1)
