@@ -116,37 +116,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, n_hashes: int, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of the classes of ``work`` (id, to, to_k) and members of their component ``to`` of size to_k, whose signatures fit.
+def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, sets: DataFrame, n_hashes: int, percent: int, block: int = 200_000) -> DataFrame:
+    """Links (a, b) of the classes of ``work`` (id, to, to_k) to members of their component ``to``: one for each class and block with one.
 
-    Signatures meet in blocks of about ``block`` on either side. They are of one size, so a row is bounded whatever the texts;
-    every pair of blocks has a key of its own, so no component gathers in one task.
+    Classes meet in blocks of about ``block`` shingles on either side, so a row is bounded by that and by the largest set. Every
+    pair of blocks has a key of its own, so no component gathers in one task. Signatures are compared first, sets where
+    those fit, and only links leave a task, never the pairs.
     """
-    to = cut(work.groupBy("to", "to_k").agg(F.count(F.lit(1)).alias("n")).select("to", F.ceil(F.col("n") / block).alias("xs"), F.ceil(F.col("to_k") / block).alias("ys")))
-    item = F.struct("id", "n", "sig")
-    gather = lambda df, of: df.join(about, "id").groupBy("to", F.pmod(F.xxhash64("id"), F.col(of)).alias("at")).agg(F.collect_list(item).alias(of))
-    theirs = gather(comps.join(to, F.col("component") == F.col("to")).select("id", "to", "ys"), "ys")
-    mine = gather(work.join(to, "to").select("id", "to", "xs"), "xs").withColumnRenamed("at", "x_at")
-    mine = mine.join(to.select("to", "ys"), "to").select("to", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("at"))
+    held = about.join(sets, "id").select("id", "n", F.struct("id", "n", "sig", "s").alias("item"))
+    bins = lambda name: F.ceil(F.sum("n") / block).alias(name)
+    targets = work.select("to").distinct()
+    ours = cut(work.join(about.select("id", "n"), "id").select("to", "id", "n"))
+    other = cut(comps.join(targets, F.col("component") == F.col("to")).join(about.select("id", "n"), "id").select("to", "id", "n"))
+    to = cut(ours.groupBy("to").agg(bins("xs")).join(other.groupBy("to").agg(bins("ys")), "to"))
+    gather = lambda df, of: df.select("to", "id").join(to.select("to", of), "to").join(held, "id").groupBy("to", F.pmod(F.xxhash64("id"), F.col(of)).alias("at")).agg(F.collect_list("item").alias(of))
+    mine = gather(ours, "xs").drop("at").join(to.select("to", "ys"), "to").select("to", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("at"))
     least = _least_alike(n_hashes, percent)
 
     def unpack(rows):
-        ids, n, sig = (rows.field(c) for c in ("id", "n", "sig"))
+        ids, n, sig, s = (rows.field(c) for c in ("id", "n", "sig", "s"))
         bytes_ = sig.flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False).view(np.uint8).reshape(len(ids), -1)
-        return ids.to_numpy(), n.to_numpy(), bytes_[:, :n_hashes]
+        return ids.to_numpy(), n.to_numpy(), bytes_[:, :n_hashes], s
 
     def run(batches):
         for batch in slices(batches, 1):
-            (xi, xn, xs), (yi, yn, ys) = (unpack(batch.column(c)[0].values) for c in (0, 1))
+            (xi, xn, xs, xe), (yi, yn, ys, ye) = (unpack(batch.column(c)[0].values) for c in (0, 1))
             a, b = [], []
-            for i, n, sig in zip(xi.tolist(), xn.tolist(), xs, strict=True):
+            for k, (i, n) in enumerate(zip(xi.tolist(), xn.tolist(), strict=True)):
                 near = np.flatnonzero(np.minimum(yn, n) * 100 >= np.maximum(yn, n) * percent)
-                near = yi[near[np.count_nonzero(ys[near] == sig, axis=1) >= least]]
-                a += np.minimum(near, i).tolist()
-                b += np.maximum(near, i).tolist()
+                near = near[np.count_nonzero(ys[near] == xs[k], axis=1) >= least]
+                x = xe[k].values.to_numpy(zero_copy_only=False) if len(near) else None
+                for j in near.tolist():
+                    y = ye[j].values.to_numpy(zero_copy_only=False)
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        a.append(min(i, int(yi[j])))
+                        b.append(max(i, int(yi[j])))
+                        break
             yield {"a": a, "b": b}
 
-    return map_arrow(mine.join(theirs, ["to", "at"]).select("xs", "ys"), run, "a long, b long")
+    return map_arrow(mine.join(gather(other, "ys"), ["to", "at"]).select("xs", "ys"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 1) -> DataFrame:
@@ -161,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     that one class alone holds meet nobody, so they leave before the tables are formed. In each bucket of each table every class is
     compared with a hub (the least number after one of four exclusive-or masks, again pre-aggregated), never with
     all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
-    where those fit, exactly. So large groups of copies cost links in proportion to their size, and none is lost that a table
+    where those fit, exactly, in blocks where a component is large. So large groups of copies cost links in proportion to their size, and none is lost that a table
     holds. Pairs whose signatures rule the similarity out, as those of texts that share one passage, leave before
     their sets are fetched; the comparison of the signatures is quadratic in such a bucket.
     """
@@ -212,8 +221,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     target = rest.where("k > 1").select("key", F.col("c").alias("to"), F.col("k").alias("to_k")).distinct()
     work = cut(rest.join(target, "key").where("c <> to and (k < to_k or (k = to_k and c < to))").select("id", "to", "to_k").distinct())
-    more = cut(more.unionByName(_against_components(work, comps, about, n_hashes, percent)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    late = cut(_confirm(more, sets, percent))
+    more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    late = cut(_confirm(more, sets, percent).unionByName(_against_components(work, comps, about, sets, n_hashes, percent)))
     if not late.isEmpty():
         stars = comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         comps = connected_components(stars.unionByName(late), "a", "b")

@@ -39,6 +39,16 @@ def test_urls(spark):
     assert got == sorted([(i, *judge(u)) for i, u in enumerate(given)] + [(1, *judge(given[1]))], key=lambda x: x[:3])
     assert urls.judge_urls(pages, known.limit(0)).where("verdict = 'allow'").count() == len(given) + 1
     assert urls.judge_urls(pages.limit(0), known).count() == 0
+    own = urls.judge_urls(pages.withColumns({"b_host": F.lit(1), "digest": F.lit(2), "verdict": F.lit(3)}), known)
+    assert own.columns == ["page_id", "url", "b_host", "digest", "host", "path", "rule", "verdict"] and own.count() == len(given) + 1
+
+
+def test_urls_join_on_the_short_prefix(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://example.com/de/")], "page_id long, url string")
+    known = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    want = sorted(urls.judge_urls(pages, known).select("page_id", "rule").collect())
+    monkeypatch.setattr(urls, "_short", lambda digest: F.length(digest).cast("long"))  # every prefix collides
+    assert sorted(urls.judge_urls(pages, known).select("page_id", "rule").collect()) == want == [(1, "net/"), (2, "example.com/de/")]
 
 
 def test_vectors(spark):
@@ -58,6 +68,14 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_ids_that_repeat(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.0, 2.0]), (8, [0.01, 1.0]), (8, [0.01, 1.0]), (None, [1.0, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"n_links": F.lit("clash"), "digest": F.lit(0)}).repartition(3)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.9).collect()), key=str)
+    want = [(5, 1, 5, True), (5, 3, 5, True), (6, 1, 5, False), (7, 3, 5, False), (8, 3, 5, False), (8, 3, 5, False), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_rules_counts(spark, odd):
     got = rules.quality_rules(odd, keep_text=True)
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "score"] and got.count() == odd.count()
@@ -71,18 +89,24 @@ def test_rules_counts(spark, odd):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r.kept if r.base_failed else True)
     assert rules.quality_rules(odd.limit(0)).count() == 0
+    names = ["_w", "w", "h", "row", "t", "p", "s", "ls", "again", "of_lang", "metric", "symbol_rate_low", "Kept", "n_lines"]
+    clash = rules.quality_rules(odd.withColumns({c: F.lit("mine") for c in names}))
+    assert clash.columns == ["doc_id", "text", "lang", "source", "score", *[c for c in names if c != "Kept"], *rules.COLUMNS, "base_failed", "kept"]
+    assert clash.where(" and ".join(f"`{c}` = 'mine'" for c in names if c != "Kept")).count() == odd.count()
 
 
 def test_word_encoder():
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
-    encode = WordEncoder(TOKENIZER, most=50)
+    plain, ordinary = Tokenizer.from_file(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    ordinary.encode_special_tokens = True
+    encode, as_text = WordEncoder(TOKENIZER, most_bytes=20_000), WordEncoder(TOKENIZER, special_as_text=True)
     random.seed(2)
     letters = "abcXYZ ''.,!12éßÀ\n\t漢\u00a0\u0301Σ-"
-    for t in ODD + ["".join(random.choice(letters) for _ in range(200)) for _ in range(200)]:
+    marks = ["a<|endoftext|>b", "<|startoftext|> x <|EndOfText|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "  <|startoftext|>\n"]
+    for t in ODD + marks + ["".join(random.choice([*letters, *marks]) for _ in range(200)) for _ in range(200)]:
         assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(as_text(t), "<u4").tolist() == ordinary.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [8, 4096])
@@ -130,6 +154,9 @@ def test_bpe(spark, odd):
     random.seed(4)
     for t in ODD + ["".join(random.choice("ab1.' \n\t\x1c\u00a0é漢") for _ in range(400)) for _ in range(200)]:
         assert bpe.encode(enc, t, 20) == enc.encode_ordinary(t)
+    greedy = bpe.encoding(path, r"[^\s\p{L}]+[ \n]*|\p{L}+|\s+")  # swallows what follows, so no place is known to be safe
+    assert bpe.encode(greedy, "a.\nb. c " * 30, 20) == greedy.encode_ordinary("a.\nb. c " * 30)
+    assert bpe.PATTERN == public_tokenizers.PATTERN and bpe.encode_documents(odd.limit(0), path, bpe.PATTERN).count() == 0
     got = bpe.encode_documents(odd, path, public_tokenizers.PATTERN, with_ids=True)
     assert got.count() == odd.count()
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
@@ -149,6 +176,23 @@ def test_gam(spark, odd):
     labels = spark.createDataFrame([(0, 0), (3, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
     got = gam.classify(odd, gam.learn(odd, labels), ["doc_id"])
     assert got.count() == odd.count() and got.where("score between 0 and 1").count() == odd.count()
+    model = gam.learn(odd, labels)
+    clash = odd.withColumns({"predicted": F.lit("x"), "_text": F.lit("not this")})
+    got = gam.classify(clash, model, clash.columns, keep_text=True)
+    assert got.columns == ["doc_id", "text", "lang", "source", "_text", "score", "predicted"] and got.where("score between 0 and 1").count() == odd.count()
+    assert gam.classify(clash, model, clash.columns, keep_text=True, names=("a", "b")).columns == [*clash.columns, "a", "b"]
+    assert gam.classify(odd.limit(0), gam.learn(odd.limit(0), labels), ["doc_id"]).count() == 0
+
+
+def test_gam_on_held_out_labels(spark):
+    from overlace.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op6_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    assert len(good) > 20 and len(bad) > 5
+    auc = ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2)
+    assert auc > 0.95 and (got.predicted == got.quality).mean() > 0.9
 
 
 def test_token_output(spark, odd, tmp_path):
@@ -162,6 +206,8 @@ def test_token_output(spark, odd, tmp_path):
             back.setdefault(d, {})[s] = ids[a:b].tolist()
     for r in odd.where("doc_id is not null").collect():
         assert [i for s in sorted(back[r.doc_id]) for i in back[r.doc_id][s]] == np.frombuffer(encode(r.text or ""), "<u4").tolist() + [2]
+    small = tokenout.packed_sequences(odd, TOKENIZER, capacity=64, bytes_at_once=100)
+    assert small.agg(F.sum("n_tokens")).first() == got.agg(F.sum("n_tokens")).first() and tokenout.packed_sequences(odd.limit(0), TOKENIZER).count() == 0
     tokenout.write_packed(got, str(tmp_path / "packed"), 64)
     assert {len(r.input_ids) for r in spark.read.parquet(str(tmp_path / "packed")).collect()} == {256}
 
@@ -206,29 +252,44 @@ def test_minhash_of_ids_that_repeat(spark):
     assert minhash.near_duplicates(df.limit(0), 5).count() == 0
 
 
-def test_signature_blocks(spark):
+def test_blocks_against_components(spark):
     rng = np.random.default_rng(12)
-    base = rng.integers(-(2**62), 2**62, 9)
-    sigs = [base.copy() for _ in range(40)] + [rng.integers(-(2**62), 2**62, 9) for _ in range(10)]
-    for s in sigs[20:40]:
-        s[:5] = rng.integers(-(2**62), 2**62, 5)
-    about = spark.createDataFrame([(i, 100 if i != 3 else 50, s.tolist()) for i, s in enumerate(sigs)], "id long, n long, sig array<long>")
-    comps = spark.createDataFrame([(i, 1) for i in range(1, 30)], "id long, component long")
-    work = spark.createDataFrame([(0, 1, 29), (45, 1, 29)], "id long, to long, to_k long")
-    got = {tuple(r) for r in minhash._against_components(work, comps, about, 72, 80, block=4).collect()}
-    assert got == {(0, i) for i in range(1, 20) if i != 3}
+    base = np.sort(rng.integers(0, 2**62, 100))
+    near = [np.sort(np.concatenate([base[: 100 - k], rng.integers(0, 2**62, k)])) for k in range(0, 40, 2)]
+    sig = rng.integers(-(2**62), 2**62, 9)
+    other = rng.integers(-(2**62), 2**62, 9)
+    rows = [(i, 100, (sig if i < 18 else other).tolist(), s.tolist()) for i, s in enumerate(near)]
+    about = spark.createDataFrame(rows, "id long, n long, sig array<long>, s array<long>")
+    comps = spark.createDataFrame([(i, 1) for i in range(1, 20)], "id long, component long")
+    work = spark.createDataFrame([(0, 1, 19), (19, 1, 19)], "id long, to long, to_k long")
+    args = work, comps, about.drop("s"), about.select("id", "s"), 72, 80
+    few, many = ({tuple(r) for r in minhash._against_components(*args, block=n).collect()} for n in (10_000, 100))
+    linked = {(0, i) for i in range(1, 6)}  # 10 or fewer of 100 replaced: at least 90 of 110
+    assert len(few & linked) == 1 and few <= linked | {(18, 19), (19, 19)} and len(few) < len(many)
+    assert {p for p in many if 0 in p} <= linked
 
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi<|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, 70, "ann", "late")]
-    got = {(r.conv_id, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann")} and got[None, "ann"].part == 1
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "part": F.lit("x"), "c": F.lit("y")})
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate(turns).collect()}
+    assert chat.rotate(turns.limit(0)).count() == 0
+    assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann")} and got[None, "ann"].part == 0
     r = got[1, "ann"]
     assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi< |im_end|><|im_end|>\n" + "<|im_start|>user name=bob\n<|im_end|>\n" * 2
     assert [r.text[a:b] for a, b in zip(r.mask_starts, r.mask_ends)] == ["hi< |im_end|><|im_end|>"] and r.n_turns == 4
     assert got[1, "bob"].n_mask_chars == 20
 
 
+def test_chat_parts_are_bounded(spark):
+    turns = spark.range(1000).selectExpr("7L as conv_id", "cast(null as long) as turn", "if(id % 2 = 0, 'ann', 'bob') as role", "if(id % 3 = 0, 'same', concat('t', id)) as text")
+    turns = turns.unionByName(spark.range(300).selectExpr("8L as conv_id", "5 * id + 1000 as turn", "'ann' as role", "concat('n', id) as text")).repartition(5)
+    got = chat.rotate(turns).toPandas()
+    assert got.n_turns.max() == 64 and got.groupby(["conv_id", "perspective"]).n_turns.sum().to_dict() == {(7, "ann"): 1000, (7, "bob"): 1000, (8, "ann"): 300}
+    last = got[got.conv_id == 8].sort_values("part")
+    assert last.part.tolist() == [0, 1, 2, 3, 4] and "".join(last.text) == "".join(f"<|im_start|>assistant\nn{i}<|im_end|>\n" for i in range(300))
+
+
 def test_lm(spark, odd):
     random.seed(6)
     follow = {f"a{i}": f"b{i}" for i in range(30)}
@@ -247,11 +308,40 @@ def test_lm(spark, odd):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in counts for w in ws), n)
         assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws))
     assert got.score.sum() > got.base_score.sum()
+    few = lbl.score_documents(df, n_classes=50, head=8).toPandas().set_index("doc_id")
+    assert few.base_score.sort_index().tolist() == pytest.approx(got.base_score.sort_index().tolist()) and few.n_known.sum() == got.n_known.sum()
     some = lbl.score_documents(odd)
     assert some.count() == odd.count() and some.where("isnan(score) or score > 0").count() == 0
     assert lbl.score_documents(odd.limit(0)).count() == 0
 
 
+def test_lm_scores_recomputed(spark, monkeypatch):
+    """The scores of the query's plan against a direct sum over tokens with the model that it trained."""
+    random.seed(13)
+    rows = [(i, " ".join(random.choices([f"w{k}" for k in range(60)], weights=[60 - k for k in range(60)], k=30)) + f" r{i % 50} once{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, train = [], lbl.train_model
+    monkeypatch.setattr(lbl, "train_model", lambda docs, known, unigram, n: made.append((train(docs, known, unigram, n), known)) or made[-1][0])
+    got = {r.doc_id: r.score for r in lbl.score_documents(df, n_classes=20, head=30, least_count=8).collect()}
+    model, known = made[0]
+    counts: dict = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in [*(w.encode() for w in t.split()), b""]:
+                counts[w] = counts.get(w, 0) + 1
+    out = [w for w in counts if w not in known]
+    mass, rest = sum(counts[w] for w in out) + len(out) + 1, len(known)
+    assert rest > 40 and len(out) > 150
+    for i, t in rows:
+        ids, total = [rest + 1] * 2, 0.0  # the start, twice
+        for w in [*(w.encode() for w in t.split()), b""]:
+            k = known.get(w, rest)
+            total += float(model.log_probability(*(np.array([x]) for x in (ids[-1], ids[-2], k)))[0]) / np.log(10)
+            total += np.log10((counts.get(w, 0) + 1) / mass) if k == rest else 0
+            ids.append(k)
+        assert got[i] == pytest.approx(total, abs=1e-3)
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(8)
     m = lbl.Model(np.full(20, 0.05))
