@@ -18,7 +18,7 @@ def _observed(df: DataFrame) -> tuple[DataFrame, tuple]:
 
 #: Rows from which on the minima of a round are staged: a join with them then reads two plain exchanges, so AQE can split the
 #: rows of a hub over many tasks. Below it a hub's task is small, and a table more costs more than it saves.
-HUBS_FROM = 50_000
+HUBS_FROM = 10_000
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
