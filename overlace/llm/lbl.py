@@ -11,6 +11,7 @@ moved them, the rest by tokens.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -81,7 +82,6 @@ class Model:
         self.R = rng.normal(0, 0.3, (k + 1, dim)).astype(np.float32)
         self.V = np.zeros((k, dim), np.float32)
         self.d = np.log(unigram / self.mass[self.of]).astype(np.float32)
-        self.upto = np.concatenate([[0], np.cumsum(unigram)])
         self.moved = [np.zeros(len(p), np.float32) for p in (self.R, self.V)]  # steps that moved a word's vectors
 
     def parameters(self) -> list[np.ndarray]:
@@ -121,7 +121,7 @@ class Model:
     def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 64, k_word: int = 4, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
         """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``.
 
-        The noise is ``k`` classes for a batch, and ``k_word`` words of the true word's class for a row. Steps are AdaGrad's;
+        The noise is ``k`` classes for a batch, and ``k_word`` words of the true word's class, all equally likely, for a row. Steps are AdaGrad's;
         context and word vectors sum their rows' gradients, the others take a batch's mean.
         """
         n = -(-weights // cap)
@@ -131,16 +131,17 @@ class Model:
         seen = [np.full_like(p, 0.1) for p in (self.C, self.Q, self.b)]
         seen_r, seen_v = np.full(len(self.R), 0.1, np.float32), np.full(len(self.V), 0.1, np.float32)
         noise, lift = np.cumsum(self.mass), np.log(k * self.mass).astype(np.float32)
-        lift_word = np.log(k_word * self.noise / self.mass[self.of]).astype(np.float32)
+        lift_word = np.log(k_word / self.size[self.of]).astype(np.float32)
         for i in range(0, len(order), batch):
             o = order[i : i + batch]
             (c1, c2, w), a = triples[:, rows[o]], share[o] / share[o].mean() / len(o)
             c, q = self.of[w], self.predict(c1, c2)
             neg = np.minimum(np.searchsorted(noise, rng.random(k) * noise[-1]), len(noise) - 1)
             pos = np.einsum("ij,ij->i", q, self.Q[c]) + self.b[c] - lift[c]
-            out = q @ self.Q[neg].T + (self.b[neg] - lift[neg])
+            out = q @ self.Q[neg].T
+            out += self.b[neg] - lift[neg]
             gp = a / (1 + np.exp(np.clip(pos, -30, 30)))
-            gn = -a[:, None] / (1 + np.exp(-np.clip(out, -30, 30)))
+            gn = np.divide(-a[:, None], _one_and_exp_of_minus(out), out=out)
             gq = (gp[:, None] * self.Q[c] + gn @ self.Q[neg]) * len(o)
             grad = [np.zeros_like(p) for p in (self.C, self.Q, self.b)]
             np.add.at(grad[1], c, gp[:, None] * q)
@@ -151,13 +152,13 @@ class Model:
             m = np.flatnonzero(self.size[c] > 1)
             if len(m):
                 wm, qm, am = w[m], q[m], a[m] * len(o)
-                lo, hi = self.upto[self.first[c[m]]], self.upto[self.first[c[m]] + self.size[c[m]]]
-                other = np.searchsorted(self.upto, lo[:, None] + rng.random((len(m), k_word)) * (hi - lo)[:, None], "right") - 1
-                other = np.clip(other, self.first[c[m]][:, None], (self.first[c[m]] + self.size[c[m]] - 1)[:, None])
+                cm = c[m]
+                other = rng.random((len(m), k_word), np.float32) * self.size[cm, None]
+                other = np.minimum(other.astype(np.int64), self.size[cm, None] - 1) + self.first[cm, None]
                 every = np.concatenate([wm[:, None], other], 1)
                 v = self.V[every]
                 s = np.einsum("ikj,ij->ik", v, qm) + self.d[every] - lift_word[every]
-                g = -am[:, None] / (1 + np.exp(-np.clip(s, -30, 30)))
+                g = np.divide(-am[:, None], _one_and_exp_of_minus(s), out=s)
                 g[:, 0] += am
                 gq[m] += np.einsum("ik,ikj->ij", g, v)
                 x = np.concatenate([g[:, :, None] * qm[:, None], g[:, :, None]], 2)
@@ -207,6 +208,15 @@ class Model:
         return out
 
 
+def _one_and_exp_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 + exp(-x) in place, as batches of new arrays cost more than the arithmetic."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return x
+
+
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """Logarithms of the rows' sums of exponentials; overwrites ``s``."""
     top = s.max(1)
@@ -272,7 +282,7 @@ def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray
 
         for batch in slices(batches):
             per = [words(t) + [END] for t in texts(batch)]
-            ids = np.fromiter((known.get(w, rest) for ws in per for w in ws), np.int64)
+            ids = np.fromiter(map(known.get, chain.from_iterable(per), repeat(rest)), np.int64, sum(map(len, per)))
             c1, c2 = _contexts(ids, np.cumsum([len(x) for x in per]) - 1, model.start)
             held.append((c1 * width + c2, ids))
             n += len(ids)
@@ -356,7 +366,7 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, l
         for batch in slices(batches, 128):
             per = [words(t) + [END] for t in texts(batch)]
             size = np.array([len(x) for x in per])
-            at = np.fromiter((place.get(w, miss) for ws in per for w in ws), np.int64, size.sum())
+            at = np.fromiter(map(place.get, chain.from_iterable(per), repeat(miss)), np.int64, size.sum())
             ids, ends = to_class[at], np.cumsum(size) - 1
             if END not in place:
                 ids[ends] = 0
@@ -364,7 +374,8 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, l
             logp = m.log_probability(c1, c2, ids) / np.log(10)
             begin = ends - size + 1
             add = lambda x: np.add.reduceat(x.astype(float), begin)
-            tail = [Counter(w for w, k in zip(ws, at[b : b + len(ws)] == miss, strict=True) if k and w != END) if (at[b : b + len(ws)] == miss).any() else {} for ws, b in zip(per, begin, strict=True)]
+            lost = at == miss
+            tail = [Counter([w for i in np.flatnonzero(lost[b : b + len(ws)]).tolist() if (w := ws[i]) != END]) for ws, b in zip(per, begin.tolist(), strict=True)]
             yield {
                 "doc_id": batch.column(0), "n_tokens": size, "head_known": add(at != miss).astype(np.int64), "head_log": add(logs[at]),
                 "n_rest": add(ids == rest).astype(np.int64), "rest_log": add(logs[at] * (ids == rest)), "class_log": add(logp),
