@@ -12,7 +12,7 @@ from overlace.functions import generators
 from overlace.model import Hypergraph, LineGraph
 from overlace.operators import components, paths, relabel, stats, structure, traverse
 from overlace.operators.overlap import overlap, wedges
-from overlace.plans.lineage import shared_dir
+from overlace.plans.lineage import shared_dir, stage
 from overlace.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """Incidences, with repetitions: orders, customers or suppliers over parts; orders over line flags; users over event types."""
+    """Incidences, with repetitions: orders, customers or suppliers over parts; orders over line flags; users over event types; customers over nations or balances."""
     if key == "UE":
         return _read(spark, sf_dir, "events").select(F.col("user_id").alias("edge"), F.length("event_type").cast("long").alias("node"))
+    if key in ("CN", "CB"):
+        node = F.col("c_nationkey") if key == "CN" else F.floor("c_acctbal")
+        return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("edge"), node.cast("long").alias("node"))
     lines = _read(spark, sf_dir, "lineitem")
     if key == "OF":
         flag = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
@@ -44,6 +47,8 @@ RAW = {
     "CP": "select o_custkey as edge, l_partkey as node from lineitem join orders on l_orderkey = o_orderkey",
     "OF": "select l_orderkey as edge, (ascii(l_returnflag) * 256 + ascii(l_linestatus))::bigint as node from lineitem",
     "UE": "select user_id as edge, length(event_type)::bigint as node from events",
+    "CN": "select c_custkey as edge, c_nationkey::bigint as node from customer",
+    "CB": "select c_custkey as edge, floor(c_acctbal)::bigint as node from customer",
 }
 
 
@@ -229,8 +234,8 @@ for _keep, _cmp in (("first", "<"), ("last", ">")):
         )
 _named(
     "singletons",
-    lambda s, d: structure.singletons(structure.dual(inc(s, d, "OP")).unionByName(inc(s, d, "UE"))),
-    "with inc as (select node as edge, edge as node from (select distinct * from (" + RAW["OP"] + ")) union all select * from (select distinct * from (" + RAW["UE"] + "))) select edge from (select edge, min(node) as node from inc group by edge having count(*) = 1) where node in (select node from inc group by node having count(*) = 1)",
+    lambda s, d: structure.singletons(inc(s, d, "CB")),
+    _with("CB", " select edge from (select edge, min(node) as node from inc group by edge having count(*) = 1) where node in (select node from inc group by node having count(*) = 1)"),
 )
 
 # Components and searches
@@ -275,12 +280,15 @@ def bfs_verifier(spark, d):
     return traverse.verify_hyper_bfs(h, traverse.hyper_bfs(h, _source(h)), _source(h))
 
 
-@query(_with("SP", " select 'E' as kind, edge as id, 0::bigint as part from inc union select 'N', node, 0 from inc"))
+@query(_with("CN", _SHIFT + ", c as (select node, least(min(edge) + any_value(e), node + any_value(n)) as component from inc, o group by node) select 'E' as kind, edge as id, component from inc join c using (node) union select 'N', node, component from c"))
 def adjoin_cc(spark, d):
-    """At this fixture all suppliers and parts are one component; part is a component's rank."""
-    found = relabel.run_on_adjoin(inc(spark, d, "SP"), components.connected_components)
-    first = found.agg(F.min("component")).first()[0]
-    return found.select("kind", "id", (F.col("component") - first).alias("part"))
+    """Customers over nations: a component for each nation that has customers."""
+    return relabel.run_on_adjoin(inc(spark, d, "CN"), components.connected_components).select("kind", "id", "component")
+
+
+@query(_with("CN", " select min(edge) as label, list_sort(list(edge)) as edges, [node] as nodes from inc group by node"))
+def component_lists(spark, d):
+    return components.component_lists(components.hyper_components(inc(spark, d, "CN")))
 
 
 @query(_with("SP", _BFS + " select kind, id, depth from r", True))
@@ -410,15 +418,79 @@ for _name, _write in (("mm", writers.write_matrix_market), ("csv", writers.write
     _named(f"{_name}_roundtrip", _roundtrip(_write, readers.read_hypergraph), _with("SP", " select * from inc"))
 
 
-@query(_with("SP", " select edge, count(*) as size from inc group by edge"))
+@query(_with("SP", " select 'edge' as side, edge as id, count(*) as size from inc group by edge union all select 'node', node, count(*) from inc group by node"))
 def config_model(spark, d):
-    """The degrees of the generated hypergraph are those asked for."""
+    """The degrees of the generated hypergraph, of both sides, are those asked for."""
     h = inc(spark, d, "SP")
-    made = generators.configuration_model(*(stats.sizes(h, k).select(F.col(k).alias("id"), F.col("size").alias("degree")) for k in ("edge", "node")), seed=1)
-    return made.groupBy("edge").agg(F.count(F.lit(1)).alias("size"))
+    made = stage(generators.configuration_model(*(stats.sizes(h, k).select(F.col(k).alias("id"), F.col("size").alias("degree")) for k in ("edge", "node")), seed=1))
+    side = lambda k: made.groupBy(F.lit(k).alias("side"), F.col(k).alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    return side("edge").unionByName(side("node"))
+
+
+_CELLS, _LEVELS_OF_RMAT = [[0.4, 0.2], [0.2, 0.2]], 8
+
+
+def _rmat_sql(n: int, seed: int) -> str:
+    """The same draws and cells: each level doubles the ids and adds the cell's row and column."""
+    draw = f"('0x' || substr(md5(i || '|{seed}|' || l), 1, 13))::bigint::double / {float(1 << 52)!r}"
+    cells, upto = [(i, j, w) for i, row in enumerate(_CELLS) for j, w in enumerate(row)], 1.0
+    total, limits = sum(w for *_, w in cells), []
+    for *_, w in reversed(cells):
+        limits.append(upto)
+        upto -= w / total
+    pick = lambda at: "case " + " ".join(f"when u < {u!r} then {c[at]}" for c, u in zip(cells, reversed(limits), strict=True)) + " end"
+    last = _LEVELS_OF_RMAT - 1
+    return f"with d as (select i, l, {draw} as u from range({n}) a(i), range({_LEVELS_OF_RMAT}) b(l)) select sum({pick(0)} << ({last} - l)::int)::bigint as edge, sum({pick(1)} << ({last} - l)::int)::bigint as node from d group by i"
+
+
+_named("rmat", lambda s, d: generators.rmat(s, _CELLS, _LEVELS_OF_RMAT, 5000, seed=3), _rmat_sql(5000, 3))
+
+# Weights, collapsed input, and the named pipeline to its end
+
+
+def _quantities(spark, d) -> DataFrame:
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("edge"), F.col("l_partkey").alias("node"), (F.col("l_quantity") + 0.25).alias("weight"))
+
+
+_named(
+    "hypergraph_weighted",
+    lambda s, d: Hypergraph(_quantities(s, d)).weighted,
+    "select l_orderkey as edge, l_partkey as node, max(l_quantity + 0.25) as weight from lineitem group by all",
+)
+_named(
+    "hypergraph_collapsed",
+    lambda s, d: Hypergraph(raw(s, d, "OF"), collapse=True).weighted,
+    _with("OF", _SETS + _CLASS + " select edge, node, 0::bigint as weight from inc where edge in (select rep from c)"),
+)
+
+
+@query(
+    _graph(
+        "CP", 5, ", w as (select src, dst, overlap + 0.5 as data from adj), r(id, distance) using key (id) as (select min(src), 0::double from lg union select a.dst, min(r.distance + a.data) from r join w a on a.src = r.id left join recurring.r k on k.id = a.dst where k.id is null or r.distance + a.data < k.distance group by a.dst) select (select min(src) from lg) as src, max(id) as dst, arg_max(distance, id) as distance from r"
+    )
+)
+def s_distance_weighted(spark, d):
+    edges = line(spark, d, "CP", 5).select("src", "dst", (F.col("overlap") + 0.5).cast("double").alias("data"))
+    g = LineGraph(stage(edges))
+    v = _source(g.edges, "src")
+    to = g.s_bfs(v).agg(F.max("id")).first()[0]
+    return spark.createDataFrame([(v, to, g.s_distance(v, to))], "src long, dst long, distance double")
 
 
-_named("rmat", lambda s, d: generators.rmat(s, [[0.4, 0.2], [0.2, 0.2]], 8, 5000, seed=3))
+@query(
+    _graph(
+        "SP", 150, _ALL + ", c as (select root as id, min(id) as component from r group by root), v as (select distinct src as id from adj), t as (select m.id, sum(l.sigma * q.sigma / w.sigma) as x from r w join r l on l.root = w.root join r m on m.root = l.root and m.id = l.id join r q on q.root = m.id and q.id = w.id where l.depth + q.depth = w.depth and l.depth > 0 and q.depth > 0 group by m.id)"
+        " select a.s_name as name, b.s_name as component, round(coalesce(x, 0) / (((select count(*) from v) - 1) * ((select count(*) from v) - 2.0)), 6) as score from v join c using (id) join supplier a on a.s_suppkey = v.id join supplier b on b.s_suppkey = component left join t using (id)"
+    )
+)
+def overlap_pipeline_scores(spark, d):
+    """Overlap, squeezed ids, components and betweenness, and back to names; a component is named after its smallest member."""
+    pairs, m = relabel.squeeze(line(spark, d, "SP", 150))
+    g = LineGraph(stage(pairs), m.select(F.col("new_id").alias("id")))
+    names = _read(spark, d, "supplier").join(m, F.col("s_suppkey") == F.col("old_id")).select(F.col("new_id").alias("id"), F.col("s_name").alias("name"))
+    found = g.s_components().join(g.s_betweenness_centrality(), "id").join(names, "id")
+    heads = names.select(F.col("id").alias("component"), F.col("name").alias("head"))
+    return found.join(heads, "component").select("name", F.col("head").alias("component"), F.round("value", 6).alias("score"))
 
 
 def queries() -> dict[str, Query]:

@@ -30,13 +30,21 @@ def from_histogram(spark: SparkSession, histogram: list[tuple[int, int]]) -> Dat
     return df.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("id"), "degree")
 
 
+def cell_weights(rows: list[float], columns: list[float]) -> list[list[float]]:
+    """The cells of ``rmat`` for independent distributions of the two sides: products of their probabilities."""
+    return [[a * b for b in columns] for a in rows]
+
+
 def rmat(spark: SparkSession, weights: list[list[float]], levels: int, n: int, seed: int = 0) -> DataFrame:
-    """n incidences (edge, node) by recursive choice of a cell of ``weights`` at each of ``levels`` levels; pairs can repeat."""
+    """n incidences (edge, node) by recursive choice of a cell of ``weights`` at each of ``levels`` levels; pairs can repeat.
+
+    A draw is the first 52 bits of the MD5 digest of "row|seed|level", so it is the same on every engine and machine.
+    """
     cells = [(i, j, w) for i, row in enumerate(weights) for j, w in enumerate(row)]
     total = sum(w for *_, w in cells)
     out = spark.range(n).select("id", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("node"))
     for level in range(levels):
-        draw = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(level)), F.lit(1 << 52)) / float(1 << 52)
+        draw = F.conv(F.substring(F.md5(F.concat_ws("|", "id", F.lit(seed), F.lit(level)).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
         out = out.withColumn("u", draw)
         pick_i, pick_j, upto = F.lit(cells[-1][0]), F.lit(cells[-1][1]), 1.0
         for i, j, w in reversed(cells):

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from overlace.operators import centrality, components, paths, stats, structure, traverse
 from overlace.operators.overlap import overlap
+from overlace.plans.lineage import drop, stage
 
 
 class Hypergraph:
     """Hyperedges and nodes of an incidence table (edge, node[, weight]).
 
-    Repeated incidences are removed unless ``dedupe`` is False. With the dense universe ids 0..max exist without
-    incidences too; with the observed one they don't. ``collapse`` keeps one hyperedge of each class.
+    Repeated incidences are removed unless ``dedupe`` is False; of their weights the largest stays. With the dense universe ids 0..max
+    exist without incidences too; with the observed one they don't. ``collapse`` keeps one hyperedge of each class, with weights
+    of 0. ``inc`` has the incidences, ``weighted`` the same with their weights (0 where none are given).
     """
 
     def __init__(self, inc: DataFrame, universe: str = "observed", dedupe: bool = True, collapse: bool = False):
@@ -22,10 +24,15 @@ class Hypergraph:
             raise ValueError("an incidence table has the columns edge and node; the universe is observed or dense")
         inc = inc.where("edge is not null and node is not null").select(F.col("edge").cast("long"), F.col("node").cast("long"), *keep[2:])
         self.universe = universe
-        self.weighted = inc
+        weighted = inc if "weight" in keep else inc.withColumn("weight", F.lit(0).cast("long"))
         inc = inc.select("edge", "node")
         inc = inc.distinct() if dedupe else inc
-        self.inc = structure.collapsed(inc) if collapse else inc
+        if collapse:
+            self.inc = structure.collapsed(inc)
+            self.weighted = self.inc.withColumn("weight", F.lit(0).cast(weighted.schema["weight"].dataType))
+        else:
+            self.inc = inc
+            self.weighted = weighted.groupBy("edge", "node").agg(F.max("weight").alias("weight")) if dedupe else weighted
         self._counts: dict[bool, tuple[int, DataFrame]] = {}
 
     @classmethod
@@ -34,7 +41,8 @@ class Hypergraph:
         if len(row) != len(col) or (data is not None and len(data) not in (0, len(row))):
             raise ValueError("rows, columns and weights differ in length")
         data = data if data is not None and len(data) else [0] * len(row)
-        return cls(spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(row, col, data, strict=True)], "edge long, node long, weight long"), **how)
+        kind, one = ("long", int) if all(float(c).is_integer() for c in data) else ("double", float)
+        return cls(spark.createDataFrame([(int(a), int(b), one(c)) for a, b, c in zip(row, col, data, strict=True)], f"edge long, node long, weight {kind}"), **how)
 
     def dual(self) -> Hypergraph:
         return Hypergraph(structure.dual(self.inc), self.universe, dedupe=False)
@@ -106,14 +114,27 @@ class Hypergraph:
         return components.hyper_components(self.inc, seed)
 
     def overlaps(self, min_s: int = 1, edges: bool = True) -> DataFrame:
-        """(src, dst, overlap) for overlaps of min_s or more; kept, and counted anew only for a smaller min_s."""
+        """(src, dst, overlap) for overlaps of min_s or more; staged, and counted anew only for a smaller min_s."""
         if edges not in self._counts or self._counts[edges][0] > min_s:
-            self._counts[edges] = (min_s, overlap(self.inc if edges else structure.dual(self.inc), min_s).persist())
+            self._counts[edges] = (min_s, stage(overlap(self.inc if edges else structure.dual(self.inc), min_s)))
         return self._counts[edges][1]
 
+    def release(self) -> None:
+        """Deletes the staged overlaps; line graphs made from them must have been used before."""
+        while self._counts:
+            drop(self._counts.popitem()[1][1])
+
+    def edge_neighbor_counts(self) -> DataFrame:
+        """(src, dst, overlap) of all hyperedges that share a node."""
+        return self.overlaps(1)
+
+    def node_neighbor_counts(self) -> DataFrame:
+        """(src, dst, overlap) of all nodes that share a hyperedge."""
+        return self.overlaps(1, edges=False)
+
     def s_linegraph(self, s: int = 1, edges: bool = True) -> LineGraph:
         inc = self.inc if edges else structure.dual(self.inc)
-        return LineGraph(self.overlaps(s, edges).where(F.col("overlap") >= s), stats.sizes(inc, "edge", self.universe).select(F.col("edge").alias("id")), s)
+        return LineGraph(self.overlaps(s, edges).where(F.col("overlap") >= s), stats.sizes(inc, "edge", self.universe).select(F.col("edge").alias("id")), s, edges)
 
     def s_linegraphs(self, values: list[int], edges: bool = True) -> list[LineGraph]:
         """One counting pass at the smallest s serves them all."""
@@ -122,11 +143,18 @@ class Hypergraph:
 
 
 class LineGraph:
-    """An undirected graph: edges (src < dst, overlap) and vertices (id), isolated ones too."""
+    """An undirected graph: edges (src < dst, overlap) and vertices (id), isolated ones too.
 
-    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, s: int = 1):
+    Without ``vertices`` any edge list (src, dst[, data or overlap]) is taken: loops leave, of repeated pairs the smallest weight stays (1 where
+    none is given), ids are 0..max. With a column data the graph is ``weighted``: distances are sums of weights. ``edge_overlap`` tells whether the
+    vertices are hyperedges.
+    """
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, s: int = 1, edge_overlap: bool = True):
+        self.weighted, self.edge_overlap = "data" in edges.columns, edge_overlap
+        edges = edges.withColumn("overlap", F.col("data")).drop("data") if self.weighted else edges
         edges = edges if "overlap" in edges.columns else edges.withColumn("overlap", F.lit(1).cast("long"))
-        edges = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("overlap").alias("overlap")) if vertices is None else edges
+        edges = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("overlap").alias("overlap")) if vertices is None else edges
         if vertices is None:  # any edge list: ids 0..max
             top = edges.agg(F.coalesce(F.max("dst"), F.lit(-1))).first()[0]
             vertices = edges.sparkSession.range(top + 1)
@@ -166,8 +194,20 @@ class LineGraph:
     def s_bfs(self, source: int) -> DataFrame:
         return traverse.graph_bfs(self.edges, source)
 
-    def s_distance(self, src: int, dst: int) -> int:
-        """Hops, -1 if there is no path."""
+    @classmethod
+    def from_arrays(cls, spark: SparkSession, x, y, data=None, **how) -> LineGraph:
+        """From equally long sequences of endpoints and weights (1 where absent)."""
+        if len(x) != len(y) or (data is not None and len(data) not in (0, len(x))):
+            raise ValueError("endpoints and weights differ in length")
+        data = data if data is not None and len(data) else [1] * len(x)
+        kind, one = ("long", int) if all(float(c).is_integer() for c in data) else ("double", float)
+        return cls(spark.createDataFrame([(int(a), int(b), one(c)) for a, b, c in zip(x, y, data, strict=True)], f"src long, dst long, data {kind}"), **how)
+
+    def s_distance(self, src: int, dst: int, weighted: bool | None = None) -> int | float:
+        """Hops, or the least sum of weights (the default for a ``weighted`` graph); -1 if there is no path."""
+        if self.weighted if weighted is None else weighted:
+            row = self.s_sssp(src).where(F.col("id") == dst).first()
+            return -1 if row is None else row["distance"]
         row = traverse.graph_bfs(self.edges, src).where(F.col("id") == dst).first()
         return -1 if row is None else row["depth"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlace.operators.traverse import _union, symmetric
-from overlace.plans.lineage import cut
+from overlace.plans.lineage import cut, drop
 
 
 def levels(edges: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
@@ -34,7 +34,7 @@ def all_pairs(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 
 def shortest_path(edges: DataFrame, src: int, dst: int) -> DataFrame:
     """(path): the lexicographically smallest of the shortest paths, as an array of ids; no row if there is none."""
-    adj = symmetric(edges.select("src", "dst")).distinct().persist()
+    adj = cut(symmetric(edges.select("src", "dst")).distinct())
     cur = cut(edges.sparkSession.createDataFrame([(src, [src])], "id long, path array<long>"))
     seen = cur.select("id")
     while not cur.isEmpty():
@@ -43,19 +43,24 @@ def shortest_path(edges: DataFrame, src: int, dst: int) -> DataFrame:
             return found.select("path")
         step = cur.join(adj, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         nxt = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        seen = cut(seen.union(nxt.select("id")))
-        cur = nxt
+        grown = cut(seen.union(nxt.select("id")))
+        drop(cur, seen)
+        cur, seen = nxt, grown
     return cur.select("path")
 
 
 def weighted_distances(edges: DataFrame, source: int, weight: str = "overlap") -> DataFrame:
-    """(id, distance): least sums of positive weights from a vertex; only vertices that got nearer are relaxed again."""
-    adj = symmetric(edges.select("src", "dst", F.col(weight).cast("long").alias("w"))).persist()
-    known = cut(edges.sparkSession.createDataFrame([(source, 0)], "id long, distance long"))
+    """(id, distance): least sums of positive weights from a vertex, long or double as they are; only vertices that got nearer are relaxed again."""
+    kind = "double" if edges.schema[weight].dataType.typeName() in ("double", "float", "decimal") else "long"
+    adj = symmetric(edges.select("src", "dst", F.col(weight).cast(kind).alias("w"))).persist()
+    known = cut(edges.sparkSession.createDataFrame([(source, 0)], "id long, distance long").withColumn("distance", F.col("distance").cast(kind)))
+    held = known
     front = known
     while not front.isEmpty():
         offer = front.join(adj, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
         both = cut(known.join(offer, "id", "full").select("id", F.least("distance", "offer").alias("distance"), F.coalesce(F.col("offer") < F.col("distance"), F.col("distance").isNull()).alias("new")))
+        drop(held)
+        held = both
         known, front = both.select("id", "distance"), both.where("new").select("id", "distance")
     adj.unpersist()
     return known

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from overlace.plans.lineage import cut
 
@@ -28,6 +29,24 @@ def dense_ranks(df: DataFrame, order: list, name: str = "new_id", split: list |
     return out.withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift")
 
 
+def running_sums(df: DataFrame, key: str, value: str, name: str = "before") -> DataFrame:
+    """Adds the sum of ``value`` over all rows of a smaller ``key``, which is unique; summed within ranges, then shifted."""
+    spread = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    shift, n = [], 0
+    for p, k in sorted(spread.groupBy("_part").agg(F.sum(value)).collect()):
+        shift.append((p, n))
+        n += k or 0
+    shift = df.sparkSession.createDataFrame(shift, "_part int, _shift long")
+    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = spread.join(F.broadcast(shift), "_part")  # a row for each partition
+    return out.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col("_shift")).drop("_part", "_shift")
+
+
+def frontier(perm: DataFrame, shift: tuple[int, int], kind: str = "E") -> DataFrame:
+    """(id): the new ids of one side, 'E' or 'N', of an adjoined graph that was relabelled by ``perm`` (old_id, new_id)."""
+    return split(perm.select(F.col("old_id").alias("id"), "new_id"), shift).where(F.col("kind") == kind).select(F.col("new_id").alias("id"))
+
+
 def degree_permutation(inc: DataFrame, key: str = "edge", descending: bool = False) -> DataFrame:
     """(old_id, new_id): ids in order of size, ties by old id."""
     d = inc.groupBy(F.col(key).alias("old_id")).agg(F.count(F.lit(1)).alias("_d"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from overlace.operators.relabel import running_sums
 from overlace.operators.structure import dual
 from overlace.sources.readers import ADJACENCY, MATRIX_MARKET, WEIGHTED_ADJACENCY
 
@@ -40,7 +41,7 @@ def write_adjacency(inc: DataFrame, path: str) -> None:
         top = side.agg(F.coalesce(F.max("edge"), F.lit(-1))).first()[0]
         size = side.groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
         every = side.sparkSession.range(top + 1).withColumnRenamed("id", "edge").join(size, "edge", "left").fillna(0, ["n"])
-        run = every.withColumn("v", F.expr("sum(n) over (order by edge) - n"))  # one file of offsets is sequential by nature
+        run = running_sums(every, "edge", "n", "v")
         counts += [top + 1, side.count()]
         parts.append(run.select(F.lit(k).cast("long").alias("k"), F.col("edge").alias("i"), F.lit(0).cast("long").alias("j"), F.col("v").cast("string").alias("value")))
         for step, c in enumerate(["node", *(["weight"] if weight else [])]):

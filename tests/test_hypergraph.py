@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from overlace.__main__ import main
 from overlace.functions import generators
 from overlace.model import Hypergraph, LineGraph
 from overlace.operators import components, relabel, stats, traverse
 from overlace.operators.overlap import VARIANTS, overlap
 from overlace.sources import readers, writers
 
+# Public test inputs, 11 hyperedges over 7 nodes (and the small one of three hyperedges below); results are this repository's own.
 ROWS = [0, 1, 2, 5, 9, 10, 0, 1, 2, 3, 4, 5, 0, 1, 3, 5, 6, 7, 1, 2, 5, 0, 1, 2, 3, 5, 4, 8, 5]
 COLS = [0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 6]
 GAPS = ([0, 0, 1, 2, 2, 2, 3, 3, 5, 6, 6, 6, 7], [0, 1, 1, 2, 3, 4, 2, 3, 6, 2, 3, 4, 8])
@@ -117,6 +119,92 @@ def test_edge_list_graph(spark):
     assert rows(g.edges) == [(1, 3, 1), (3, 4, 1)] and table(g.s_degrees()) == {0: 0, 1: 1, 2: 0, 3: 2, 4: 1}
 
 
+def test_weights(spark):
+    h = Hypergraph.from_arrays(spark, [0, 0, 1, 1, 2], [0, 1, 0, 1, 0], [0.5, 1.5, 2.5, 3.0, 1.0])
+    assert rows(h.weighted) == [(0, 0, 0.5), (0, 1, 1.5), (1, 0, 2.5), (1, 1, 3.0), (2, 0, 1.0)]
+    assert rows(Hypergraph(h.weighted.unionByName(h.weighted.withColumn("weight", F.lit(1.25)))).weighted) == [(0, 0, 1.25), (0, 1, 1.5), (1, 0, 2.5), (1, 1, 3.0), (2, 0, 1.25)]
+    assert rows(Hypergraph.from_arrays(spark, [0, 1], [0, 0]).weighted) == [(0, 0, 0), (1, 0, 0)]
+    small = Hypergraph(h.weighted, collapse=True)
+    assert rows(small.weighted) == [(0, 0, 0.0), (0, 1, 0.0), (2, 0, 0.0)] and rows(small.inc) == [(0, 0), (0, 1), (2, 0)]
+    with pytest.raises(ValueError):
+        Hypergraph.from_arrays(spark, [0, 1], [0])
+    assert rows(h.edge_neighbor_counts()) == [(0, 1, 2), (0, 2, 1), (1, 2, 1)] and rows(h.node_neighbor_counts()) == [(0, 1, 2)]
+    h.release()
+    g = LineGraph.from_arrays(spark, [0, 0, 1, 3], [1, 2, 2, 4], [0.5, 2.0, 0.25, 1.0])
+    assert (g.s_distance(0, 2), g.s_distance(0, 2, weighted=False), g.s_distance(0, 4)) == (0.75, 1, -1) and g.edge_overlap
+    assert LineGraph.from_arrays(spark, [0, 1], [1, 2]).s_distance(0, 2) == 2
+
+
+def test_component_lists(gaps):
+    found = components.component_lists(gaps.connected_components())
+    assert rows(found) == [(0, [0, 1], [0, 1]), (2, [2, 3, 6], [2, 3, 4]), (5, [5], [6]), (7, [7], [8])]
+
+
+def test_ranks_and_sums(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(2).cast("long").alias("v")).repartition(5)
+    assert relabel.dense_ranks(df, ["k"]).where("new_id <> k").count() == 0 and relabel.dense_ranks(df.limit(0), ["k"]).count() == 0
+    assert relabel.running_sums(df, "k", "v").where("before <> 2 * k").count() == 0
+    inc = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (1, 2)], "edge long, node long")
+    shift = relabel.offsets(inc)
+    perm = relabel.degree_permutation(relabel.adjoin(inc, shift).select(F.col("src").alias("edge"), F.col("dst").alias("node")), "edge")
+    assert rows(relabel.frontier(perm, shift)) == [(0,), (1,)]
+
+
+def test_large_files_are_read_in_several_tasks(spark, tmp_path):
+    """Lines and tokens are counted over the blocks of a file."""
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        h = spark.range(3000).selectExpr("id % 700 as edge", "id % 61 as node").distinct()
+        for name, write in (("a.csv", writers.write_csv), ("a.adj", writers.write_adjacency), ("a.mm", writers.write_matrix_market)):
+            write(h, str(tmp_path / name))
+            assert spark.read.text(str(tmp_path / name)).rdd.getNumPartitions() > 3
+            assert rows(readers.read_hypergraph(spark, str(tmp_path / name))) == rows(h), name
+        assert rows(readers.read_adjacency(spark, str(tmp_path / "a.adj"), side="node")) == rows(h)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_derived_readers_and_tools(spark, tmp_path):
+    h = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)], "edge long, node long")
+    source = str(tmp_path / "a.adj")
+    writers.write_adjacency(h, source)
+    joined, shift = readers.read_adjoined(spark, source)
+    assert shift == (0, 3) and rows(joined) == [(e, n + 3) for e, n in rows(h)]
+    renamed, perm = readers.read_relabelled(spark, source)
+    assert table(perm) == {2: 0, 0: 1, 1: 2} and rows(renamed.groupBy("edge").count()) == [(0, 1), (1, 3), (2, 3)]
+    for name in ("b.mm", "c.csv", "d.parquet"):
+        readers.convert(spark, source, str(tmp_path / name), transpose=True)
+        assert rows(readers.read_hypergraph(spark, str(tmp_path / name)), "edge", "node") == sorted((n, e) for e, n in rows(h)), name
+    main(["convert", str(tmp_path / "b.mm"), str(tmp_path / "e.adj"), "--transpose"])
+    assert rows(readers.read_hypergraph(spark, str(tmp_path / "e.adj"))) == rows(h)
+    for name, n in (("toplexes", 1), ("s-components", 3), ("adjoin-bfs", 6), ("linegraph", 3)):
+        main([name, source, "--out", str(tmp_path / name)])
+        assert spark.read.parquet(str(tmp_path / name)).count() == n, name
+    with pytest.raises(ValueError):
+        readers.convert(spark, source, str(tmp_path / "x.zip"))
+    (tmp_path / "s.mm").write_text("%%MatrixMarket matrix array integer general\n% sources\n3 1\n5\n1\n9\n")
+    assert rows(readers.sources_from_file(spark, str(tmp_path / "s.mm"), 3)) == [(0,), (4,), (8,)]
+    with pytest.raises(ValueError):
+        readers.sources_from_file(spark, str(tmp_path / "s.mm"), 2)
+    (tmp_path / "m.mm").write_text("%%MatrixMarket matrix coordinate integer symmetric\n3 3 2\n2 1 7\n3 3 5\n")
+    assert rows(readers.read_matrix_market(spark, str(tmp_path / "m.mm"), symmetric=True)) == [(0, 1, 7), (1, 0, 7), (2, 2, 5)]
+    writers.write_histogram(stats.histogram(h), str(tmp_path / "hist"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "hist")).collect()] == ["1 1", "3 2"]
+    for k in (1, 2):
+        writers.append_log(spark.createDataFrame([("q", k)], "query string, sec long"), str(tmp_path / "log"))
+    assert rows(spark.read.json(str(tmp_path / "log")), "query", "sec") == [("q", 1), ("q", 2)]
+
+
+def test_films(spark, tmp_path):
+    (tmp_path / "titles").write_text("tconst\ttitleType\nt1\tmovie\nt2\tshort\nt3\tmovie\n")
+    (tmp_path / "names").write_text('nconst\tprimaryName\nn1\tAnn "A\nn2\tBob\n')
+    (tmp_path / "cast").write_text("tconst\tordering\tnconst\tcategory\nt1\t1\tn1\tactress\nt1\t2\tn2\tdirector\nt2\t1\tn1\tactress\nt3\t1\tn2\tactor\nt3\t2\tn1\tactress\n")
+    got = readers.read_films(spark, *(str(tmp_path / x) for x in ("titles", "names", "cast")))
+    assert rows(got, "title", "name") == [("t1", 'Ann "A'), ("t3", 'Ann "A'), ("t3", "Bob")]
+    assert Hypergraph(got).overlaps(1).count() == 1
+
+
 def test_files(spark, tmp_path):
     h = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)], "edge long, node long")
     want = rows(h)
@@ -147,3 +235,7 @@ def test_generators(spark):
     assert rows(made) == rows(generators.configuration_model(a, b, seed=5))
     r = generators.rmat(spark, [[1, 0], [0, 0]], 3, 10)
     assert set(rows(r)) == {(0, 0)}
+    cells = generators.cell_weights([0.75, 0.25], [0.5, 0.5])
+    assert cells == [[0.375, 0.375], [0.125, 0.125]]
+    share = generators.rmat(spark, cells, 1, 4000).where("edge = 0").count() / 4000
+    assert abs(share - 0.75) < 0.03
