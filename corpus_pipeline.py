@@ -18,37 +18,51 @@ from overlace.plans.lineage import shared_dir
 from overlace.plans.lineage import stage as stage_table
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` has it."""
+    had = {c.lower() for c in docs.columns}
+    while name in had:
+        name += "_"
+    return name
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; it learns from the labelled ones among ``docs``."""
     model = gam.learn(docs, table(spark, sf_dir, "labels"))
-    return gam.classify(docs, model, docs.columns, keep_text=True).where("predicted = 1").select(docs.columns)
+    score, predicted = _fresh(docs, "score"), _fresh(docs, "predicted")
+    judged = gam.classify(docs, model, docs.columns, keep_text=True, names=(score, predicted))
+    return judged.where(F.col(predicted) == 1).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return rules.quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep; all columns of documents go through, whatever their names."""
+    own = {c: F.col(f"`{c}`") for c in docs.columns}
+    row = docs.select("text", "lang", "source", F.struct(*own.values()).alias("document"))
+    return rules.quality_rules(row, keep_text=False).where("kept").select("document.*")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row, a number for each distinct (doc_id, text) in order of the ids; only digests are sorted."""
-    docs = docs.withColumn("_digest", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with ``row``, a number for each distinct (doc_id, text) in order of the ids; only digests are sorted."""
+    digest = _fresh(docs, "digest")
+    docs = docs.withColumn(digest, F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", "_digest").distinct().repartitionByRange(parts, "doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
-    rows = stage_table(texts.withColumn("_row", F.monotonically_increasing_id()))
-    return docs.join(rows, ["doc_id", "_digest"]).drop("_digest")
+    seen = docs.select("doc_id", digest).distinct().repartitionByRange(parts, "doc_id", digest).sortWithinPartitions("doc_id", digest)
+    numbers = stage_table(seen.withColumn(row, F.monotonically_increasing_id()))
+    return docs.join(numbers, ["doc_id", digest]).drop(digest)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id.
 
-    Rows that share an id are apart unless their texts are equal or near copies; rows without an id all stay.
+    Rows that share an id are apart unless their texts are equal or near copies; rows without an id all stay, copies of each other too.
     """
+    row = _fresh(docs, "row")
     known, key = docs.where("doc_id is not null"), "doc_id"
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        known, key = _numbered(known), "_row"
+        known, key = _numbered(known, row), row
     kept = minhash.near_duplicates(known.select(F.col(key).alias("doc_id"), "text"), shingle=5, percent=80).where("kept").select(F.col("doc_id").alias(key)).distinct()
     known = known.join(kept, key, "left_semi")
-    known = known.dropDuplicates([key]) if key == "_row" else known
+    known = known.dropDuplicates([key]) if key == row else known
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
