@@ -141,24 +141,34 @@ def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, set
     def run(batches):
         for batch in slices(batches, 1):
             (xi, xn, xs, xe), (yi, yn, ys, ye) = (unpack(batch.column(c)[0].values) for c in (0, 1))
+            # All shingles of the second block in one sorted array with their owners: a set meets them all by one look-up.
+            shingles = ye.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(shingles)
+            shingles, owner = shingles[order], np.repeat(np.arange(len(yi)), yn)[order]
             a, b = [], []
             for k, (i, n) in enumerate(zip(xi.tolist(), xn.tolist(), strict=True)):
                 near = np.flatnonzero(np.minimum(yn, n) * 100 >= np.maximum(yn, n) * percent)
                 near = near[np.count_nonzero(ys[near] == xs[k], axis=1) >= least]
-                x = xe[k].values.to_numpy(zero_copy_only=False) if len(near) else None
-                for j in near.tolist():
-                    y = ye[j].values.to_numpy(zero_copy_only=False)
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        a.append(min(i, int(yi[j])))
-                        b.append(max(i, int(yi[j])))
-                        break
+                if not len(near):
+                    continue
+                x = xe[k].values.to_numpy(zero_copy_only=False)
+                common = np.zeros(len(yi), np.int64)
+                for h in range(0, n, 4096):
+                    lo, hi = (np.searchsorted(shingles, x[h : h + 4096], side) for side in ("left", "right"))
+                    size = hi - lo
+                    at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+                    common += np.bincount(owner[at], minlength=len(yi))
+                linked = near[100 * common[near] >= percent * (n + yn[near] - common[near])]
+                if len(linked):
+                    j = int(yi[linked[0]])
+                    a.append(min(i, j))
+                    b.append(max(i, j))
             yield {"a": a, "b": b}
 
     return map_arrow(mine.join(gather(other, "ys"), ["to", "at"]).select("xs", "ys"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, m: int = M, seed: int = 1, hubs_asked: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their shingle sets (words of runs without
@@ -167,9 +177,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     its own null component and kept. Rows that share a doc_id are documents of their own, linked by their texts alone. Other columns are dropped.
 
     Equal sets are merged first by a pre-aggregated minimum; a class is numbered, so ids that repeat do no harm. Half keys
-    that one class alone holds meet nobody, so they leave before the tables are formed. In each bucket of each table every class is
-    compared with a hub (the least number after one of four exclusive-or masks, again pre-aggregated), never with
-    all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
+    that one class alone holds meet nobody, so they leave before the tables are formed. Each bucket of each table has a hub (the least
+    number after one of four exclusive-or masks, again pre-aggregated), and every class is compared first with the ``hubs_asked`` hubs
+    that it shares most tables with, never with all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
     where those fit, exactly, in blocks where a component is large. So large groups of copies cost links in proportion to their size, and none is lost that a table
     holds. Pairs whose signatures rule the similarity out, as those of texts that share one passage, leave before
     their sets are fetched; the comparison of the signatures is quadratic in such a bucket.
@@ -196,7 +206,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     n_hashes = 2 * m * k
     fits = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {alike('x.sig', 'y.sig', n_hashes, percent)}"
     one = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.where("id <> hub").select(*one(F.col("id"), F.col("hub"))).distinct()
+    # The hubs that share most tables with a class are those most like it; a class has at most m * m.
+    met = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    nearest = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, hubs_asked).alias("near"))
+    nearest = nearest.select("id", F.explode("near.hub").alias("hub"))
+    pairs = nearest.select(*one(F.col("id"), F.col("hub"))).distinct()
     sides = [about.select(F.col("id").alias(c), F.struct("n", "sig").alias(v)) for c, v in (("a", "x"), ("b", "y"))]
     pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b"))
 
