@@ -2,7 +2,8 @@
 
 Two collections A and B of ``m`` small keys (``k`` minhashes each) are computed per document; table (i, j) has the key
 A_i with B_j, so m * m tables of 2k minhashes cost 2 * m * k minhash computations instead of m * m * 2k. Documents of
-similarity s meet with probability (1 - (1 - s^k)^m)^2: 0.9996 at s = 0.8 with the defaults and more above.
+similarity s meet with probability (1 - (1 - s^k)^m)^2: 0.9996 at s = 0.8 with the defaults and more above. Pairs that
+meet are first held against a bound from parity sketches, which loses none, and against their signatures; full sets confirm.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from overlace.plans.lineage import cut, drop, stage
 
 K, M = 3, 12
 
+#: Bits of a parity sketch; it rules out pairs of sets of up to some 700 shingles and lets larger ones pass to the signatures.
+PARITY = 512
+
 
 def _minhashes(s: np.ndarray, xor: np.ndarray, odd: np.ndarray, block: int = 2048) -> np.ndarray:
     """The minimum of each of the hash functions over a set, in blocks, so that memory is bounded whatever the set's size."""
@@ -34,10 +38,20 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """One bit of each of the ``PARITY`` places, as longs: whether an odd number of the set's hashes falls there.
+
+    An element of both sets flips the same place of both, so two sketches differ in no more places than the sets in
+    elements. This bounds the similarity from above without error: no pair that reaches it is lost.
+    """
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, halves, sig); empty values without words.
 
-    halves holds the m keys of A, then those of B; sig one byte of each minhash, eight in a long.
+    halves holds the m keys of A, then those of B; sig one byte of each minhash, eight in a long, then the parity sketch.
     """
 
     def run(batches):
@@ -59,7 +73,7 @@ def signatures(docs: DataFrame, shingle: int, k: int, m: int, seed: int = 1) ->
                 for c in range(k):
                     key = mix(key + low[:, c])
                 halves.append(key.view(np.int64))
-                sigs.append(np.pad((low.ravel() >> np.uint64(32)).astype(np.uint8), (0, -low.size % 8)).view(np.int64))
+                sigs.append(np.concatenate([np.pad((low.ravel() >> np.uint64(32)).astype(np.uint8), (0, -low.size % 8)).view(np.int64), _parity(s)]))
             yield {"doc_id": batch.column(0), "n_shingles": n, "digest": digests, "halves": halves, "sig": sigs}
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, halves array<long>, sig array<long>")
@@ -87,12 +101,15 @@ def _least_alike(n: int, percent: int) -> int:
 
 
 def alike(x: str, y: str, n: int, percent: int) -> str:
-    """SQL for: the signatures of n minhashes agree as often as ``_least_alike`` asks."""
+    """SQL for: x and y (structs of n and sig) may be alike by their sizes and sketches, and their n minhashes agree as often as ``_least_alike`` asks."""
     fold = "(({0} | shiftrightunsigned({0}, 4)) & 1085102592571150095L)"  # the bits of each byte gather in its lowest
     fold2 = "(({0} | shiftrightunsigned({0}, 2)) & 217020518514230019L)"
     fold1 = "(({0} | shiftrightunsigned({0}, 1)) & 72340172838076673L)"
-    differ = " + ".join(f"bit_count({fold1.format(fold2.format(fold.format(f'({x}[{i}] ^ {y}[{i}])')))})" for i in range(-(-n // 8)))
-    return f"{n} - ({differ}) >= {_least_alike(n, percent)}"
+    xor, minhashes = f"({x}.sig[{{}}] ^ {y}.sig[{{}}])", -(-n // 8)
+    differ = " + ".join(f"bit_count({fold1.format(fold2.format(fold.format(xor.format(i, i))))})" for i in range(minhashes))
+    odd = " + ".join(f"bit_count({xor.format(i, i)})" for i in range(minhashes, minhashes + PARITY // 64))
+    sizes = f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}"
+    return f"{sizes} and ({odd}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent} and {n} - ({differ}) >= {_least_alike(n, percent)}"
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,7 +137,7 @@ def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, set
     """Links (a, b) of the classes of ``work`` (id, to, to_k) to members of their component ``to``: one for each class and block with one.
 
     Classes meet in blocks of about ``block`` shingles on either side, so a row is bounded by that and by the largest set. Every
-    pair of blocks has a key of its own, so no component gathers in one task. Signatures are compared first, sets where
+    pair of blocks has a key of its own, so no component gathers in one task. Sizes, sketches and signatures are compared first, sets where
     those fit, and only links leave a task, never the pairs.
     """
     held = about.join(sets, "id").select("id", "n", F.struct("id", "n", "sig", "s").alias("item"))
@@ -136,11 +153,11 @@ def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, set
     def unpack(rows):
         ids, n, sig, s = (rows.field(c) for c in ("id", "n", "sig", "s"))
         bytes_ = sig.flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False).view(np.uint8).reshape(len(ids), -1)
-        return ids.to_numpy(), n.to_numpy(), bytes_[:, :n_hashes], s
+        return ids.to_numpy(), n.to_numpy(), bytes_[:, :n_hashes], np.ascontiguousarray(bytes_[:, n_hashes + -n_hashes % 8 :]).view(np.uint64), s
 
     def run(batches):
         for batch in slices(batches, 1):
-            (xi, xn, xs, xe), (yi, yn, ys, ye) = (unpack(batch.column(c)[0].values) for c in (0, 1))
+            (xi, xn, xs, xp, xe), (yi, yn, ys, yp, ye) = (unpack(batch.column(c)[0].values) for c in (0, 1))
             # All shingles of the second block in one sorted array with their owners: a set meets them all by one look-up.
             shingles = ye.flatten().to_numpy(zero_copy_only=False)
             order = np.argsort(shingles)
@@ -148,6 +165,7 @@ def _against_components(work: DataFrame, comps: DataFrame, about: DataFrame, set
             a, b = [], []
             for k, (i, n) in enumerate(zip(xi.tolist(), xn.tolist(), strict=True)):
                 near = np.flatnonzero(np.minimum(yn, n) * 100 >= np.maximum(yn, n) * percent)
+                near = near[np.bitwise_count(yp[near] ^ xp[k]).sum(1) * (100 + percent) <= (yn[near] + n) * (100 - percent)]
                 near = near[np.count_nonzero(ys[near] == xs[k], axis=1) >= least]
                 if not len(near):
                     continue
@@ -181,8 +199,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     number after one of four exclusive-or masks, again pre-aggregated), and every class is compared first with the ``hubs_asked`` hubs
     that it shares most tables with, never with all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
     where those fit, exactly, in blocks where a component is large. So large groups of copies cost links in proportion to their size, and none is lost that a table
-    holds. Pairs whose signatures rule the similarity out, as those of texts that share one passage, leave before
-    their sets are fetched; the comparison of the signatures is quadratic in such a bucket.
+    holds. Pairs whose sketches or signatures rule the similarity out, as those of texts that share one passage, leave before
+    their sets are fetched; the comparison of these is quadratic in such a bucket.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = stage(signatures(docs, shingle, k, m, seed))
@@ -204,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     drop(common, shared, hubs)
 
     n_hashes = 2 * m * k
-    fits = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and {alike('x.sig', 'y.sig', n_hashes, percent)}"
+    fits = alike("x", "y", n_hashes, percent)
     one = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # The hubs that share most tables with a class are those most like it; a class has at most m * m.
     met = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))

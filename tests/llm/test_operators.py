@@ -242,6 +242,28 @@ def test_minhash(spark, odd):
     assert got.count() == odd.count() and got.where("doc_id is null and component_id is null and kept").count() == 1
 
 
+def test_parity_sketch_is_a_bound():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (0, 1, 40, 400, 4000):
+        for kept in (0, n // 2, n):
+            a = new(n)
+            b = np.concatenate([a[:kept], new(int(rng.integers(0, 300)))])
+            places = int(np.bitwise_count((minhash._parity(a) ^ minhash._parity(b)).view(np.uint64)).sum())
+            assert places <= len(np.setxor1d(a, b))
+
+
+def test_pairs_that_sketches_rule_out(spark):
+    rng = np.random.default_rng(4)
+    # 150 shingles: 8 own ones each leave 142 of 158 in common (0.899), 20 own ones 130 of 170 (0.765).
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.concatenate([base[: 150 - own], rng.integers(0, 1 << 63, own, dtype=np.uint64)]) for own in (0, 8, 20)]
+    rows = [(i, 150, [0] * 9 + minhash._parity(s).tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id int, n long, sig array<long>")
+    got = df.alias("x").join(df.alias("y"), F.expr(f"x.id < y.id and {minhash.alike('x', 'y', 72, 80)}")).select("x.id", "y.id").collect()
+    assert [tuple(r) for r in got] == [(0, 1)]
+
+
 def test_minhash_of_ids_that_repeat(spark):
     random.seed(11)
     a, b = (" ".join(f"w{random.randrange(3000)}" for _ in range(300)) for _ in range(2))
