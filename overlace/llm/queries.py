@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlace.llm import bpe, chat, embeddings, gam, lbl, minhash, packing, rules, tokenout, urls
+from overlace.llm import bpe, chat, embeddings, gam, lbl, merkle, minhash, mixing, negatives, packing, rules, tokenout, urls
 from overlace.llm.common import fold, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,6 +65,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.verified_manifest(table(spark, sf_dir, "documents"), "lang", tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_quality_rules, op4_packing, op5_byte_bpe, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_chat_rotation, op10_lm_scoring, pipeline)}
+    return {f.__name__: f for f in (op1_url_filters, op2_embedding_dedup, op3_quality_rules, op4_packing, op5_byte_bpe, op6_quality_classifier, op7_token_output, op8_minhash_dedup, op9_chat_rotation, op10_lm_scoring, op11_merkle_manifest, op12_hard_negatives, op13_mixing, pipeline)}
 
 
 _SPLIT = urls.SPLIT
@@ -170,6 +185,46 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body
 FROM y GROUP BY conv_id, perspective, part
 """
 
+OP11 = """
+WITH RECURSIVE d AS (SELECT *, doc_id::VARCHAR AS s FROM documents),
+crc AS (SELECT *, xor(list_reduce(list_transform(range(8 * strlen(s)), lambda k: CASE WHEN k % 8 = 0 THEN ascii(s[k // 8 + 1]) ELSE 0 END::BIGINT),
+               lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d),
+h AS (SELECT doc_id, lang, coalesce(crc % 7 = 0, false) AS tampered,
+             coalesce(strlen(s) || ':' || s, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n,
+             coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n1 FROM crc),
+leaf AS (SELECT *, sha256(head || n || tail) AS leaf, CASE WHEN tampered THEN sha256(head || n1 || tail) ELSE sha256(head || n || tail) END AS checked FROM h),
+l AS (SELECT doc_id, lang, leaf, checked, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+             dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaf),
+t(tree, lvl, i, n, digest) AS (SELECT tree, 0, i, n, leaf FROM l UNION ALL
+  SELECT tree, lvl + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, lvl, i // 2),
+top AS (SELECT tree, lvl AS height, digest FROM t WHERE n = 1),
+u(lvl, i, n, digest) AS (SELECT 0, tree, (SELECT count(*) FROM top), digest FROM top UNION ALL
+  SELECT lvl + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2),
+node AS (SELECT tree, lvl, i, digest FROM t UNION ALL SELECT -1, lvl, i, digest FROM u),
+f(tree, i, k, side, place, digest, proof, high, high2) AS (
+  SELECT tree, i, 0, tree, i, checked, '', height, (SELECT max(lvl) FROM u) FROM l JOIN top USING (tree)
+  UNION ALL
+  SELECT f.tree, f.i, CASE WHEN k = high AND side >= 0 THEN 0 ELSE k + 1 END, CASE WHEN k = high AND side >= 0 THEN -1 ELSE side END,
+         CASE WHEN k = high AND side >= 0 THEN f.tree ELSE place // 2 END,
+         CASE WHEN k = high AND side >= 0 THEN f.digest WHEN x.digest IS NULL THEN sha256(f.digest) WHEN place % 2 = 1 THEN sha256(x.digest || f.digest) ELSE sha256(f.digest || x.digest) END,
+         CASE WHEN k = high AND side >= 0 THEN proof ELSE proof || coalesce(x.digest, '') END, high, high2
+  FROM f LEFT JOIN node x ON x.tree = f.side AND x.lvl = f.k AND x.i = xor(f.place, 1) WHERE side >= 0 OR k < high2)
+SELECT l.doc_id, l.leaf, top.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root,
+       f.digest = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM l JOIN top USING (tree) JOIN f ON f.tree = l.tree AND f.i = l.i AND f.side = -1 AND f.k = f.high2
+"""
+
+OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v, row_number() OVER () AS k
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.k <> b.k),
+p AS (SELECT k, anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY k, positive_id ORDER BY score DESC, id))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (k) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op1_url_filters": OP1, "op2_embedding_dedup": OP2, "op3_quality_rules": OP3, "op8_minhash_dedup": OP8, "op9_chat_rotation": OP9}
+    return {"op1_url_filters": OP1, "op2_embedding_dedup": OP2, "op3_quality_rules": OP3, "op8_minhash_dedup": OP8, "op9_chat_rotation": OP9, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}
