@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from overlace.functions import generators
 from overlace.model import Hypergraph, LineGraph
-from overlace.operators import components, paths, relabel, stats, structure, traverse
-from overlace.operators.overlap import overlap, wedges
-from overlace.plans.lineage import shared_dir, stage
+from overlace.operators import centrality, components, paths, relabel, stats, structure, traverse
+from overlace.operators.overlap import HEURISTICS, adjoined_overlap, counted_overlap, overlap, wedges
+from overlace.plans.lineage import adopt, shared_dir, stage
 from overlace.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,7 @@ _named(
 
 for _s in (1, 2, 3, 4, 5):
     _named(f"slinegraph_s{_s}", lambda s, d, k=_s: line(s, d, "CP", k), _with("CP", f" {_lg(_s)}"))
-for _v, _key in (("join", "CP"), ("explode", "CP"), ("candidates", "SP"), ("prefix", "OP"), ("naive", "SP")):
+for _v, _key in (("join", "CP"), ("explode", "CP"), ("candidates", "SP"), ("prefix", "OP"), ("bounded", "CP"), ("naive", "SP")):
     _k = 2 if _key == "OP" else 4
     _named(f"slinegraph_{_v}", lambda s, d, v=_v, key=_key, k=_k: overlap(inc(s, d, key), k, v), _with(_key, f" {_lg(_k)}"))
 _named("slinegraph_unpruned", lambda s, d: overlap(inc(s, d, "CP"), 4, prune=False), _with("CP", f" {_lg(4)}"))
@@ -201,6 +201,37 @@ _named(
 )
 _named("wedge_counter", lambda s, d: wedges(inc(s, d, "CP")), _with("CP", " select sum(c * (c - 1) // 2)::bigint as wedges from (select count(*) as c from inc group by node)"))
 
+for _order, _down in (("asc", False), ("desc", True)):
+    _named(f"slinegraph_frontier_{_order}", lambda s, d, down=_down: adjoined_overlap(inc(s, d, "CP"), 4, down), _with("CP", f" {_lg(4)}"))
+
+
+@query(_with("CP", f", lg as ({_lg(4)}), z as (select edge, count(*) as n from inc group by edge) select src, dst, overlap from lg join z a on a.edge = src join z b on b.edge = dst where case when a.n <= b.n then src else dst end % 3 = 0"))
+def slinegraph_frontier_part(spark, d):
+    """Only a third of the hyperedges is on the work list; each meets those of a larger size, or of the same and a larger id."""
+    h = inc(spark, d, "CP")
+    return adjoined_overlap(h, 4, work=h.where("edge % 3 = 0").select("edge").distinct())
+
+
+_TOGGLES = {"all but short_circuit": {"short_circuit"}, "no degree_pruning": {"short_circuit", "degree_pruning"}, "no upper_triangular": {"short_circuit", "upper_triangular"}, "no skip_visited": {"short_circuit", "skip_visited"}}
+
+
+@query(
+    _with(
+        "CP", f", big as (select edge from inc group by edge having count(*) >= 4), p as (select a.edge as src, b.edge as dst, a.edge in (from big) and b.edge in (from big) as large from inc a join inc b on a.node = b.node and a.edge < b.edge),"
+        f" c as (select count(*) as rows, count(*) filter (large) as kept, count(distinct (src, dst)) as pairs, count(distinct (src, dst)) filter (large) as kept_pairs, (select count(*) from ({_lg(4)})) as edges from p)"
+        " select 'all but short_circuit' as toggles, kept as visited, kept_pairs as compared, edges from c union all select 'no degree_pruning', rows, pairs, edges from c"
+        " union all select 'no upper_triangular', 2 * kept, 2 * kept_pairs, edges from c union all select 'no skip_visited', kept, kept, edges from c"
+    )
+)
+def slinegraph_counters(spark, d):
+    h = inc(spark, d, "CP")
+    rows = []
+    for name, off in _TOGGLES.items():
+        got = counted_overlap(h, 4, HEURISTICS - off)[1]
+        rows.append((name, got["visited"], got.get("counted", got.get("verified")), got["edges"]))
+    return spark.createDataFrame(rows, "toggles string, visited long, compared long, edges long")
+
+
 # Classes and toplexes
 
 _SETS = ", sets as (select edge, list_sort(list(node)) as nodes from inc group by edge)"
@@ -274,10 +305,36 @@ _named("hyper_bfs_depth", lambda s, d: _bfs(s, d).select("kind", "id", "depth"),
 _named("hyper_bfs_parent", lambda s, d: _bfs(s, d).select("kind", "id", "parent"), _with("CP", _BFS + " select kind, id, parent from r", True))
 
 
-@query("select 0::bigint as bad_source, 0::bigint as bad_parent, 0::bigint as bad_step, 0::bigint as bad_reach")
+for _name, _how in (("hybrid", {}), ("bottom_up", {"alpha": float("inf"), "beta": float("inf")})):
+    _named(
+        f"hyper_bfs_{_name}",
+        lambda s, d, how=_how: traverse.hyper_bfs(h := inc(s, d, "CP"), _source(h), **how),
+        _with("CP", _BFS + " select * from r", True),
+    )
+
+
+@query(
+    _with(
+        "CP", _BFS + ", x as (select r.*, depth + (kind = 'E' and id % 10 = 0 and id <> src)::int as late from r, s), e as (select * from x where kind = 'E'), n as (select * from x where kind = 'N')"
+        " select 'whole' as tree, 0::bigint as bad_source, 0::bigint as bad_parent, 0::bigint as bad_step, 0::bigint as bad_reach union all"
+        " select 'damaged', 0, (select count(*) from e, s where id <> src and not exists (from n where n.id = e.parent and n.late = e.late - 1)) + (select count(*) from n where not exists (from e where e.id = n.parent and e.late = n.late - 1)),"
+        " (select count(*) from inc join e on e.id = edge join n on n.id = node where abs(e.late - n.late) <> 1), 0",
+        True,
+    )
+)
 def bfs_verifier(spark, d):
-    h = inc(spark, d, "CP")
-    return traverse.verify_hyper_bfs(h, traverse.hyper_bfs(h, _source(h)), _source(h))
+    """Violations of a right tree, and of one with every tenth hyperedge a level too deep."""
+    h = inc(spark, d, "CP").cache()
+    source = _source(h)
+    found = traverse.hyper_bfs(h, source)
+    late = found.withColumn("depth", F.col("depth") + ((F.col("kind") == "E") & (F.col("id") % 10 == 0) & (F.col("id") != source)).cast("int"))
+    out = [traverse.verify_hyper_bfs(h, t, source).withColumn("tree", F.lit(name)) for name, t in (("whole", found), ("damaged", late))]
+    return out[0].unionByName(out[1])
+
+
+for _seed, _key in (("edge", "UE"), ("node", "SP")):
+    _named(f"hyper_cc_labels_{_seed}s", lambda s, d, seed=_seed, key=_key: components.propagate_labels(inc(s, d, key), seed), _hyper_sql(_key, _seed))
+_named("hyper_cc_afforest", lambda s, d: components.hyper_components(inc(s, d, "SP"), "node", components.afforest), _hyper_sql("SP", "node"))
 
 
 @query(_with("CN", _SHIFT + ", c as (select node, least(min(edge) + any_value(e), node + any_value(n)) as component from inc, o group by node) select 'E' as kind, edge as id, component from inc join c using (node) union select 'N', node, component from c"))
@@ -308,6 +365,7 @@ def graph(spark, d, s: int) -> LineGraph:
 _CC = ", v as (select distinct edge as id from inc), r(id, c) using key (id) as (select id, id from v union select dst, min(r.c) from r join adj on src = r.id join recurring.r k on k.id = dst where r.c < k.c group by dst)"
 for _s in (4, 5):
     _named(f"s_components_s{_s}", lambda s, d, k=_s: graph(s, d, k).s_components(), _graph("CP", _s, _CC + " select id, c as component from r"))
+_named("s_components_afforest", lambda s, d: graph(s, d, 4).s_components("afforest"), _graph("CP", 4, _CC + " select id, c as component from r"))
 _named(
     "s_component_sizes",
     lambda s, d: graph(s, d, 5).s_components().groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
@@ -366,6 +424,14 @@ def s_diameter(spark, d):
     return spark.createDataFrame([graph(spark, d, 5).s_diameter()], "diameter long, connected boolean")
 
 
+_named(
+    "s_diameter_pairs",
+    lambda s, d: s.createDataFrame([graph(s, d, 5).s_diameter(bounds=False)], "diameter long, connected boolean"),
+    _graph("CP", 5, _ALL + _SCORES + " select max(farthest) as diameter, min(coalesce(reached, 0)) = count(*) - 1 as connected from v left join d using (id)"),
+)
+_named("s_eccentricity_pairs", lambda s, d: graph(s, d, 3).s_eccentricity(bounds=False), _graph("CP", 3, _ALL + _SCORES + " select id, case when reached = (select count(*) from v) - 1 then farthest else 0 end as value from v left join d using (id)"))
+_named("s_closeness_words", lambda s, d: graph(s, d, 4).s_closeness_centrality(words=True).select("id", F.round("value", 6).alias("value")), _graph("CP", 4, _ALL + _SCORES + " select id, round(closeness, 6) as value from v left join d using (id)"))
+_named("s_harmonic_words", lambda s, d: graph(s, d, 4).s_harmonic_closeness_centrality(words=True).select("id", F.round("value", 6).alias("value")), _graph("CP", 4, _ALL + _SCORES + " select id, round(coalesce(harmonic, 0), 6) as value from v left join d using (id)"))
 _named("s_eccentricity", lambda s, d: graph(s, d, 3).s_eccentricity(), _graph("CP", 3, _ALL + _SCORES + " select id, case when reached = (select count(*) from v) - 1 then farthest else 0 end as value from v left join d using (id)"))
 _named("s_closeness", lambda s, d: graph(s, d, 5).s_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("CP", 5, _ALL + _SCORES + " select id, round(closeness, 6) as value from v left join d using (id)"))
 _named("s_harmonic", lambda s, d: graph(s, d, 5).s_harmonic_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("CP", 5, _ALL + _SCORES + " select id, round(coalesce(harmonic, 0), 6) as value from v left join d using (id)"))
@@ -385,6 +451,32 @@ def s_betweenness_sampled(spark, d):
     return g.s_betweenness_centrality(False, some).select("id", F.round("value", 4).alias("value"))
 
 
+@query(
+    _graph(
+        "CP", 6, _ALL + ", v as (select distinct src as id from adj) select 'whole' as scores, 0::bigint as bad_score, 0::bigint as bad_total, 0::bigint as missing union all"
+        " select 'damaged', count(*) filter (id % 5 = 0 and id % 7 <> 0), (count(*) filter (id % 5 = 0) > 0)::bigint, count(*) filter (id % 7 = 0) from v"
+    )
+)
+def s_betweenness_verified(spark, d):
+    """Violations of scores made in batches of about 256 sources, and of the same with some raised and some lost."""
+    g = graph(spark, d, 6)
+    edges = stage(g.edges)
+    found = stage(centrality.betweenness(edges, 0, False, batch=256))
+    lost = found.where("id % 7 <> 0").withColumn("value", F.col("value") + (F.col("id") % 5 == 0).cast("int"))
+    out = [centrality.verify_betweenness(edges, t).withColumn("scores", F.lit(name)) for name, t in (("whole", found), ("damaged", lost))]
+    return out[0].unionByName(out[1])
+
+
+_SSSP = ", r(id, distance) using key (id) as (select min(src), 0::bigint from lg union select a.dst, min(r.distance + a.overlap) from r join adj a on a.src = r.id left join recurring.r k on k.id = a.dst where k.id is null or r.distance + a.overlap < k.distance group by a.dst) select id, distance from r"
+
+
+@query(_graph("CP", 5, _SSSP))
+def s_sssp_delta(spark, d):
+    """Buckets narrower than the weights, so edges are light and heavy."""
+    g, v = _from_first(spark, d, 5)
+    return g.s_sssp(v, delta=5.5)
+
+
 @query(
     _graph(
         "CP", 5, ", r(id, distance) using key (id) as (select min(src), 0::bigint from lg union select a.dst, min(r.distance + a.overlap) from r join adj a on a.src = r.id left join recurring.r k on k.id = a.dst where k.id is null or r.distance + a.overlap < k.distance group by a.dst) select id, distance from r"
@@ -407,7 +499,7 @@ def overlap_pipeline_named(spark, d):
 
 def _roundtrip(write, read) -> Query:
     def run(spark, d):
-        path = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+        path = adopt(spark, f"{shared_dir(spark)}/file-{uuid.uuid4().hex}")
         write(inc(spark, d, "SP"), path)
         return read(spark, path).select("edge", "node")
 
@@ -430,7 +522,7 @@ def config_model(spark, d):
 _CELLS, _LEVELS_OF_RMAT = [[0.4, 0.2], [0.2, 0.2]], 8
 
 
-def _rmat_sql(n: int, seed: int) -> str:
+def _rmat_sql(n: str, seed: int) -> str:
     """The same draws and cells: each level doubles the ids and adds the cell's row and column."""
     draw = f"('0x' || substr(md5(i || '|{seed}|' || l), 1, 13))::bigint::double / {float(1 << 52)!r}"
     cells, upto = [(i, j, w) for i, row in enumerate(_CELLS) for j, w in enumerate(row)], 1.0
@@ -443,7 +535,23 @@ def _rmat_sql(n: int, seed: int) -> str:
     return f"with d as (select i, l, {draw} as u from range({n}) a(i), range({_LEVELS_OF_RMAT}) b(l)) select sum({pick(0)} << ({last} - l)::int)::bigint as edge, sum({pick(1)} << ({last} - l)::int)::bigint as node from d group by i"
 
 
-_named("rmat", lambda s, d: generators.rmat(s, _CELLS, _LEVELS_OF_RMAT, 5000, seed=3), _rmat_sql(5000, 3))
+_named("rmat", lambda s, d: generators.rmat(s, _CELLS, _LEVELS_OF_RMAT, _read(s, d, "orders").count(), seed=3), _rmat_sql("(select count(*) from orders)", 3))
+
+
+@query(_with("SP", " select 'edge' as side, edge as id, count(*) as size from inc group by edge union all select 'node', node + (select max(edge) + 1 from inc), count(*) from inc group by node"))
+def config_model_contiguous(spark, d):
+    """The same in one id space, hyperedges first."""
+    h = inc(spark, d, "SP")
+    made = stage(generators.configuration_model(*(stats.sizes(h, k).select(F.col(k).alias("id"), F.col("size").alias("degree")) for k in ("edge", "node")), seed=1, contiguous_id_space=True))
+    side = lambda k: made.groupBy(F.lit(k).alias("side"), F.col(k).alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    return side("edge").unionByName(side("node"))
+
+
+_named(
+    "power_law_degrees",
+    lambda s, d: generators.power_law(_read(s, d, "customer").select(F.col("c_custkey").alias("id")), 2.5, 1, 100, seed=7),
+    f"select c_custkey as id, least(100, greatest(1, floor(pow(1.0 + ('0x' || substr(md5(c_custkey || '|7'), 1, 13))::bigint::double / {float(1 << 52)!r} * ({101.0**-1.5!r} - 1.0), {1 / -1.5!r}))))::bigint as degree from customer",
+)
 
 # Weights, collapsed input, and the named pipeline to its end
 
@@ -477,6 +585,27 @@ def s_distance_weighted(spark, d):
     return spark.createDataFrame([(v, to, g.s_distance(v, to))], "src long, dst long, distance double")
 
 
+_WEIGHTED = ", w as (select src, dst, overlap + 0.5 as data from adj), v as (select distinct src as id from adj), r(root, id, distance) using key (root, id) as (select id, id, 0::double from v union select r.root, a.dst, min(r.distance + a.data) from r join w a on a.src = r.id left join recurring.r k on k.root = r.root and k.id = a.dst where k.id is null or r.distance + a.data < k.distance group by r.root, a.dst), d as (select root as id, count(*) as reached, sum(distance) as total, sum(1 / distance) as harmonic, max(distance) as farthest from r where root <> id group by root)"
+
+
+def _weighted(spark, d, s: int = 110) -> LineGraph:
+    """Suppliers with an edge; the weight is the overlap and a half."""
+    edges = stage(line(spark, d, "SP", s).select("src", "dst", (F.col("overlap") + 0.5).cast("double").alias("data")))
+    g = LineGraph(edges)
+    g.vertices = g._active()
+    return g
+
+
+@query(_graph("SP", 110, _WEIGHTED + " select max(farthest) as diameter, min(reached) = count(*) - 1 as connected from d"))
+def s_diameter_weighted(spark, d):
+    return spark.createDataFrame([_weighted(spark, d).s_diameter()], "diameter double, connected boolean")
+
+
+_named("s_eccentricity_weighted", lambda s, d: _weighted(s, d).s_eccentricity(), _graph("SP", 110, _WEIGHTED + " select id, case when reached = (select count(*) from v) - 1 then farthest else 0 end as value from d"))
+_named("s_closeness_weighted", lambda s, d: _weighted(s, d).s_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("SP", 110, _WEIGHTED + " select id, round(reached / total, 6) as value from d"))
+_named("s_harmonic_weighted", lambda s, d: _weighted(s, d).s_harmonic_closeness_centrality().select("id", F.round("value", 6).alias("value")), _graph("SP", 110, _WEIGHTED + " select id, round(harmonic, 6) as value from d"))
+
+
 @query(
     _graph(
         "SP", 150, _ALL + ", c as (select root as id, min(id) as component from r group by root), v as (select distinct src as id from adj), t as (select m.id, sum(l.sigma * q.sigma / w.sigma) as x from r w join r l on l.root = w.root join r m on m.root = l.root and m.id = l.id join r q on q.root = m.id and q.id = w.id where l.depth + q.depth = w.depth and l.depth > 0 and q.depth > 0 group by m.id)"

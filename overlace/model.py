@@ -9,6 +9,8 @@ from overlace.operators import centrality, components, paths, stats, structure,
 from overlace.operators.overlap import overlap
 from overlace.plans.lineage import drop, stage
 
+COMPONENTS = {"star": components.connected_components, "afforest": components.afforest}
+
 
 class Hypergraph:
     """Hyperedges and nodes of an incidence table (edge, node[, weight]).
@@ -107,11 +109,14 @@ class Hypergraph:
     def singletons(self) -> DataFrame:
         return structure.singletons(self.inc)
 
-    def bfs(self, source: int) -> DataFrame:
-        return traverse.hyper_bfs(self.inc, source)
+    def bfs(self, source: int, alpha: float = 15.0, beta: float = 18.0) -> DataFrame:
+        return traverse.hyper_bfs(self.inc, source, alpha, beta)
 
-    def connected_components(self, seed: str = "edge") -> DataFrame:
-        return components.hyper_components(self.inc, seed)
+    def connected_components(self, seed: str = "edge", method: str = "star") -> DataFrame:
+        """(kind, id, label), by ``star`` rounds, ``afforest`` (for a giant component) or ``labels`` that go to and fro (for small diameters)."""
+        if method == "labels":
+            return components.propagate_labels(self.inc, seed)
+        return components.hyper_components(self.inc, seed, COMPONENTS[method])
 
     def overlaps(self, min_s: int = 1, edges: bool = True) -> DataFrame:
         """(src, dst, overlap) for overlaps of min_s or more; staged, and counted anew only for a smaller min_s."""
@@ -146,8 +151,8 @@ class LineGraph:
     """An undirected graph: edges (src < dst, overlap) and vertices (id), isolated ones too.
 
     Without ``vertices`` any edge list (src, dst[, data or overlap]) is taken: loops leave, of repeated pairs the smallest weight stays (1 where
-    none is given), ids are 0..max. With a column data the graph is ``weighted``: distances are sums of weights. ``edge_overlap`` tells whether the
-    vertices are hyperedges.
+    none is given), ids are 0..max. With a column data the graph is ``weighted``: distances, and the diameter, closeness, eccentricity and harmonic centrality
+    that come from them, are sums of weights; paths and betweenness are those of hops. ``edge_overlap`` tells whether the vertices are hyperedges.
     """
 
     def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, s: int = 1, edge_overlap: bool = True):
@@ -163,13 +168,16 @@ class LineGraph:
     def _active(self) -> DataFrame:
         return self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).distinct()
 
-    def s_components(self) -> DataFrame:
-        """(id, component) of every vertex."""
-        found = components.connected_components(self.edges)
+    def s_components(self, method: str = "star") -> DataFrame:
+        """(id, component) of every vertex, by ``star`` rounds or ``afforest``."""
+        found = COMPONENTS[method](self.edges)
         return self.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def s_connected_components(self) -> DataFrame:
-        """(component, members) of the components of two vertices or more."""
+        """(component, members) of the components of two vertices or more.
+
+        A row holds a whole component, so this is a report for small ones; ``s_components`` has the same in rows.
+        """
         return self.s_components().groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members")).where(F.size("members") > 1)
 
     def get_singletons(self) -> DataFrame:
@@ -215,33 +223,49 @@ class LineGraph:
         row = paths.shortest_path(self.edges, src, dst).first()
         return [] if row is None else row["path"]
 
-    def s_sssp(self, source: int) -> DataFrame:
-        return paths.weighted_distances(self.edges, source)
+    def s_sssp(self, source: int, delta: float | None = None) -> DataFrame:
+        """(id, distance) by weights: the overlaps, or the column data of a ``weighted`` graph."""
+        return paths.weighted_distances(self.edges, source, delta=delta)
 
-    def _scores(self, v: int | None) -> DataFrame:
+    def _scores(self, v: int | None, words: bool = False) -> DataFrame:
         one = None if v is None else self.edges.sparkSession.createDataFrame([(v,)], "id long")
-        found = centrality.distance_scores(self.edges, one)
+        found = centrality.word_scores(self.edges, one) if words and not self.weighted else centrality.distance_scores(self.edges, one, self.weighted)
         vertices = self.vertices if v is None else self.vertices.where(F.col("id") == v)
         return vertices.join(found, "id", "left")
 
-    def s_diameter(self) -> tuple[int, bool]:
-        """(largest finite distance, whether the graph is connected)."""
+    def s_diameter(self, bounds: bool = True, report: dict | None = None) -> tuple[int | float, bool]:
+        """(largest finite distance, whether the graph is connected); by bounds from few searches, or (always if ``weighted``) by all pairs."""
         n = self.vertices.count()
+        if bounds and not self.weighted:
+            found = centrality.eccentricities(self.edges, diameter_only=True, report=report)
+            far, active, parts = found.agg(F.coalesce(F.max("farthest"), F.lit(0)), F.count(F.lit(1)), F.countDistinct("component")).first()
+            drop(found)
+            return far, n <= 1 or (active == n and parts == 1)
         far, least = self._scores(None).agg(F.coalesce(F.max("farthest"), F.lit(0)), F.min(F.coalesce("reached", F.lit(0)))).first()
         return far, n <= 1 or least == n - 1
 
-    def s_eccentricity(self, v: int | None = None) -> DataFrame:
-        """(id, value): the largest distance, 0 where a vertex is out of reach."""
+    def s_eccentricity(self, v: int | None = None, bounds: bool = True, report: dict | None = None) -> DataFrame:
+        """(id, value): the largest distance, 0 where a vertex is out of reach.
+
+        By bounds from few searches, none where the graph is not connected; by all pairs if ``weighted`` or not ``bounds``.
+        """
+        if v is None and bounds and not self.weighted:
+            if not self.is_s_connected(strict=True):
+                return self.vertices.select("id", F.lit(0).cast("long").alias("value"))
+            found = centrality.eccentricities(self.edges, report=report)
+            return self.vertices.join(found, "id", "left").select("id", F.coalesce("farthest", F.lit(0)).cast("long").alias("value"))
         n = self.vertices.count()
-        return self._scores(v).select("id", F.when(F.col("reached") == n - 1, F.col("farthest")).otherwise(0).cast("long").alias("value"))
+        scores = self._scores(v)
+        return scores.select("id", F.when(F.col("reached") == n - 1, F.col("farthest")).otherwise(0).cast(scores.schema["farthest"].dataType).alias("value"))
 
-    def s_closeness_centrality(self, v: int | None = None) -> DataFrame:
-        """(id, value), null for isolated vertices."""
-        return self._scores(v).select("id", F.col("closeness").alias("value"))
+    def s_closeness_centrality(self, v: int | None = None, words: bool = False) -> DataFrame:
+        """(id, value), null for isolated vertices; ``words``: hops are searched from 64 sources at once."""
+        return self._scores(v, words).select("id", F.col("closeness").alias("value"))
 
-    def s_harmonic_closeness_centrality(self, v: int | None = None) -> DataFrame:
-        return self._scores(v).select("id", F.coalesce("harmonic", F.lit(0.0)).alias("value"))
+    def s_harmonic_closeness_centrality(self, v: int | None = None, words: bool = False) -> DataFrame:
+        return self._scores(v, words).select("id", F.coalesce("harmonic", F.lit(0.0)).alias("value"))
 
-    def s_betweenness_centrality(self, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:
-        found = centrality.betweenness(self.edges, self.vertices.count(), normalized, sources)
+    def s_betweenness_centrality(self, normalized: bool = True, sources: DataFrame | None = None, batch: int = 1024) -> DataFrame:
+        """(id, value) by hops, from every vertex or from ``sources`` (id), about ``batch`` of them at once."""
+        found = centrality.betweenness(self.edges, self.vertices.count(), normalized, sources, batch)
         return self.vertices.join(found, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))

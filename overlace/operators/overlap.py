@@ -6,10 +6,31 @@ its condition, then a count with partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-VARIANTS = ("join", "explode", "candidates", "prefix", "naive")
+from overlace.operators import relabel
+from overlace.operators.traverse import symmetric
+from overlace.plans.lineage import drop, stage
+
+VARIANTS = ("join", "explode", "candidates", "prefix", "bounded", "naive")
+#: Toggles of ``counted_overlap``.
+HEURISTICS = frozenset({"degree_pruning", "skip_visited", "short_circuit", "upper_triangular"})
+
+
+class Counters:
+    """Row counts at named places of a plan, taken while it runs."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def at(self, name: str, df: DataFrame) -> DataFrame:
+        self.seen[name] = Observation()
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
+
+    def get(self) -> dict[str, int]:
+        """The counts, once the plan has run."""
+        return {k: v.get["n"] for k, v in self.seen.items()}
 
 
 def at_least(inc: DataFrame, s: int) -> DataFrame:
@@ -29,17 +50,48 @@ def _verified(pairs: DataFrame, inc: DataFrame, s: int) -> DataFrame:
     return both.select("src", "dst", F.size(F.array_intersect("src_nodes", "dst_nodes")).cast("long").alias("overlap")).where(F.col("overlap") >= s)
 
 
-def _pairs(inc: DataFrame) -> DataFrame:
+def _pairs(inc: DataFrame, triangle: bool = True) -> DataFrame:
     a, b = inc.alias("a"), inc.alias("b")
-    return a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.edge") < F.col("b.edge"))).select(F.col("a.edge").alias("src"), F.col("b.edge").alias("dst"))
+    order = F.col("a.edge") < F.col("b.edge") if triangle else F.col("a.edge") != F.col("b.edge")
+    return a.join(b, (F.col("a.node") == F.col("b.node")) & order).select(F.col("a.edge").alias("src"), F.col("b.edge").alias("dst"))
+
+
+def _by_rarity(inc: DataFrame) -> DataFrame:
+    """(edge, nodes, n): node lists in one order for all, the rarest first."""
+    degree = inc.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = inc.join(degree, "node").groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("degree", "node"))).alias("r"))
+    return ranked.select("edge", F.expr("transform(r, x -> x.node)").alias("nodes"), F.size("r").alias("n"))
+
+
+def _bounded(inc: DataFrame, s: int, triangle: bool = True, distinct: bool = True, counters: Counters | None = None) -> DataFrame:
+    """(src, dst, overlap) by prefixes with places: a pair ends as soon as s is out of its reach.
+
+    Two hyperedges that share s nodes share one among their n - s + 1 rarest. Where such a node lies at places i and j, they share at most
+    min(i, j) before it and the shorter rest behind it, which ends a pair before it is shuffled. The nodes shared up to the last such place are all
+    counted then, so with the shorter rest behind it they bound the pair again, and only those rests of what is left are intersected.
+    """
+    at = counters.at if counters else lambda _, df: df
+    sets = stage(_by_rarity(inc))
+    places = sets.where(F.col("n") >= s).select("edge", "n", F.posexplode(F.expr(f"slice(nodes, 1, n - {s} + 1)")).alias("i", "node"))
+    a, b = places.alias("a"), places.alias("b")
+    order = F.col("a.edge") < F.col("b.edge") if triangle else F.col("a.edge") != F.col("b.edge")
+    met = a.join(b, (F.col("a.node") == F.col("b.node")) & order)
+    met = met.select(F.col("a.edge").alias("src"), F.col("b.edge").alias("dst"), F.col("a.i").alias("i"), F.col("b.i").alias("j"), (F.col("a.n") - F.col("a.i") - 1).alias("ri"), (F.col("b.n") - F.col("b.i") - 1).alias("rj"))
+    met = at("visited", met).where(F.least("i", "j") + 1 + F.least("ri", "rj") >= s)
+    pairs = met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"), F.min("ri").alias("ri"), F.min("rj").alias("rj"))
+    pairs = at("verified", at("counted", pairs).where(F.col("c") + F.least("ri", "rj") >= s))
+    side = lambda k: sets.select(F.col("edge").alias(k), F.col("nodes").alias(f"{k}_nodes"))
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    rest = F.size(F.array_intersect(F.expr("slice(src_nodes, i + 2, ri)"), F.expr("slice(dst_nodes, j + 2, rj)")))
+    return both.select("src", "dst", (F.col("c") + rest).cast("long").alias("overlap")).where(F.col("overlap") >= s)
 
 
 def overlap(inc: DataFrame, s: int = 1, variant: str = "join", prune: bool = True) -> DataFrame:
     """(src, dst, overlap) with src < dst and overlap >= s; ``inc`` is (edge, node).
 
     A node of degree k makes k(k-1)/2 rows in ``join``; AQE splits such a node's partition. ``prefix`` compares hyperedges only
-    where they share one of their size - s + 1 rarest nodes, then counts exactly; use it for hub nodes and s > 1.
-    ``candidates`` finds pairs first and intersects their sets; ``explode`` pairs within a node's list; ``naive``
+    where they share one of their size - s + 1 rarest nodes, then counts exactly; use it for hub nodes and s > 1. ``bounded`` does so too, and ends a pair
+    as soon as s is out of reach. ``candidates`` finds pairs first and intersects their sets; ``explode`` pairs within a node's list; ``naive``
     compares all pairs and serves tests only.
     """
     if variant not in VARIANTS:
@@ -55,15 +107,73 @@ def overlap(inc: DataFrame, s: int = 1, variant: str = "join", prune: bool = Tru
     if variant == "candidates":
         return _verified(_pairs(inc).distinct(), inc, s)
     if variant == "prefix":
-        degree = inc.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = inc.join(degree, "node").groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("degree", "node"))).alias("r"))
-        rare = ranked.where(F.size("r") >= s).select("edge", F.explode(F.expr(f"slice(r, 1, size(r) - {s} + 1)")).alias("x")).select("edge", "x.node")
+        rare = _by_rarity(inc).where(F.col("n") >= s).select("edge", F.explode(F.expr(f"slice(nodes, 1, n - {s} + 1)")).alias("node"))
         return _verified(_pairs(rare).distinct(), inc, s)
+    if variant == "bounded":
+        return _bounded(inc, s)
     src, dst = _sets(inc, "src"), _sets(inc, "dst")
     both = src.join(dst, F.col("src") < F.col("dst"))
     return both.select("src", "dst", F.size(F.array_intersect("src_nodes", "dst_nodes")).cast("long").alias("overlap")).where(F.col("overlap") >= s)
 
 
+def counted_overlap(inc: DataFrame, s: int, heuristics: frozenset[str] = HEURISTICS) -> tuple[DataFrame, dict[str, int]]:
+    """The overlap as a staged table, and what its run did: rows visited, pairs counted, pairs verified, edges made.
+
+    The toggles change the work and not the result. degree_pruning: hyperedges under s nodes leave first. upper_triangular: a pair is visited in
+    one direction. skip_visited: a pair that is met again is verified once. short_circuit: pairs meet at rare nodes and end once s is out of reach.
+    """
+    if heuristics - HEURISTICS:
+        raise ValueError(f"unknown heuristics: {', '.join(sorted(heuristics - HEURISTICS))}")
+    counters, triangle = Counters(), "upper_triangular" in heuristics
+    inc = at_least(inc, s) if "degree_pruning" in heuristics else inc
+    if "short_circuit" in heuristics:
+        out = _bounded(inc, s, triangle, counters=counters)
+    else:
+        pairs = counters.at("visited", _pairs(inc, triangle))
+        if "skip_visited" in heuristics:
+            out = counters.at("counted", pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("overlap"))).where(F.col("overlap") >= s)
+        else:
+            out = _verified(counters.at("verified", pairs), inc, s).distinct()
+    out = stage(counters.at("edges", out.where("src < dst")))
+    return out, counters.get()
+
+
+def frontier_overlap(graph: DataFrame, front: DataFrame, s: int) -> DataFrame:
+    """(src, dst, overlap): members of the work list ``front`` (id) with the later ids that share s neighbours or more.
+
+    ``graph`` is (src, dst) in one id space, such as an adjoined and relabelled one, so that ids are places in a permutation. Only the
+    work list is expanded, over its neighbours to vertices of its own kind; a list of one side's all ids gives the whole overlap of that side.
+    """
+    both = symmetric(graph.select("src", "dst")).distinct()
+    large = both.groupBy(F.col("src").alias("id")).count().where(F.col("count") >= s).select("id")
+    work = front.select("id").distinct().join(large, "id", "left_semi")
+    one = both.join(work, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("via"))
+    two = both.select(F.col("src").alias("via"), F.col("dst").alias("b")).join(large.select(F.col("id").alias("b")), "b", "left_semi")
+    met = one.join(two, "via").where("a < b")
+    return met.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= s)
+
+
+def adjoined_overlap(inc: DataFrame, s: int, descending: bool = False, work: DataFrame | None = None) -> DataFrame:
+    """(src, dst, overlap) with src < dst, by a work list over the adjoined graph whose ids are places in order of degree.
+
+    ``work`` is (edge), the hyperedges to expand against those of later places; all unless given. Results have the ids of ``inc`` again.
+    """
+    inc = stage(inc.select("edge", "node").distinct())
+    shift = relabel.offsets(inc)
+    graph = relabel.adjoin(inc, shift)
+    perm = stage(relabel.degree_permutation(symmetric(graph).withColumnsRenamed({"src": "edge", "dst": "node"}), "edge", descending))
+    front = relabel.frontier(perm, shift)
+    if work is not None:
+        chosen = perm.join(work.select((F.col("edge") + shift[0]).alias("old_id")), "old_id", "left_semi")
+        front = front.join(chosen.select(F.col("new_id").alias("id")), "id", "left_semi")
+    found = frontier_overlap(relabel.renamed(graph, perm), front, s)
+    old = lambda k: perm.select(F.col("new_id").alias(k), (F.col("old_id") - shift[0]).alias(f"_{k}"))
+    out = found.join(old("src"), "src").join(old("dst"), "dst")
+    out = stage(out.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"), "overlap"))
+    drop(inc, perm)
+    return out
+
+
 def wedges(inc: DataFrame) -> DataFrame:
     """One row (wedges): pairs of incidences that share a node, the work of the self-join."""
     d = inc.groupBy("node").agg(F.count(F.lit(1)).alias("d"))

@@ -47,6 +47,12 @@ def frontier(perm: DataFrame, shift: tuple[int, int], kind: str = "E") -> DataFr
     return split(perm.select(F.col("old_id").alias("id"), "new_id"), shift).where(F.col("kind") == kind).select(F.col("new_id").alias("id"))
 
 
+def renamed(graph: DataFrame, perm: DataFrame) -> DataFrame:
+    """The edges (src, dst) of a graph under a permutation (old_id, new_id) of its ids."""
+    new = lambda k: perm.select(F.col("old_id").alias(k), F.col("new_id").alias(f"_{k}"))
+    return graph.join(new("src"), "src").join(new("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
 def degree_permutation(inc: DataFrame, key: str = "edge", descending: bool = False) -> DataFrame:
     """(old_id, new_id): ids in order of size, ties by old id."""
     d = inc.groupBy(F.col(key).alias("old_id")).agg(F.count(F.lit(1)).alias("_d"))
@@ -67,8 +73,10 @@ def squeeze(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def offsets(inc: DataFrame) -> tuple[int, int]:
-    """(of edges, of nodes) in one id space: the smaller side is shifted behind the larger."""
-    e, n = inc.agg(F.coalesce(F.max("edge"), F.lit(-1)) + 1, F.coalesce(F.max("node"), F.lit(-1)) + 1).first()
+    """(of edges, of nodes) in one id space: the smaller side is shifted behind the larger. Negative ids are refused, as sides are told apart by place."""
+    e, n, least = inc.agg(F.coalesce(F.max("edge"), F.lit(-1)) + 1, F.coalesce(F.max("node"), F.lit(-1)) + 1, F.coalesce(F.least(F.min("edge"), F.min("node")), F.lit(0))).first()
+    if least < 0:
+        raise ValueError("one id space for both sides takes ids from 0 on; number them with dense_ranks first")
     return (n, 0) if e < n else (0, e)
 
 

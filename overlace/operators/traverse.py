@@ -1,13 +1,14 @@
-"""Breadth-first search, on hypergraphs and on line graphs, with deterministic parents."""
+"""Breadth-first search, on hypergraphs and on line graphs, with deterministic parents.
 
-from __future__ import annotations
+Levels are parts of one staged table, each compared with the few parts that its vertices could be in already.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlace.plans.lineage import cut
+from overlace.plans.lineage import Ledger, drop, stage
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -16,27 +17,58 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", *rest).union(edges.select("dst", "src", *rest))
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def _with_degrees(inc: DataFrame) -> DataFrame:
+    """(edge, node, de, dn): incidences with the sizes of both their ends."""
+    inc = inc.select("edge", "node").distinct()
+    size = lambda k, name: inc.groupBy(k).agg(F.count(F.lit(1)).alias(name))
+    return inc.join(size("edge", "de"), "edge").join(size("node", "dn"), "node").select("edge", "node", "de", "dn")
 
 
-def hyper_bfs(inc: DataFrame, source: int) -> DataFrame:
+def hyper_bfs(inc: DataFrame, source: int, alpha: float = 15.0, beta: float = 18.0, steps: list[dict] | None = None) -> DataFrame:
     """(kind, id, depth, parent) of what a hyperedge reaches; 'E' at even depths, 'N' at odd ones.
 
-    The source is its own parent; any other parent is the smallest id of the level before. In a bipartite graph
-    a neighbour of a level lies in the next or the one before, so a level is compared with that one alone.
+    The source is its own parent; any other parent is the smallest id of the level before. A step goes top-down, from the frontier's incidences
+    to their other ends, or bottom-up, from the incidences of what is not yet reached to the frontier. It turns bottom-up once the frontier's
+    incidences exceed those of the unreached by 1 / ``alpha`` (never for 0), and back once the frontier has less than 1 / ``beta`` of its side. Top-down a
+    level is compared with the one before the last alone, as in a bipartite graph neighbours of a level lie in the next or the one before;
+    bottom-up the unreached incidences are a staged table that shrinks, and nothing is compared afterwards. ``steps`` gets a dict for each step.
     """
-    inc = inc.select("edge", "node").distinct().persist()
-    levels = [cut(inc.where(F.col("edge") == source).select(F.lit("E").alias("kind"), F.col("edge").alias("id"), F.lit(0).cast("long").alias("depth"), F.col("edge").alias("parent")).distinct())]
-    before = levels[0].limit(0).select("id")
-    while not levels[-1].isEmpty():
-        at, to, kind = ("edge", "node", "N") if len(levels) % 2 else ("node", "edge", "E")
-        near = levels[-1].select(F.col("id").alias(at)).join(inc, at).groupBy(F.col(to).alias("id")).agg(F.min(at).alias("parent"))
-        new = near.join(before, "id", "left_anti").select(F.lit(kind).alias("kind"), "id", F.lit(len(levels)).cast("long").alias("depth"), "parent")
-        before = levels[-1].select("id")
-        levels.append(cut(new))
-    inc.unpersist()
-    return _union(levels)
+    adj = stage(_with_degrees(inc))
+    all_rows, n_e, n_n = adj.agg(F.count(F.lit(1)), F.countDistinct("edge"), F.countDistinct("node")).first()
+    sides = {"edge": n_e, "node": n_n}
+    found = Ledger(inc.sparkSession)
+    start = adj.where(F.col("edge") == source).limit(1).select(F.lit("E").alias("kind"), F.col("edge").alias("id"), F.lit(0).cast("long").alias("depth"), F.col("edge").alias("parent"), F.col("de").alias("degree"))
+    total = F.coalesce(F.sum("degree"), F.lit(0))
+    now = found.append(start, degree=total)
+    reached = {"edge": now["degree"], "node": 0}  # incidences of what was reached on each side
+    rest: dict[str, DataFrame] = {}
+    upward = False
+    while now["n"]:
+        depth = len(found)
+        at, to, kind = ("edge", "node", "N") if depth % 2 else ("node", "edge", "E")
+        unreached = all_rows - reached[to]
+        upward = now["n"] * beta >= sides[at] if upward else now["degree"] * alpha > unreached
+        front = found.last().select(F.col("id").alias(at))
+        degree = F.first("dn" if to == "node" else "de").alias("degree")
+        if upward:
+            held = rest.get(to)
+            own = found.table().where(F.col("kind") == kind).select(F.col("id").alias(to))
+            rest[to] = stage((adj if held is None else held).join(own, to, "left_anti"))
+            drop(held)
+            near = rest[to].join(front, at)
+        else:
+            near = adj.join(front, at)
+        near = near.groupBy(F.col(to).alias("id")).agg(F.min(at).alias("parent"), degree)
+        if not upward and depth > 1:
+            near = near.join(found.part(depth - 2).select("id"), "id", "left_anti")
+        if steps is not None:
+            steps.append({"depth": depth, "way": "up" if upward else "down", "frontier": now["n"], "incidences": unreached if upward else now["degree"]})
+        now = found.append(near.select(F.lit(kind).alias("kind"), "id", F.lit(depth).cast("long").alias("depth"), "parent", "degree"), degree=total)
+        reached[to] += now["degree"]
+    drop(adj, *rest.values())
+    out = found.table().drop("degree")
+    out._staged_at = found._staged_at
+    return out
 
 
 def verify_hyper_bfs(inc: DataFrame, found: DataFrame, source: int) -> DataFrame:
@@ -59,14 +91,10 @@ def verify_hyper_bfs(inc: DataFrame, found: DataFrame, source: int) -> DataFrame
 def graph_bfs(edges: DataFrame, source: int) -> DataFrame:
     """(id, depth, parent) of what a vertex of an undirected graph (src, dst) reaches; the smallest parent of the level before."""
     adj = symmetric(edges.select("src", "dst")).distinct().persist()
-    start = edges.sparkSession.createDataFrame([(source, 0, source)], "id long, depth long, parent long")
-    levels = [cut(start)]
-    before = start.limit(0).select("id")
-    while not levels[-1].isEmpty():
-        near = levels[-1].select(F.col("id").alias("src")).join(adj, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        seen = before.union(levels[-1].select("id"))
-        new = near.join(seen, "id", "left_anti").select("id", F.lit(len(levels)).cast("long").alias("depth"), "parent")
-        before = levels[-1].select("id")
-        levels.append(cut(new))
+    found = Ledger(edges.sparkSession)
+    n = found.append(edges.sparkSession.createDataFrame([(source, 0, source)], "id long, depth long, parent long"))["n"]
+    while n:
+        near = found.last().select(F.col("id").alias("src")).join(adj, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        n = found.append(near.join(found.last(2).select("id"), "id", "left_anti").select("id", F.lit(len(found)).cast("long").alias("depth"), "parent"))["n"]
     adj.unpersist()
-    return _union(levels)
+    return found.table()

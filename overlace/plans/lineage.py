@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: dict[str, SparkSession] = {}
 
@@ -57,7 +58,59 @@ def stage(df: DataFrame) -> DataFrame:
 cut = stage
 
 
-def drop(*tables: DataFrame | None) -> None:
+def counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The staged table, and its rows as ``n`` and further aggregates, which are taken while it is written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]))
+    return out, seen.get
+
+
+class Ledger:
+    """A staged table that grows by parts; a part is written once, and all parts are read as one table by one scan."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.schema = spark, [], None
+        self._staged_at = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        _STAGED[self._staged_at] = spark
+
+    def append(self, df: DataFrame, **measures: Column) -> dict:
+        """Writes the next part; gives its rows as ``n`` and further aggregates."""
+        seen = Observation()
+        with dropping_shuffles(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).write.parquet(f"{self._staged_at}/part={len(self.rows)}")
+        self.schema = self.schema or df.schema
+        self.rows.append(seen.get["n"])
+        return seen.get
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def part(self, *which: int) -> DataFrame:
+        """The rows of some parts."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self._staged_at}/part={k}" for k in which])
+
+    def last(self, n: int = 1) -> DataFrame:
+        return self.part(*range(max(0, len(self) - n), len(self)))
+
+    def table(self) -> DataFrame:
+        """The rows of all parts; ``drop`` takes the result as well as the ledger."""
+        out = self.spark.read.schema(self.schema).parquet(self._staged_at).select(self.schema.names)
+        out._staged_at = self._staged_at
+        return out
+
+
+def adopt(spark: SparkSession, path: str) -> str:
+    """Lets ``release`` delete a folder in the shared one that was written otherwise."""
+    _STAGED[path] = spark
+    return path
+
+
+def staged() -> list[str]:
+    """The folders that are there now."""
+    return sorted(_STAGED)
+
+
+def drop(*tables: DataFrame | Ledger | None) -> None:
     """Deletes staged tables that nothing reads any more; other tables are left alone."""
     for df in tables:
         path = getattr(df, "_staged_at", None)

@@ -137,12 +137,19 @@ def read_relabelled(spark: SparkSession, path: str, key: str = "edge", descendin
 
 
 def read_films(spark: SparkSession, titles: str, names: str, principals: str) -> DataFrame:
-    """(edge, node, title, name): films and their actors from three tab-separated tables with headers."""
+    """(edge, node, title, person, name): films and their actors from three tab-separated tables with headers.
+
+    edge and node number the films and people that have a part, from 0 on in order of their keys, so both sides are dense; title and
+    person are those keys, which map the numbers back.
+    """
     tsv = lambda p: spark.read.csv(p, sep="\t", header=True, quote="")
-    films = tsv(titles).where("titleType = 'movie'").select("tconst", F.xxhash64("tconst").alias("edge"))
-    cast = tsv(principals).where("category in ('actor', 'actress')").select("tconst", "nconst")
-    people = tsv(names).select("nconst", F.xxhash64("nconst").alias("node"), F.col("primaryName").alias("name"))
-    return cast.join(films, "tconst").join(people, "nconst").select("edge", "node", F.col("tconst").alias("title"), "name").distinct()
+    films = tsv(titles).where("titleType = 'movie'").select(F.col("tconst").alias("title"))
+    people = tsv(names).select(F.col("nconst").alias("person"), F.col("primaryName").alias("name"))
+    cast = tsv(principals).where("category in ('actor', 'actress')").select(F.col("tconst").alias("title"), F.col("nconst").alias("person"))
+    parts = stage(cast.join(films, "title").join(people, "person").distinct())
+    edges = relabel.dense_ranks(parts.select("title").distinct(), [F.asc("title")], "edge")
+    nodes = relabel.dense_ranks(parts.select("person").distinct(), [F.asc("person")], "node")
+    return parts.join(edges, "title").join(nodes, "person").select("edge", "node", "title", "person", "name")
 
 
 def sources(inc: DataFrame, n: int, seed: int = 27491095) -> DataFrame:

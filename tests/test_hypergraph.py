@@ -203,6 +203,13 @@ def test_films(spark, tmp_path):
     got = readers.read_films(spark, *(str(tmp_path / x) for x in ("titles", "names", "cast")))
     assert rows(got, "title", "name") == [("t1", 'Ann "A'), ("t3", 'Ann "A'), ("t3", "Bob")]
     assert Hypergraph(got).overlaps(1).count() == 1
+    assert rows(got, "edge", "node", "title", "person") == [(0, 0, "t1", "n1"), (1, 0, "t3", "n1"), (1, 1, "t3", "n2")]
+    h = Hypergraph(got)
+    assert rows(h.connected_components()) == [("E", 0, 0), ("E", 1, 0), ("N", 0, 0), ("N", 1, 0)]
+    assert rows(relabel.run_on_adjoin(h.inc, components.connected_components), "kind", "id", "component") == [("E", 0, 0), ("E", 1, 0), ("N", 0, 0), ("N", 1, 0)]
+    assert table(Hypergraph(got, universe="dense").edge_size_dist()) == {0: 1, 1: 2}
+    main(["films", *(str(tmp_path / x) for x in ("titles", "names", "cast")), "--out", str(tmp_path / "found")])
+    assert rows(spark.read.parquet(str(tmp_path / "found"))) == [("n1", 'Ann "A', 0, 0.0), ("n2", "Bob", 0, 0.0)]
 
 
 def test_files(spark, tmp_path):
@@ -235,6 +242,12 @@ def test_generators(spark):
     assert rows(made) == rows(generators.configuration_model(a, b, seed=5))
     r = generators.rmat(spark, [[1, 0], [0, 0]], 3, 10)
     assert set(rows(r)) == {(0, 0)}
+    joined = generators.configuration_model(a, b, seed=5, contiguous_id_space=True)
+    assert rows(joined.select("edge", F.col("node") - 7)) == rows(made)
+    law = table(generators.power_law(spark.range(20000), 2.5, 2, 50, seed=1))
+    share = [sum(d == k for d in law.values()) for k in (2, 4, 8)]
+    assert min(law.values()) == 2 and max(law.values()) <= 50 and 3.5 < share[0] / share[1] < 8 and 3.5 < share[1] / share[2] < 8
+    assert rows(generators.labelled(r.limit(1))) == [(0, 0, "e0", "n0")] and rows(generators.labels(spark.range(2), "x")) == [(0, "x0"), (1, "x1")]
     cells = generators.cell_weights([0.75, 0.25], [0.5, 0.5])
     assert cells == [[0.375, 0.375], [0.125, 0.125]]
     share = generators.rmat(spark, cells, 1, 4000).where("edge = 0").count() / 4000
