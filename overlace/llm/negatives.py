@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from overlace.llm.common import map_arrow, slices
 from overlace.plans.lineage import drop, stage
 
-ANCHORS, CANDIDATES, SHARD = 2048, 4096, 8  # vectors of a block, and blocks of candidates that meet one copy of an anchor block
+ANCHORS, CANDIDATES, SHARD = 2048, 4096, 64  # vectors of a block, and most blocks of candidates that a task meets with one anchor block
 WIDE = 8  # fields of a Python integer
 
 
@@ -89,41 +89,53 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 yield {"block": [(part << 20) + k], "b": [{"rows": batch.column(0).to_pylist(), "ids": batch.column(1).to_pylist(), "labels": batch.column(2).to_pylist(), "data": data, "most": batch.column(4).to_pylist()}]}
 
     most = F.col("most") if "most" in rows.columns else F.array().cast("array<long>").alias("most")
-    return map_arrow(rows.select("row", "id", "label", "embedding", most).repartition(n, "row").sortWithinPartitions("id", "row"), run, f"block long, b struct<{_BLOCK}>")
+    return map_arrow(rows.select("row", "id", "label", "embedding", most).repartitionById(n, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).sortWithinPartitions("id", "row"), run, f"block long, b struct<{_BLOCK}>")
 
 
-def _meetings(anchors: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(a, b): every anchor block with every block of candidates. Both are dealt by (anchor block, shard), so no key has more than ``SHARD`` meetings."""
-    n = candidates.count()
-    shards = max(1, -(-n // SHARD))
-    keys = sorted(r[0] for r in anchors.select("block").collect())  # a number for each 2048 anchors
+def _best(anchors: DataFrame, candidates: DataFrame, scale: int, keep: int, find) -> DataFrame:
+    """(row, anchor_id, k, other, other_id, score): of each anchor's lists k the first ``keep`` of a shard, which holds ``SHARD`` blocks of candidates at most.
+
+    ``find`` takes an anchor's ``most``, the candidates' ids, their scores in order of id, and masks of those that share its label and do not; it
+    gives (k, id, score). A task reads an anchor block, then the shard's blocks one after the other, and keeps each list's best between them, so the rows that leave
+    it are as many as lists and shards, whatever the candidates.
+    """
+    n, keys = candidates.count(), sorted(r[0] for r in anchors.select("block").collect())  # a number for each 2048 anchors
+    shards = max(1, -(-n // SHARD), min(n, anchors.sparkSession.sparkContext.defaultParallelism // max(1, len(keys))))
     to = F.array(*[F.lit(k).cast("long") for k in keys]) if keys else F.array().cast("array<long>")
-    left = anchors.select("block", F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = candidates.select(F.explode(to).alias("block"), "b", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"))
-    return left.join(right, ["block", "shard"]).select("a", "b")
+    left = anchors.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(-1).cast("long").alias("other"), "b")
+    right = candidates.select(F.explode(to).alias("block"), F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), F.col("block").alias("other"), "b")
 
+    def run(batches):
+        a = None
+        best: dict = {}
 
-def _pairs(meetings: DataFrame, scale: int, find, schema: str) -> DataFrame:
-    """What ``find`` takes of an anchor's scores in each block: (anchor, its row of ``most``, candidates, their scores, in order of id) to (lists of columns)."""
-    names = [c.split()[0] for c in schema.split(", ")]
+        def leave():
+            out = [(a[0][j], a[1][j], k, i, -s) for (j, k), x in best.items() for s, i in x]
+            return dict(zip(("row", "anchor_id", "k", "id", "score"), map(list, zip(*out, strict=True)), strict=True)) if out else None
 
-    def run(batches):
         for batch in slices(batches, 1):
-            (a, b) = (tuple(c[0].as_py().values()) for c in batch.columns)
+            b = tuple(batch.column(3)[0].as_py().values())
+            if batch.column(2)[0].as_py() < 0:  # the next anchor block
+                if (out := leave()) is not None:
+                    yield out
+                a, best = b, {}
+                continue
             xa, xb = _matrices(a, b, scale)
             packed = Packed(xb, xa)
             rows, ids, labels = (np.array(b[k], np.int64) for k in range(3))
-            out: list[tuple] = []
             for i in range(0, len(xa), 64):
                 for j, s in enumerate(packed.scores(xa[i : i + 64]), i):
                     fits = np.array([-(1 << 63) < v < 1 << 63 for v in s.tolist()]) if s.dtype == object else np.ones(len(s), bool)
                     s = np.where(fits, s, 0).astype(np.int64)
                     use = fits & (rows != a[0][j])
-                    out += find((a[0][j], a[1][j]), a[4][j], ids, s, use & (labels == a[2][j]), use & (labels != a[2][j]))
-            if out:
-                yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+                    for k, found in find(a[4][j], ids, s, use & (labels == a[2][j]), use & (labels != a[2][j])):
+                        known = best.get((j, k))
+                        best[j, k] = found if known is None else sorted(known + found)[:keep]
+        if (out := leave()) is not None:
+            yield out
 
-    return map_arrow(meetings, run, schema)
+    dealt = left.unionByName(right).repartition("block", "shard").sortWithinPartitions("block", "shard", "other")
+    return map_arrow(dealt, run, "row long, anchor_id long, k int, id long, score long")
 
 
 def hard_negatives(df: DataFrame, label: Column | None = None, anchor: Column | None = None, scale: int = 256, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
@@ -142,32 +154,35 @@ def hard_negatives(df: DataFrame, label: Column | None = None, anchor: Column |
     all_blocks = stage(blocks(rows, CANDIDATES))
     asked = stage(blocks(chosen, ANCHORS))
 
-    def nearest(who, _, ids, s, same, __):
+    def nearest(_, ids, s, same, __):
         at = np.flatnonzero(same)
         at = at[np.argsort(-s[at], kind="stable")[:positives]]
-        return [(*who, i, x) for i, x in zip(ids[at].tolist(), s[at].tolist(), strict=True)]
+        return [(0, list(zip((-s[at]).tolist(), ids[at].tolist(), strict=True)))] if len(at) else []
 
-    first = _pairs(_meetings(asked, all_blocks), scale, nearest, "row long, anchor_id long, positive_id long, positive_score long")
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id"))
+    first = _best(asked, all_blocks, scale, positives, nearest)
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id"))
     best = first.withColumn("place", place).where(F.col("place") <= positives)
-    best = stage(best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("p")))  # ``positives`` at most
-    most = F.flatten(F.transform("p", lambda x: F.array(x["positive_id"], x["positive_score"])))
+    best = stage(best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("p")))  # ``positives`` at most
+    most = F.flatten(F.transform("p", lambda x: F.array(x["id"], x["score"])))
     served = stage(blocks(chosen.join(best.select("row", most.alias("most")), "row"), ANCHORS))
 
-    def harder(who, most, ids, s, _, others):
+    def harder(most, ids, s, _, others):
         at = np.flatnonzero(others)
         at = at[np.argsort(-s[at], kind="stable")]
         down, out = -s[at], []
-        for k in range(0, len(most), 2):
-            least, top = -(-low * most[k + 1] // 100), high * most[k + 1] // 100
-            start = np.searchsorted(down, -top, "left")
-            for i, x in zip(ids[at[start : start + negatives]].tolist(), s[at[start : start + negatives]].tolist(), strict=True):
-                if x >= least:
-                    out.append((*who, k, most[k], most[k + 1], i, x))
+        for k, p in enumerate(most[1::2]):
+            least, top = -(-low * p // 100), high * p // 100  # of the scores that fit
+            start, end = np.searchsorted(down, -top, "left"), np.searchsorted(down, -least, "right")
+            some = slice(start, min(end, start + negatives))
+            if start < end:
+                out.append((k, list(zip(down[some].tolist(), ids[at[some]].tolist(), strict=True))))
         return out
 
-    found = _pairs(_meetings(served, all_blocks), scale, harder, "row long, anchor_id long, k int, positive_id long, positive_score long, negative_id long, negative_score long")
-    rank = F.row_number().over(Window.partitionBy("row", "k").orderBy(F.desc("negative_score"), "negative_id"))
-    out = stage(found.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+    found = _best(served, all_blocks, scale, negatives, harder)
+    rank = F.row_number().over(Window.partitionBy("row", "k").orderBy(F.desc("score"), "id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= negatives)
+    pick = lambda k: F.element_at(F.transform("p", lambda x: x[k]), F.col("k") + 1)
+    out = found.join(best, "row").select("anchor_id", pick("id").alias("positive_id"), "rank", F.col("id").alias("negative_id"), pick("score").alias("positive_score"), F.col("score").alias("negative_score"))
+    out = stage(out)
     drop(rows, all_blocks, asked, best, served)
     return out
