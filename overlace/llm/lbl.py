@@ -4,8 +4,9 @@ The model's words are all training tokens from a count on, the end, and one for
 a prediction vector (a matrix per position). Its product with the vectors of about sqrt(words) classes, plus biases, is
 normalised over the classes, and that with the vectors of the words of a class over the class, both exactly by batched
 matrix products. A token outside the words has the last one's probability times its add-one share among such
-tokens. Each task trains on all of its training tokens from a common start; the vectors are averaged by the steps that
-moved them, the rest by tokens.
+tokens. All training tokens are dealt to shares of a fixed size, whatever the table's layout, and each share to a few rounds. In a round every share
+trains from the last average on its tokens of that round; then vectors and the sums of their steps are averaged by
+the steps that moved them, the rest by tokens.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 
 from overlace.llm.common import fold, map_arrow, slices, texts
 from overlace.llm.words import words
-from overlace.plans.lineage import stage
+from overlace.plans.lineage import drop, stage
 
 END = b""
 DIM = 12
 
 
 def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(fold("doc_id", 7) != 2).select("text")
+    return docs.where(fold("doc_id", 7) != 2)
 
 
 def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
@@ -83,42 +84,48 @@ class Model:
         self.V = np.zeros((k, dim), np.float32)
         self.d = np.log(unigram / self.mass[self.of]).astype(np.float32)
         self.moved = [np.zeros(len(p), np.float32) for p in (self.R, self.V)]  # steps that moved a word's vectors
+        self.seen = [np.full_like(p, 0.1) for p in (self.C, self.Q, self.b)]  # AdaGrad's sums
+        self.seen_words = [np.full(len(p), 0.1, np.float32) for p in (self.R, self.V)]
 
     def parameters(self) -> list[np.ndarray]:
         return [self.C, self.Q, self.b, self.R, self.V, self.d]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters()])
+    def flat(self, state: bool = False) -> np.ndarray:
+        """All parameters, with AdaGrad's sums behind them if asked."""
+        return np.concatenate([p.ravel() for p in self.parameters() + (self.seen + self.seen_words if state else [])])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for p in self.parameters():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
+        for p in self.parameters() + self.seen + self.seen_words:
+            if at < len(flat):
+                p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
     def pieces(self, total: float, block: int = 2048):
         """(kind, block, ids, weights, values) of all that was trained: vectors that were moved, and the other parameters by ``total``."""
-        for kind, x, w in ((0, self.R, self.moved[0]), (1, np.column_stack([self.V, self.d]), self.moved[1])):
+        for kind, x, w in ((0, [self.R, self.seen_words[0]], self.moved[0]), (1, [self.V, self.d, self.seen_words[1]], self.moved[1])):
             ids = np.flatnonzero(w).astype(np.int32)
             for part in np.split(ids, np.flatnonzero(np.diff(ids // block)) + 1) if len(ids) else ():
-                yield kind, int(part[0]) // block, part, w[part], x[part]
-        rest = np.concatenate([p.ravel() for p in (self.C, self.Q, self.b)])
-        yield 2, 0, np.arange(len(rest), dtype=np.int32), np.full(len(rest), total, np.float32), rest[:, None]
+                yield kind, int(part[0]) // block, part, w[part], np.column_stack([p[part] for p in x])
+        rest = np.column_stack([np.concatenate([p.ravel() for p in x]) for x in ((self.C, self.Q, self.b), self.seen)])
+        yield 2, 0, np.arange(len(rest), dtype=np.int32), np.full(len(rest), total, np.float32), rest
 
     def put(self, kind: int, ids: np.ndarray, x: np.ndarray) -> None:
         if kind == 0:
-            self.R[ids] = x
+            self.R[ids], self.seen_words[0][ids] = x[:, :-1], x[:, -1]
         elif kind == 1:
-            self.V[ids], self.d[ids] = x[:, :-1], x[:, -1]
+            self.V[ids], self.d[ids], self.seen_words[1][ids] = x[:, :-2], x[:, -2], x[:, -1]
         else:
-            flat = self.flat()
-            flat[ids] = x[:, 0]  # C, Q and b come first
-            self.load(flat)
+            for column, into in ((x[:, 0], (self.C, self.Q, self.b)), (x[:, 1], self.seen)):
+                at = 0
+                for p in into:
+                    p[...] = column[at : at + p.size].reshape(p.shape)
+                    at += p.size
 
     def predict(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         return self.R[c1] @ self.C[0] + self.R[c2] @ self.C[1]
 
-    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 64, k_word: int = 4, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
+    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 32, k_word: int = 4, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
         """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``.
 
         The noise is ``k`` classes for a batch, and ``k_word`` words of the true word's class, all equally likely, for a row. Steps are AdaGrad's;
@@ -128,8 +135,7 @@ class Model:
         rows = np.repeat(np.arange(len(n)), n)
         share = (weights / n)[rows].astype(np.float32)
         order = rng.permutation(len(rows))
-        seen = [np.full_like(p, 0.1) for p in (self.C, self.Q, self.b)]
-        seen_r, seen_v = np.full(len(self.R), 0.1, np.float32), np.full(len(self.V), 0.1, np.float32)
+        seen, (seen_r, seen_v) = self.seen, self.seen_words
         noise, lift = np.cumsum(self.mass), np.log(k * self.mass).astype(np.float32)
         lift_word = np.log(k_word / self.size[self.of]).astype(np.float32)
         for i in range(0, len(order), batch):
@@ -259,48 +265,63 @@ def _mean(pieces: DataFrame) -> DataFrame:
     return map_arrow(pieces.repartition("kind", "block"), run, "kind int, ids binary, x binary")
 
 
-def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray, n_tokens: int, tokens_at_once: int = 2_000_000, least_tokens: int = 500_000) -> Model:
-    """Trains over all training documents; of each task only the vectors that it moved leave it.
+def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray, n_tokens: int, share_tokens: int = 5_000_000, rounds: int = 2, tokens_at_once: int = 3_000_000) -> Model:
+    """Trains over all training documents: ``rounds`` rounds over shares of about ``share_tokens`` tokens, of which only the vectors that they moved leave the tasks.
 
-    Small partitions are merged, without a shuffle, to tasks of about ``least_tokens`` each, so that a task takes enough steps.
+    Documents are dealt by a hash of their place and id, so neither the table's partitions nor a repeated id shape a share. Texts become word numbers
+    once; a round shuffles its part of them.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((words_of, unigram))  # as large as the model's vocabulary
-
-    def run(batches):
-        known, uni = shared.value
-        model, rest = Model(uni, _classes(uni)), len(uni) - 1
-        width, rng = model.start + 1, np.random.default_rng(TaskContext.get().partitionId())
-        held, n, total = [], 0, 0
-
-        def learn():
-            pair, word = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            pairs, at = np.unique(pair, return_inverse=True)
-            codes, counts = np.unique(at * width + word, return_counts=True)
-            pair, word = pairs[codes // width], codes % width
-            model.train(np.stack([pair // width, pair % width, word]), counts, rng)
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    known = sc.broadcast(words_of)  # as large as the model's vocabulary
+    rest, shares = len(unigram) - 1, max(1, -(-n_tokens // share_tokens))
 
+    def encode(batches):
         for batch in slices(batches):
-            per = [words(t) + [END] for t in texts(batch)]
-            ids = np.fromiter(map(known.get, chain.from_iterable(per), repeat(rest)), np.int64, sum(map(len, per)))
-            c1, c2 = _contexts(ids, np.cumsum([len(x) for x in per]) - 1, model.start)
-            held.append((c1 * width + c2, ids))
-            n += len(ids)
-            if n >= tokens_at_once:
-                learn()
-                total, n, held = total + n, 0, []
-        if n:
-            learn()
-            total += n
-        if total:
-            for kind, block, *arrays in model.pieces(float(total)):
-                yield {"kind": [kind], "block": [block]} | {k: [x.tobytes()] for k, x in zip(("ids", "w", "x"), arrays, strict=True)}
+            deal = batch.column(1).to_numpy()
+            ids = [np.fromiter(map(known.value.get, words(t), repeat(rest)), np.int32).tobytes() for t in texts(batch)]
+            yield {"share": deal % shares, "round": deal // shares % rounds, "ids": ids}
 
+    place = F.shiftright(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), 2).bitwiseAND(F.lit((1 << 61) - 1))
+    coded = stage(map_arrow(_training(docs).select("text", place.alias("deal")), encode, "share int, round int, ids binary"))
     model = Model(unigram, _classes(unigram))
-    train = _training(docs).coalesce(max(1, n_tokens // least_tokens))
-    for r in _mean(map_arrow(train, run, "kind int, block int, ids binary, w binary, x binary")).toLocalIterator():
-        ids = np.frombuffer(r.ids, np.int32)
-        model.put(r.kind, ids, np.frombuffer(r.x, np.float32).reshape(len(ids), -1))
+    end = np.array([words_of[END]])
+    for number in range(rounds):
+        shared = sc.broadcast((unigram, model.flat(state=True)))
+
+        def run(batches, number=number, shared=shared):
+            uni, flat = shared.value
+            m = Model(uni, _classes(uni))
+            m.load(flat)
+            width, rng = m.start + 1, np.random.default_rng([number, TaskContext.get().partitionId()])
+            held, n, total = [], 0, 0
+
+            def learn():
+                ids = np.concatenate(held).astype(np.int64)
+                c1, c2 = _contexts(ids, np.flatnonzero(ids == 0), m.start)
+                pairs, at = np.unique(c1 * width + c2, return_inverse=True)
+                codes, counts = np.unique(at * width + ids, return_counts=True)
+                pair, word = pairs[codes // width], codes % width
+                m.train(np.stack([pair // width, pair % width, word]), counts, rng)
+
+            for data in chain.from_iterable(b.column(0).to_pylist() for b in slices(batches)):
+                held += [np.frombuffer(data, np.int32), end]
+                n += len(held[-2]) + 1
+                if n >= tokens_at_once:
+                    learn()
+                    total, n, held = total + n, 0, []
+            if n:
+                learn()
+            if total + n:
+                for kind, block, *arrays in m.pieces(float(total + n)):
+                    yield {"kind": [kind], "block": [block]} | {k: [x.tobytes()] for k, x in zip(("ids", "w", "x"), arrays, strict=True)}
+
+        mine = coded.where(F.col("round") == number).repartitionById(shares, "share").select("ids")  # a share a task
+        for r in _mean(map_arrow(mine, run, "kind int, block int, ids binary, w binary, x binary")).toLocalIterator():
+            ids = np.frombuffer(r.ids, np.int32)
+            model.put(r.kind, ids, np.frombuffer(r.x, np.float32).reshape(len(ids), -1))
+        shared.unpersist()
+    drop(coded)
     return model
 
 

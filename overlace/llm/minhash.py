@@ -3,7 +3,8 @@
 Two collections A and B of ``m`` small keys (``k`` minhashes each) are computed per document; table (i, j) has the key
 A_i with B_j, so m * m tables of 2k minhashes cost 2 * m * k minhash computations instead of m * m * 2k. Documents of
 similarity s meet with probability (1 - (1 - s^k)^m)^2: 0.9996 at s = 0.8 with the defaults and more above. Pairs that
-meet are first held against a bound from parity sketches, which loses none, and against their signatures; full sets confirm.
+meet are first held against a bound from parity sketches, which loses none, and against their signatures, which lose one at the similarity itself
+with about 2e-6; full sets confirm.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     number after one of four exclusive-or masks, again pre-aggregated), and every class is compared first with the ``hubs_asked`` hubs
     that it shares most tables with, never with all others; pairs in one bucket that are still in different components afterwards are then compared by their signatures and,
     where those fit, exactly, in blocks where a component is large. So large groups of copies cost links in proportion to their size, and none is lost that a table
-    holds. Pairs whose sketches or signatures rule the similarity out, as those of texts that share one passage, leave before
+    holds, but for 2e-6 of pairs at the similarity itself by their signatures. Pairs whose sketches or signatures rule the similarity out, as those of texts that share one passage, leave before
     their sets are fetched; the comparison of these is quadratic in such a bucket.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

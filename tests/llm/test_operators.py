@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy; edge cases of all."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from overlace.llm import bpe, chat, embeddings, gam, lbl, minhash, packing, rules, tokenout, urls
 from overlace.llm.queries import URL_RULES, tokenizer_path
+from overlace.llm.queries import queries as llm_queries
 from overlace.llm.wordtok import WordEncoder
 
 ODD = ["", " ", "\n\n", "a", "one two", "Zoë\x1cnaïve ﬁ Σας <|endoftext|> x's 12½", "x" * 30_000, "the cat sat on the mat\n" * 500, "ＡＢ 漢字 😀 a\u0301"]
@@ -162,6 +164,8 @@ def test_bpe(spark, odd):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     for r in got.collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids)
+        want = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert r.ids_sha256 == hashlib.sha256(want.tobytes()).hexdigest() and list(r.ids) == want.tolist()
     assert {r.doc_id: r.text for r in bpe.decode_documents(got, path, public_tokenizers.PATTERN).collect()} == texts
 
 
@@ -184,6 +188,7 @@ def test_gam(spark, odd):
     assert gam.classify(odd.limit(0), gam.learn(odd.limit(0), labels), ["doc_id"]).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
 def test_gam_on_held_out_labels(spark):
     from overlace.llm import queries
 
@@ -393,9 +398,40 @@ def test_lm_words_and_classes_are_normalised():
     assert np.exp(m.log_probability(c1, c2, np.tile(np.arange(90), 30))).reshape(30, 90).sum(1) == pytest.approx(np.ones(30), rel=1e-4)
 
 
-def test_lm_learns_alike_from_small_partitions(spark):
+def test_lm_learns_alike_from_any_layout(spark, monkeypatch):
+    """Shares of 12 000 tokens, so several tasks train in each round, from one partition and from 40."""
     random.seed(10)
-    rows = [(i, " ".join(f"x{(k := random.randrange(40))} y{k}" for _ in range(100))) for i in range(600)]
+    rows = [(i, " ".join(f"x{(k := random.randrange(40))} y{k}" for _ in range(100))) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    gain = [lbl.score_documents(df.repartition(n, "doc_id")).agg(F.sum(F.col("score") - F.col("base_score"))).first()[0] for n in (1, 40)]
-    assert gain[1] > 0.9 * gain[0] > 0
+    train = lbl.train_model
+    monkeypatch.setattr(lbl, "train_model", lambda *a: train(*a, share_tokens=12_000))
+    score = [lbl.score_documents(df.repartition(n, "doc_id")).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first() for n in (1, 40)]
+    assert abs(score[0][0] - score[1][0]) < 0.02 < score[0][0] - score[0][1]
+
+
+def test_lm_state_goes_from_round_to_round():
+    m = lbl.Model(np.full(20, 0.05), np.array([0, 5, 12, 19]))
+    rng = np.random.default_rng(1)
+    m.train(rng.integers(0, 20, (3, 50)), np.ones(50, np.int64), rng)
+    other = lbl.Model(np.full(20, 0.05), np.array([0, 5, 12, 19]))
+    for kind, _, ids, _, x in m.pieces(1.0, block=7):
+        other.put(kind, ids, x)
+    assert np.allclose(m.flat(state=True), other.flat(state=True)) and not np.allclose(m.flat(), lbl.Model(np.full(20, 0.05), np.array([0, 5, 12, 19])).flat())
+    again = lbl.Model(np.full(20, 0.05), np.array([0, 5, 12, 19]))
+    again.load(m.flat(state=True))
+    assert (again.flat(state=True) == m.flat(state=True)).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(k for k in llm_queries() if k != "pipeline"))
+def test_queries_give_whole_results(spark, name):
+    """Every query with its production parameters: a row or more for each row of its table."""
+    d = "/root/testdata/sf0.001"
+    table, key = ("pages", "page_id") if name.startswith("op1_") else ("embeddings", "vec_id") if name.startswith(("op2_", "op12_")) else ("conversations", "conv_id") if name.startswith("op9_") else ("documents", "doc_id")
+    got = llm_queries()[name](spark, d)
+    if name.startswith("op12_"):
+        assert got.select("anchor_id").distinct().count() == spark.read.parquet(f"{d}/{table}.parquet").where("vec_id % 100 = 0").count()
+    elif name.startswith("op7_"):
+        assert got.count() > 0
+    else:
+        assert got.select(key).distinct().count() == spark.read.parquet(f"{d}/{table}.parquet").select(key).distinct().count()

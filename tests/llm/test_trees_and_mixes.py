@@ -51,7 +51,7 @@ def plain_manifest(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [1, 2, 10])
+@pytest.mark.parametrize("bits", [2, 10])
 def test_manifest(spark, bits):
     """Every tree shape of 1 to 9 leaves, null groups and columns, repeated ids and rows, clashing names; many tiers with small blocks."""
     rows = [(i, "s", f"l{n}", i * 3, f"text {i}") for n in range(1, 10) for i in range(n * 100, n * 100 + n)]
