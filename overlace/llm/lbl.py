@@ -125,7 +125,7 @@ class Model:
     def predict(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         return self.R[c1] @ self.C[0] + self.R[c2] @ self.C[1]
 
-    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 32, k_word: int = 4, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
+    def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 32, k_word: int = 3, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
         """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``.
 
         The noise is ``k`` classes for a batch, and ``k_word`` words of the true word's class, all equally likely, for a row. Steps are AdaGrad's;
@@ -384,7 +384,7 @@ def score_documents(docs: DataFrame, n_classes: int = 768, head: int = 65_536, l
             if t in place:
                 to_class[place[t]] = i
         miss = len(place)
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 512):
             per = [words(t) + [END] for t in texts(batch)]
             size = np.array([len(x) for x in per])
             at = np.fromiter(map(place.get, chain.from_iterable(per), repeat(miss)), np.int64, size.sum())
