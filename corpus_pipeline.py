@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from overlace.llm import gam, minhash, packing, rules
 from overlace.llm.common import table
 from overlace.llm.queries import tokenizer_path
-from overlace.plans.lineage import shared_dir
+from overlace.plans.lineage import adopt, shared_dir
 from overlace.plans.lineage import stage as stage_table
 
 
@@ -80,7 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = adopt(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)

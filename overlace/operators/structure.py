@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlace.plans.lineage import stage
+from overlace.plans.lineage import drop, stage
 
 
 def dual(inc: DataFrame) -> DataFrame:
@@ -27,7 +27,10 @@ def edge_classes(inc: DataFrame) -> DataFrame:
     sets = stage(inc.join(shared, "edge").groupBy("edge", *keys).agg(F.sort_array(F.collect_list("node")).alias("nodes")))
     reps = stage(sets.groupBy(*keys, "nodes").agg(F.min("edge").alias("rep")))
     found = sets.join(reps, [*keys, "nodes"]).select(F.col("edge").alias("id"), "rep")
-    return digest.join(shared.select("edge"), "edge", "left_anti").select(F.col("edge").alias("id"), F.col("edge").alias("rep")).unionByName(found)
+    lone = digest.join(shared.select("edge"), "edge", "left_anti").select(F.col("edge").alias("id"), F.col("edge").alias("rep"))
+    out = stage(lone.unionByName(found))
+    drop(digest, twins, shared, sets, reps)
+    return out
 
 
 def collapse_edges(inc: DataFrame) -> DataFrame:
@@ -59,19 +62,24 @@ def toplexes(inc: DataFrame, keep: str = "first") -> DataFrame:
     """(edge): hyperedges that no other contains; of equal ones the smallest id stays, or the largest with ``keep='last'``.
 
     Equal hyperedges are merged before the join, so copies cost nothing. A hyperedge that contains another has the other's
-    rarest node, so each meets only the larger ones at its rarest node, and those pairs alone are verified.
+    rarest node, so each meets only the larger ones at its rarest node; of those, only pairs are verified where the larger one's signature,
+    a bit of 64 for each node's hash, has all bits of the smaller one's, which loses no pair.
     """
-    classes = stage(edge_classes(inc).groupBy(F.col("rep").alias("edge")).agg(F.max("id").alias("last")))
+    same = edge_classes(inc)
+    classes = stage(same.groupBy(F.col("rep").alias("edge")).agg(F.max("id").alias("last")))
     one = stage(inc.select("edge", "node").distinct().join(classes.select("edge"), "edge", "left_semi"))
-    sizes = stage(one.groupBy("edge").agg(F.count(F.lit(1)).alias("size")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
+    sizes = stage(one.groupBy("edge").agg(F.count(F.lit(1)).alias("size"), F.bit_or(bit).alias("bits")))
     degree = stage(one.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
     rarest = one.join(degree, "node").groupBy("edge").agg(F.min(F.struct("degree", "node")).alias("r"))
-    small = stage(rarest.join(sizes, "edge").where("r.degree > 1").select(F.col("edge").alias("src"), F.col("r.node").alias("node"), F.col("size").alias("m")))
-    large = stage(one.join(sizes, "edge").select(F.col("edge").alias("dst"), "node", "size"))
-    pairs = stage(small.join(large, "node").where("size > m").select("src", "dst", "m"))
+    small = stage(rarest.join(sizes, "edge").where("r.degree > 1").select(F.col("edge").alias("src"), F.col("r.node").alias("node"), F.col("size").alias("m"), F.col("bits").alias("mine")))
+    large = stage(one.join(sizes, "edge").select(F.col("edge").alias("dst"), "node", "size", "bits"))
+    pairs = stage(small.join(large, "node").where("size > m and (mine & ~bits) = 0").select("src", "dst", "m"))
     common = pairs.join(one.withColumnRenamed("edge", "src"), "src").join(one.withColumnRenamed("edge", "dst"), ["dst", "node"])
     inside = common.groupBy("src", "dst", "m").agg(F.count(F.lit(1)).alias("n")).where("n = m").select(F.col("src").alias("edge"))
-    return classes.join(inside, "edge", "left_anti").select(F.col("last" if keep == "last" else "edge").alias("edge"))
+    out = stage(classes.join(inside, "edge", "left_anti").select(F.col("last" if keep == "last" else "edge").alias("edge")))
+    drop(same, classes, one, sizes, degree, small, large, pairs)
+    return out
 
 
 def singletons(inc: DataFrame) -> DataFrame:

@@ -171,6 +171,11 @@ def test_derived_readers_and_tools(spark, tmp_path):
     writers.write_adjacency(h, source)
     joined, shift = readers.read_adjoined(spark, source)
     assert shift == (0, 3) and rows(joined) == [(e, n + 3) for e, n in rows(h)]
+    for name, write in (("j.mm", writers.write_matrix_market), ("j.csv", writers.write_csv)):
+        write(h, str(tmp_path / name))
+        joined, shift = readers.read_adjoined(spark, str(tmp_path / name))
+        assert shift == (0, 3) and rows(joined) == [(e, n + 3) for e, n in rows(h)], name
+    assert rows(readers.sources(h, 2, seed=5)) == rows(readers.sources(h.repartition(3), 2, seed=5)) and readers.sources(h, 9).count() == 3
     renamed, perm = readers.read_relabelled(spark, source)
     assert table(perm) == {2: 0, 0: 1, 1: 2} and rows(renamed.groupBy("edge").count()) == [(0, 1), (1, 3), (2, 3)]
     for name in ("b.mm", "c.csv", "d.parquet"):

