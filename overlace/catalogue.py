@@ -453,15 +453,15 @@ def s_betweenness_sampled(spark, d):
 
 @query(
     _graph(
-        "CP", 7, _ALL + ", v as (select distinct src as id from adj) select 'whole' as scores, 0::bigint as bad_score, 0::bigint as bad_total, 0::bigint as missing union all"
+        "CP", 8, _ALL + ", v as (select distinct src as id from adj) select 'whole' as scores, 0::bigint as bad_score, 0::bigint as bad_total, 0::bigint as missing union all"
         " select 'damaged', count(*) filter (id % 5 = 0 and id % 7 <> 0), (count(*) filter (id % 5 = 0) > 0)::bigint, count(*) filter (id % 7 = 0) from v"
     )
 )
 def s_betweenness_verified(spark, d):
-    """Violations of scores made in batches of about 64 sources, and of the same with some raised and some lost."""
-    g = graph(spark, d, 7)
+    """Violations of scores made in batches of about 16 sources, and of the same with some raised and some lost."""
+    g = graph(spark, d, 8)
     edges = stage(g.edges)
-    found = stage(centrality.betweenness(edges, 0, False, batch=64))
+    found = stage(centrality.betweenness(edges, 0, False, batch=16))
     lost = found.where("id % 7 <> 0").withColumn("value", F.col("value") + (F.col("id") % 5 == 0).cast("int"))
     out = [centrality.verify_betweenness(edges, t).withColumn("scores", F.lit(name)) for name, t in (("whole", found), ("damaged", lost))]
     return out[0].unionByName(out[1])
