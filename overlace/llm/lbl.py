@@ -55,13 +55,13 @@ def _classes(count: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(upto))
 
 
-def _rows(*pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the vectors of (ids, vectors) per distinct id."""
-    i, x = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    order = np.argsort(i)
-    i = i[order]
-    at = np.flatnonzero(np.diff(i, prepend=-1))
-    return i[at], np.add.reduceat(x[order], at)
+def _in_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct id's run begins once the ids are sorted, the distinct ids, and the order; id and place are sorted as one number."""
+    bits = len(ids).bit_length()
+    key = np.sort(ids.astype(np.int64) << bits | np.arange(len(ids)))
+    ids = key >> bits
+    at = np.flatnonzero(np.diff(ids, prepend=-1))
+    return at, ids[at], key & ((1 << bits) - 1)
 
 
 class Model:
@@ -123,7 +123,7 @@ class Model:
                     at += p.size
 
     def predict(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        return self.R[c1] @ self.C[0] + self.R[c2] @ self.C[1]
+        return self.R.take(c1, 0) @ self.C[0] + self.R.take(c2, 0) @ self.C[1]
 
     def train(self, triples: np.ndarray, weights: np.ndarray, rng, k: int = 32, k_word: int = 3, batch: int = 4096, rate: float = 0.08, cap: int = 16) -> None:
         """One pass of noise-contrastive estimation over (c1, c2, w) with weights; heavy triples are split into rows of at most ``cap``.
@@ -132,56 +132,74 @@ class Model:
         context and word vectors sum their rows' gradients, the others take a batch's mean.
         """
         n = -(-weights // cap)
-        rows = np.repeat(np.arange(len(n)), n)
-        share = (weights / n)[rows].astype(np.float32)
+        rows = np.empty(n.sum(), [("c1", np.int32), ("c2", np.int32), ("w", np.int32), ("share", np.float32)])  # a row is read at once
+        for name, x in zip(rows.dtype.names, (*triples, weights / n), strict=True):
+            rows[name] = np.repeat(x, n)
         order = rng.permutation(len(rows))
         seen, (seen_r, seen_v) = self.seen, self.seen_words
         noise, lift = np.cumsum(self.mass), np.log(k * self.mass).astype(np.float32)
         lift_word = np.log(k_word / self.size[self.of]).astype(np.float32)
         for i in range(0, len(order), batch):
-            o = order[i : i + batch]
-            (c1, c2, w), a = triples[:, rows[o]], share[o] / share[o].mean() / len(o)
-            c, q = self.of[w], self.predict(c1, c2)
+            part = rows.take(order[i : i + batch])
+            part = part.take(np.argsort(part["w"]))  # so rows of a class lie together
+            c1, c2, w, a = (part[name] for name in part.dtype.names)
+            a = a / a.mean()
+            c = self.of.take(w)
+            r1, r2, qc = self.R.take(c1, 0), self.R.take(c2, 0), self.Q.take(c, 0)
+            q = r1 @ self.C[0]
+            q += r2 @ self.C[1]
             neg = np.minimum(np.searchsorted(noise, rng.random(k) * noise[-1]), len(noise) - 1)
-            pos = np.einsum("ij,ij->i", q, self.Q[c]) + self.b[c] - lift[c]
-            out = q @ self.Q[neg].T
-            out += self.b[neg] - lift[neg]
+            qn = self.Q[neg]
+            pos = np.einsum("ij,ij->i", q, qc) + (self.b - lift).take(c)
             gp = a / (1 + np.exp(np.clip(pos, -30, 30)))
-            gn = np.divide(-a[:, None], _one_and_exp_of_minus(out), out=out)
-            gq = (gp[:, None] * self.Q[c] + gn @ self.Q[neg]) * len(o)
+            out = q @ -qn.T
+            out += lift[neg] - self.b[neg]
+            gn = np.divide(-a[:, None], _one_and_exp(out), out=out)
+            gq = gn @ qn
+            qc *= gp[:, None]
+            gq += qc
             grad = [np.zeros_like(p) for p in (self.C, self.Q, self.b)]
-            np.add.at(grad[1], c, gp[:, None] * q)
+            at = np.flatnonzero(np.diff(c, prepend=-1))
+            grad[1][c[at]] = np.add.reduceat(gp[:, None] * q, at)
             np.add.at(grad[1], neg, gn.T @ q)
             grad[2] += np.bincount(c, gp, len(self.b)).astype(np.float32)
             np.add.at(grad[2], neg, gn.sum(0))
 
             m = np.flatnonzero(self.size[c] > 1)
             if len(m):
-                wm, qm, am = w[m], q[m], a[m] * len(o)
-                cm = c[m]
-                other = rng.random((len(m), k_word), np.float32) * self.size[cm, None]
-                other = np.minimum(other.astype(np.int64), self.size[cm, None] - 1) + self.first[cm, None]
-                every = np.concatenate([wm[:, None], other], 1)
-                v = self.V[every]
-                s = np.einsum("ikj,ij->ik", v, qm) + self.d[every] - lift_word[every]
-                g = np.divide(-am[:, None], _one_and_exp_of_minus(s), out=s)
+                wm, cm, am, qm = w[m], c[m], a[m], np.ones((len(m), q.shape[1] + 1), np.float32)
+                qm[:, :-1] = q.take(m, 0)
+                size = self.size.take(cm)[:, None]
+                every = np.empty((len(m), 1 + k_word), np.int64)
+                every[:, 0] = wm
+                every[:, 1:] = rng.random((len(m), k_word), np.float32) * size
+                np.minimum(every[:, 1:], size - 1, out=every[:, 1:])
+                every[:, 1:] += self.first.take(cm)[:, None]
+                v = self.V.take(every, 0)
+                s = (lift_word - self.d).take(every)
+                s -= np.einsum("ikj,ij->ik", v, qm[:, :-1])
+                g = np.divide(-am[:, None], _one_and_exp(s), out=s)
                 g[:, 0] += am
                 gq[m] += np.einsum("ik,ikj->ij", g, v)
-                x = np.concatenate([g[:, :, None] * qm[:, None], g[:, :, None]], 2)
-                at, x = _rows((every.ravel(), x.reshape(-1, x.shape[2])))
-                seen_v[at] += (x * x).mean(1)
-                x *= rate / np.sqrt(seen_v[at])[:, None]
-                self.V[at] += x[:, :-1]
-                self.d[at] += x[:, -1]
-                self.moved[1][at] += 1
-
-            grad[0][0], grad[0][1] = self.R[c1].T @ gq / len(o), self.R[c2].T @ gq / len(o)
-            at, x = _rows((c1, gq @ self.C[0].T), (c2, gq @ self.C[1].T))
-            seen_r[at] += (x * x).mean(1)
-            self.R[at] += x * (rate / np.sqrt(seen_r[at]))[:, None]
-            self.moved[0][at] += 1
+                at, ids, by = _in_order(every.ravel())
+                x = qm.take(by // (1 + k_word), 0)
+                x *= g.ravel().take(by)[:, None]
+                x = np.add.reduceat(x, at)
+                seen_v[ids] += np.einsum("ij,ij->i", x, x) / x.shape[1]
+                x *= (rate / np.sqrt(seen_v[ids]))[:, None]
+                self.V[ids] += x[:, :-1]
+                self.d[ids] += x[:, -1]
+                self.moved[1][ids] += 1
+
+            grad[0][0], grad[0][1] = r1.T @ gq, r2.T @ gq
+            at, ids, by = _in_order(np.concatenate([c1, c2]))
+            x = np.add.reduceat(np.concatenate([gq @ self.C[0].T, gq @ self.C[1].T]).take(by, 0), at)
+            seen_r[ids] += np.einsum("ij,ij->i", x, x) / x.shape[1]
+            x *= (rate / np.sqrt(seen_r[ids]))[:, None]
+            self.R[ids] += x
+            self.moved[0][ids] += 1
             for p, g, s in zip((self.C, self.Q, self.b), grad, seen, strict=True):
-                g *= 100.0
+                g *= 100.0 / len(part)  # the batch's mean
                 s += g * g
                 p += rate * g / np.sqrt(s)
 
@@ -193,7 +211,9 @@ class Model:
             z = np.empty(len(new), np.float32)
             for i in range(0, len(new), 1024):
                 c = new[i : i + 1024]
-                z[i : i + 1024] = _log_sum(self.predict(c // (self.start + 1), c % (self.start + 1)) @ self.Q.T + self.b)
+                s = self.predict(c // (self.start + 1), c % (self.start + 1)) @ self.Q.T
+                s += self.b
+                z[i : i + 1024] = _log_sum(s)
             return z[back]
 
         return log_z
@@ -202,32 +222,38 @@ class Model:
         """Of each word after its context: its class's logarithm and its own within the class, both normalised exactly."""
         q, c = self.predict(c1, c2), self.of[w]
         out = np.einsum("ij,ij->i", q, self.Q[c]) + self.b[c] - self.normaliser()(c1 * (self.start + 1) + c2)
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c)
         ends = np.cumsum(np.bincount(c, minlength=len(self.first)))
+        q, own = q.take(order, 0), w.take(order)  # in order of the classes, so each is a slice
+        add = np.zeros(len(order), np.float32)
         for k in np.unique(c[self.size[c] > 1]):
             a, z = self.first[k], self.first[k] + self.size[k]
             for i in range(ends[k - 1] if k else 0, ends[k], 1024):
-                o = order[i : min(i + 1024, ends[k])]
-                s = q[o] @ self.V[a:z].T + self.d[a:z]
-                out[o] += s[np.arange(len(o)), w[o] - a]
-                out[o] -= _log_sum(s)
+                o = slice(i, min(i + 1024, ends[k]))
+                s = q[o] @ self.V[a:z].T
+                s += self.d[a:z]
+                true = s[np.arange(len(s)), own[o] - a]
+                add[o] = true - _log_sum(s)
+        out[order] += add
         return out
 
 
-def _one_and_exp_of_minus(x: np.ndarray) -> np.ndarray:
-    """1 + exp(-x) in place, as batches of new arrays cost more than the arithmetic."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
+def _one_and_exp(x: np.ndarray) -> np.ndarray:
+    """1 + exp(x) in place, as batches of new arrays cost more than the arithmetic."""
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
     return x
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; overwrites ``s``."""
+    """Logarithms of the rows' sums of exponentials; overwrites ``s``. The greatest are taken out first where they could leave 32-bit floats."""
+    ones = np.ones(s.shape[1], np.float32)
+    if not s.size or max(s.max(), -s.min()) < 80:
+        return np.log(np.exp(s, out=s) @ ones)
     top = s.max(1)
     s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(1))
+    return top + np.log(np.exp(s, out=s) @ ones)
 
 
 def _contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
