@@ -268,6 +268,22 @@ def _contexts(ids: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray
     return c1, c2
 
 
+def _triples(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (c1, c2, w) of documents that end with 0 each, and their counts; what they are made from is freed before training."""
+    c1, c2 = _contexts(ids, np.flatnonzero(ids == 0), start)
+    c1 *= start + 1
+    c1 += c2
+    del c2
+    pairs, at = np.unique(c1, return_inverse=True)
+    del c1
+    at *= start + 1
+    at += ids
+    codes, counts = np.unique(at, return_counts=True)
+    del at
+    pair = pairs[codes // (start + 1)]
+    return np.stack([pair // (start + 1), pair % (start + 1), codes % (start + 1)]).astype(np.int32), counts
+
+
 def _mean(pieces: DataFrame) -> DataFrame:
     """(kind, ids, x): the weighted means of the pieces of all tasks, summed one piece at a time."""
 
@@ -319,16 +335,11 @@ def train_model(docs: DataFrame, words_of: dict[bytes, int], unigram: np.ndarray
             uni, flat = shared.value
             m = Model(uni, _classes(uni))
             m.load(flat)
-            width, rng = m.start + 1, np.random.default_rng([number, TaskContext.get().partitionId()])
+            rng = np.random.default_rng([number, TaskContext.get().partitionId()])
             held, n, total = [], 0, 0
 
             def learn():
-                ids = np.concatenate(held).astype(np.int64)
-                c1, c2 = _contexts(ids, np.flatnonzero(ids == 0), m.start)
-                pairs, at = np.unique(c1 * width + c2, return_inverse=True)
-                codes, counts = np.unique(at * width + ids, return_counts=True)
-                pair, word = pairs[codes // width], codes % width
-                m.train(np.stack([pair // width, pair % width, word]), counts, rng)
+                m.train(*_triples(np.concatenate(held).astype(np.int64), m.start), rng)
 
             for data in chain.from_iterable(b.column(0).to_pylist() for b in slices(batches)):
                 held += [np.frombuffer(data, np.int32), end]
