@@ -70,8 +70,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         for batch in slices(batches):
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for d, t in zip(ids, texts(batch), strict=True):
-                data = encode(t) + end
+            for d, data in zip(ids, encode.many(texts(batch)), strict=True):
+                data += end
                 out += [(d, k // 4, min(step, len(data) - k) // 4, zlib.crc32(data[k : k + step]), len(data) // 4) for k in range(0, len(data), step)]
             cols = list(zip(*out, strict=True))
             yield dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), cols, strict=True)) | {"ticket": rng.integers(0, 1 << 62, len(out))}

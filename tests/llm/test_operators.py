@@ -111,6 +111,25 @@ def test_word_encoder():
         assert np.frombuffer(as_text(t), "<u4").tolist() == ordinary.encode(t, add_special_tokens=False).ids
 
 
+def test_word_encoder_encodes_parts_once():
+    """The same parts in other case or beside other signs go to the model once; often used ones stay when the memos turn over."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    random.seed(3)
+    stems = ["".join(random.choice("abcdeé") for _ in range(9)) for _ in range(50)]
+    texts = [" ".join(random.choice(["{}", "{},", "({})", "{}'s."]).format(random.choice([str, str.upper, str.title])(w)) for w in stems) for _ in range(40)]
+    rare = [" ".join(["often", *(f"{a}{k:03x}".translate(str.maketrans("0123456789", "ghijklmnop")) for a in "qrstuvwxyz")]) + " \u6f22" * (k % 7 == 0) for k in range(300)]
+    for most_bytes, given in ((64 << 20, texts), (40_000, rare)):
+        encode, seen = WordEncoder(TOKENIZER, most_bytes=most_bytes), []
+        inner = encode._plain_ids
+        encode._plain_ids = lambda parts: seen.extend(parts) or inner(parts)
+        got = list(encode.many(given, chars=500))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in given]
+        assert len(seen) == len(set(seen)) and set(stems if given is texts else ["often"]) <= set(seen)
+        assert [encode(t) for t in given[:5]] == got[:5]
+
+
 @pytest.mark.parametrize("capacity", [8, 4096])
 def test_packing(spark, odd, capacity):
     docs = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100).repartition(3))
