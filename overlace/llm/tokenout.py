@@ -105,8 +105,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
 
         n = size = 0
         for batch in slices(batches):
-            for d, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                data = encode(t) + end
+            for d, data in zip(batch.column(0).to_pylist(), encode.many(texts(batch)), strict=True):
+                data += end
                 held += [(d, k // 4, data[k : k + step]) for k in range(0, len(data), step)]
                 n, size = n + 1, size + len(data)
                 if n >= docs_at_once or size >= bytes_at_once:
