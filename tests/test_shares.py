@@ -55,3 +55,8 @@ def test_candidates_carry_no_sets(spark, no_broadcast):
     inc = sets(spark, 120, 300, 400)
     inc.count()
     assert shuffled(spark, lambda: overlap(inc, 200, "candidates").count()) < 4e6
+
+
+def test_naive_has_no_nested_loop(spark):
+    plan = overlap(sets(spark, 10, 5, 20), 2, "naive")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
