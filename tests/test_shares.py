@@ -78,14 +78,15 @@ def test_pairs_met_again_carry_no_sets_in_shuffles(spark, no_broadcast):
     assert shuffled(spark, lambda: counted_overlap(inc, 150, HEURISTICS - {"short_circuit", "skip_visited"})) < 15e6
 
 
-@pytest.mark.parametrize("variant", ["bounded"])
+@pytest.mark.parametrize("variant", ["bounded", "prefix"])
 def test_lists_meet_in_shares(spark, small_shares, variant):
     inc = sets(spark, 40, 12, 50)
     assert rows(overlap(inc, 4, variant)) == rows(overlap(inc, 4)) and rows(overlap(inc, 12, variant)) == []
 
 
-def test_bounded_shuffles_no_pairs(spark, no_broadcast):
+@pytest.mark.parametrize("variant", ["bounded", "prefix"])
+def test_lists_shuffle_no_pairs(spark, no_broadcast, variant):
     """300 hyperedges of 6 among 40 nodes: nearly all of the 44 850 pairs meet, and few share 4 nodes."""
     inc = sets(spark, 300, 6, 40)
     inc.count()
-    assert shuffled(spark, lambda: overlap(inc, 4, "bounded").count()) < 3e5
+    assert shuffled(spark, lambda: overlap(inc, 4, variant).count()) < 3e5
