@@ -5,7 +5,8 @@ import random
 import pytest
 
 from overlace.operators import overlap as made
-from overlace.operators.overlap import HEURISTICS, counted_overlap, overlap
+from overlace.operators.overlap import HEURISTICS, adjoined_overlap, counted_overlap, overlap
+from overlace.plans.lineage import Ledger
 
 
 def rows(df):
@@ -90,3 +91,11 @@ def test_lists_shuffle_no_pairs(spark, no_broadcast, variant):
     inc = sets(spark, 300, 6, 40)
     inc.count()
     assert shuffled(spark, lambda: overlap(inc, 4, variant).count()) < 3e5
+
+
+@pytest.mark.parametrize("descending", [True])
+def test_work_lists_go_in_shares(spark, small_shares, monkeypatch, descending):
+    parts, append = [], Ledger.append
+    monkeypatch.setattr(Ledger, "append", lambda self, df, **m: parts.append(append(self, df, **m)) or parts[-1])
+    inc = sets(spark, 40, 12, 50).selectExpr("edge + 50 as edge", "node + 90 as node")
+    assert rows(adjoined_overlap(inc, 4, descending)) == rows(overlap(inc, 4)) and len(parts) > 1
