@@ -93,7 +93,7 @@ def test_lists_shuffle_no_pairs(spark, no_broadcast, variant):
     assert shuffled(spark, lambda: overlap(inc, 4, variant).count()) < 3e5
 
 
-@pytest.mark.parametrize("descending", [True])
+@pytest.mark.parametrize("descending", [False, True])
 def test_work_lists_go_in_shares(spark, small_shares, monkeypatch, descending):
     parts, append = [], Ledger.append
     monkeypatch.setattr(Ledger, "append", lambda self, df, **m: parts.append(append(self, df, **m)) or parts[-1])
